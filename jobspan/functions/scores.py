@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobspan import vocab
+from jobspan.functions.text import let
 
 _STR = "array<string>"
 
@@ -54,7 +55,7 @@ def _as_array(skills) -> Column | None:
 
 def _matched(job_skills: Column, wanted: Column) -> Column:
     lowered = F.transform(F.coalesce(job_skills, F.array().cast(_STR)), F.lower)
-    return F.size(F.filter(wanted, lambda s: F.array_contains(lowered, F.lower(s))))
+    return let(lowered, lambda have: F.size(F.filter(wanted, lambda s: F.array_contains(have, F.lower(s)))))
 
 
 def manual_skill_score(job_skills: Column, wanted) -> Column:
@@ -99,16 +100,6 @@ def lexical_score(wanted: Column, title: Column, company: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.least(share * 0.5 * 2.0, F.lit(1.0))).otherwise(0.0)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two vectors of equal length; 0 when one has no length."""
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
-
-    scale = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(scale > 0, dot(a, b) / scale).otherwise(0.0)
-
-
 def weights(has_skills: bool, has_years: bool) -> tuple[float, ...]:
     key = (("skills",) if has_skills else ()) + (("years",) if has_years else ())
     return vocab.WEIGHTS[key]

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobspan import vocab
-from jobspan.functions.text import literal, norm_text, trim_ws
+from jobspan.functions.text import let, literal, norm_text, trim_ws
 
 _STR = "array<string>"
 
@@ -20,8 +20,8 @@ def lookup(mapping: dict[str, str]) -> Column:
 
 def first_wins(arr: Column) -> Column:
     """Distinct ignoring case; the first spelling stays, in order."""
-    lowered = F.transform(arr, F.lower)
-    return F.filter(arr, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return let(F.transform(arr, F.lower), lambda lowered: F.filter(
+        arr, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1))
 
 
 def scan_vocabulary(lowered: Column, registry: dict[str, str] | None = None) -> Column:
@@ -73,23 +73,27 @@ def guard_skills(
 
     ``lowered`` is the description in lower case; when it is null or empty, nothing is dropped as unmentioned.
     """
-    names = company_words(company)
-    pairs = F.filter(
-        F.transform(raw, lambda s: F.struct(trim_ws(s).alias("text"), norm_text(s).alias("norm"))),
-        lambda p: (p["text"] != "")
-        & ((F.length(p["norm"]) >= min_len) | p["norm"].isin(short))
-        & ~p["norm"].isin(blocklist)
-        & ~F.array_contains(names, p["norm"])
-        & ((F.coalesce(lowered, F.lit("")) == "") | lowered.contains(p["norm"])),
-    )
     fixed = lookup(canonical)
-    return first_wins(F.transform(pairs, lambda p: F.coalesce(F.element_at(fixed, p["norm"]), p["text"])))
+
+    def kept(names: Column) -> Column:
+        return F.filter(
+            F.transform(raw, lambda s: F.struct(trim_ws(s).alias("text"), norm_text(s).alias("norm"))),
+            lambda p: (p["text"] != "")
+            & ((F.length(p["norm"]) >= min_len) | p["norm"].isin(short))
+            & ~p["norm"].isin(blocklist)
+            & ~F.array_contains(names, p["norm"])
+            & ((F.coalesce(lowered, F.lit("")) == "") | lowered.contains(p["norm"])),
+        )
+
+    named = F.transform(
+        let(company_words(company), kept), lambda p: F.coalesce(F.element_at(fixed, p["norm"]), p["text"]))
+    return let(named, first_wins)
 
 
 def add_missing(existing: Column, extra: Column) -> Column:
     """Existing skills followed by those extra ones not present yet (ignoring case)."""
-    lowered = F.transform(existing, F.lower)
-    return F.concat(existing, F.filter(extra, lambda s: ~F.array_contains(lowered, F.lower(s))))
+    return let(F.transform(existing, F.lower), lambda lowered: F.concat(
+        existing, F.filter(extra, lambda s: ~F.array_contains(lowered, F.lower(s)))))
 
 
 def extract_skills(

@@ -28,6 +28,11 @@ CUT = "\x01"
 _SMART = ("‘’‚‛“”„‟\xa0", "''''\"\"\"\" ")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row however often it is used: a one-element transform."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def trim_ws(col: Column) -> Column:
     return F.btrim(col, F.lit(SPACES))
 
@@ -74,7 +79,7 @@ def decode_entities(col: Column) -> Column:
     def numeric(piece: Column, i: Column) -> Column:
         dec = F.regexp_extract(piece, r"^(\d{1,6});", 1)
         hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,5});", 1)
-        code = F.when(dec != "", F.hex(dec.cast("int"))).when(hexa != "", hexa)
+        code = F.when(dec != "", F.hex(dec.try_cast("int"))).when(hexa != "", hexa)
         char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
         rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
         return F.when(i == 0, piece).when(code.isNull(), F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
@@ -89,11 +94,12 @@ def html_to_text(col: Column, separator: str = "\n") -> Column:
 
     Text without ``<`` passes unchanged; null gives "". Curly quotes and hard spaces are made plain.
     """
+    def visible(cut: Column) -> Column:
+        text = F.when(cut.contains("&"), decode_entities(cut)).otherwise(cut)
+        return F.array_join(F.filter(F.transform(F.split(text, CUT, -1), trim_ws), lambda p: p != ""), separator)
+
     cut = F.regexp_replace(F.regexp_replace(col, HIDDEN_MARKUP, CUT), TAG, CUT)
-    pieces = F.filter(
-        F.transform(F.split(cut, CUT, -1), lambda p: trim_ws(decode_entities(p))), lambda p: p != ""
-    )
-    return smart_quotes(F.coalesce(F.when(col.contains("<"), F.array_join(pieces, separator)).otherwise(col), F.lit("")))
+    return smart_quotes(F.coalesce(F.when(col.contains("<"), let(cut, visible)).otherwise(col), F.lit("")))
 
 
 def strip_tags(col: Column) -> Column:
@@ -124,13 +130,15 @@ def header_class(
 ) -> Column:
     """Class of a heading line, or null for content. The first match of a pattern must cover enough of the line;
     the patterns are tried in their order, so the stop headings come first."""
-    core = trim_ws(F.regexp_replace(trim_ws(line), ":+$", ""))
-    size = F.length(core)
-    out = F.when((size == 0) | (size > max_len), F.lit(None).cast("string"))
-    for name, pattern in patterns.items():
-        covered = F.length(F.regexp_substr(core, F.lit("(?i)" + pattern)))
-        out = out.when(covered / size >= ratio, F.lit(name))
-    return out
+    def judge(core: Column) -> Column:
+        size = F.length(core)
+        out = F.when((size == 0) | (size > max_len), F.lit(None).cast("string"))
+        for name, pattern in patterns.items():
+            covered = F.length(F.regexp_substr(core, F.lit("(?i)" + pattern)))
+            out = out.when(covered / size >= ratio, F.lit(name))
+        return out
+
+    return let(trim_ws(F.regexp_replace(trim_ws(line), ":+$", "")), judge)
 
 
 def split_lines(col: Column) -> Column:
@@ -151,36 +159,35 @@ def section_text(
     Linear in the text and without a shuffle: heading lines become a cut plus their class, the lines are joined and
     split again at the cuts, so each segment starts with the class that holds for it.
     """
-    plain = html_to_text(col) if html else F.coalesce(col, F.lit(""))
-    mark = F.transform(
-        F.transform(
-            split_lines(plain),
-            lambda ln: F.struct(
-                header_class(ln, patterns, max_len, ratio).alias("head"), trim_ws(ln).alias("line")
-            ),
-        ),
-        lambda s: F.when(s["head"].isNotNull(), F.concat(F.lit(CUT), s["head"])).when(s["line"] != "", s["line"]),
-    )
-    segments = F.split(F.array_join(F.array_compact(mark), "\x02"), CUT, -1)
-    bodies = [
-        F.transform(
-            F.filter(segments, lambda s, k=key: s.startswith(k + "\x02")),
-            lambda s, k=key: F.regexp_replace(
-                F.regexp_replace(F.substring(s, len(k) + 2, 1_000_000_000), "\x02$", ""), "\x02", " "
-            ),
+    def mark(line: Column) -> Column:
+        content = trim_ws(line)
+        return let(
+            header_class(line, patterns, max_len, ratio),
+            lambda head: F.when(head.isNotNull(), F.concat(F.lit(CUT), head)).when(content != "", content),
         )
-        for key in order
-    ]
-    joined = F.array_join(F.filter(F.flatten(F.array(*bodies)), lambda s: s != ""), " ")
-    out = F.coalesce(F.nullif(joined, F.lit("")), plain)
+
+    def bodies(segments: Column, key: str) -> Column:
+        head = key + "\x02"
+        own = F.filter(segments, lambda s: s.startswith(head))
+        return F.transform(own, lambda s: F.translate(
+            F.rtrim(F.substring(s, len(head) + 1, 1_000_000_000), F.lit("\x02")), "\x02", " "))
+
+    def chosen(plain: Column) -> Column:
+        marked = F.array_join(F.array_compact(F.transform(split_lines(plain), mark)), "\x02")
+        parts = let(F.split(marked, CUT, -1), lambda segs: F.flatten(F.array(*[bodies(segs, k) for k in order])))
+        joined = F.array_join(F.filter(parts, lambda s: s != ""), " ")
+        return F.coalesce(F.nullif(joined, F.lit("")), plain)
+
+    out = let(html_to_text(col) if html else F.coalesce(col, F.lit("")), chosen)
     return F.substring(out, 1, max_chars) if max_chars else out
 
 
 def embed_text(title: Column, parsed: Column, max_chars: int | None = None) -> Column:
     """Title, blank line, selected text; null when nothing but whitespace is left."""
-    text = F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit("\n\n"), parsed)).otherwise(parsed)
+    text = F.concat(
+        F.coalesce(F.concat(F.nullif(title, F.lit("")), F.lit("\n\n")), F.lit("")), parsed)
     text = F.substring(text, 1, max_chars) if max_chars else text
-    return F.when(trim_ws(text) != "", text)
+    return let(text, lambda t: F.when(trim_ws(t) != "", t))
 
 
 # ------------------------------------------------------------------ years of experience
@@ -196,9 +203,11 @@ def extract_years(
         found = F.transform(F.regexp_extract_all(col, F.lit("(?i)" + p), F.lit(1)), lambda v: v.cast("int"))
         return F.filter(found, lambda v: v.between(low, high))
 
-    every, sub = values(pattern), values(sub_pattern)
-    main = F.filter(every, lambda v: ~F.array_contains(sub, v))
-    return F.coalesce(F.get(main, F.lit(0)), F.get(every, F.lit(0)))
+    def first(every: Column) -> Column:
+        main = let(values(sub_pattern), lambda sub: F.filter(every, lambda v: ~F.array_contains(sub, v)))
+        return F.coalesce(F.get(main, F.lit(0)), F.get(every, F.lit(0)))
+
+    return let(values(pattern), first)
 
 
 # ------------------------------------------------------------------ paths

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobspan import vocab
-from jobspan.functions.text import any_word, contains_any, literal, trim_ws
+from jobspan.functions.text import any_word, contains_any, let, literal, trim_ws
 from jobspan.operators.keys import first_ids, salted_lookup, unknown_only
 
 
@@ -52,19 +52,22 @@ def company_core(name: Column, suffix_pattern: str = vocab.COMPANY_SUFFIX_PATTER
 def company_mentioned(name: Column, description: Column, suffix_pattern: str = vocab.COMPANY_SUFFIX_PATTERN,
                       min_text: int = 150, min_core: int = 4, min_word: int = 5, min_camel: int = 7) -> Column:
     """Does a description name its company? True whenever there is too little to judge by."""
-    core, low = company_core(name, suffix_pattern), F.lower(description)
-    long_words = F.filter(F.split(core, r"\s+"), lambda w: F.length(w) >= min_word)
-    parts = F.regexp_extract_all(core, F.lit(f"({vocab.CAMEL_PATTERN})"), F.lit(1))
-    pairs = F.zip_with(parts, F.slice(parts, 2, 1_000_000), F.concat)
-    pieces = F.filter(F.concat(parts, pairs), lambda p: F.length(p) >= min_camel)
-    return (
-        F.when((F.coalesce(name, F.lit("")) == "") | (F.coalesce(F.length(trim_ws(description)), F.lit(0)) < min_text),
-               True)
-        .when(F.length(core) < min_core, True)
-        .when(low.contains(F.lower(core)), True)
-        .when(_sure(low.contains(F.lower(F.get(long_words, F.lit(0))))), True)
-        .otherwise(_sure(F.exists(pieces, lambda p: low.contains(F.lower(p)))))
-    )
+    def named(core: Column, low: Column) -> Column:
+        long_words = F.filter(F.split(core, r"\s+"), lambda w: F.length(w) >= min_word)
+        parts = F.regexp_extract_all(core, F.lit(f"({vocab.CAMEL_PATTERN})"), F.lit(1))
+        pairs = F.zip_with(parts, F.slice(parts, 2, 1_000_000), lambda a, b: F.concat(a, b))
+        pieces = F.filter(F.concat(parts, pairs), lambda p: F.length(p) >= min_camel)
+        return (
+            F.when(F.length(core) < min_core, True)
+            .when(low.contains(F.lower(core)), True)
+            .when(_sure(low.contains(F.lower(F.get(long_words, F.lit(0))))), True)
+            .otherwise(_sure(F.exists(pieces, lambda p: low.contains(F.lower(p)))))
+        )
+
+    too_little = (F.coalesce(name, F.lit("")) == "") | (
+        F.coalesce(F.length(trim_ws(description)), F.lit(0)) < min_text)
+    return F.when(too_little, True).otherwise(
+        let(company_core(name, suffix_pattern), lambda core: let(F.lower(description), lambda low: named(core, low))))
 
 
 def mention_reason(name: Column, mentioned: Column) -> Column:

@@ -75,9 +75,9 @@ def cohort_names(companies: DataFrame, cohort: str = "batch") -> DataFrame:
     """Slug and, when it differs, name of every company, newest cohort first: (name, pos)."""
     slug, name = F.nullif("slug", F.lit("")), F.nullif("name", F.lit(""))
     both = F.array_compact(F.array(slug, F.when(~F.lower(slug).eqNullSafe(F.lower(name)), name)))
-    key = cohort_key(F.col(cohort))
     # newest first as one increasing number; a name's place in its cohort is not fixed beyond that
-    return companies.select((-(key["year"] * 10 + key["season"])).alias("pos"), F.explode(both).alias("name"))
+    rows = companies.withColumn("__key", cohort_key(F.col(cohort))).withColumn("name", F.explode(both))
+    return rows.select((-(F.col("__key.year") * 10 + F.col("__key.season"))).alias("pos"), "name")
 
 
 def boards_by_jobs(boards: DataFrame, min_jobs: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from jobspan import vocab
 from jobspan.functions.names import ilike_any
 from jobspan.functions.scores import instant
+from jobspan.functions.vectors import matrix, unit
 
 SIM_DIGITS = 10  # similarities equal to this many digits count as ties, which go to the smaller id
 
@@ -53,20 +54,22 @@ def source_caps(n: int, shares: dict[str, float] = vocab.SOURCE_SHARES) -> dict[
     return {source: max(1, round(n * share)) for source, share in shares.items()}
 
 
-def diversify(ranked: DataFrame, n: int, rank: str = "rank", per: list[str] = (),
+def diversify(df: DataFrame, n: int, order: list[Column], per: list[str] = (),
               shares: dict[str, float] = vocab.SOURCE_SHARES) -> DataFrame:
-    """Up to a share of n rows per source in rank order, the rest filled with what overflowed, in rank order.
+    """Up to a share of n rows per source in the given order, the rest filled with what overflowed, in that order.
 
-    Adds ``pool_rank``. ``per`` names the query columns when many searches are ranked at once.
+    Adds ``pool_rank``. ``per`` names the query columns when many searches are ranked at once. No source can put more
+    than n rows into the pool, so each task first drops what lies beyond its n best per source.
     """
     src = F.lower(F.coalesce("source", F.lit("other")))
     cap = F.lit(n)
     for source, most in source_caps(n, shares).items():
         cap = F.when(src == source, most).otherwise(cap)
-    place = F.row_number().over(Window.partitionBy(*per, src).orderBy(rank))
-    over = ranked.withColumn("__over", place > cap)
-    pool = Window.partitionBy(*per).orderBy("__over", rank)
-    return over.withColumn("pool_rank", F.row_number().over(pool)).where(F.col("pool_rank") <= n).drop("__over")
+    place = F.row_number().over(Window.partitionBy(*per, src).orderBy(*order))
+    top = df.withColumn("__place", place).where(F.col("__place") <= n).withColumn("__over", F.col("__place") > cap)
+    pool = Window.partitionBy(*per).orderBy("__over", *order)
+    out = top.withColumn("pool_rank", F.row_number().over(pool)).where(F.col("pool_rank") <= n)
+    return out.drop("__over", "__place")
 
 
 def page(pool: DataFrame, number: int, size: int, order: list[Column], per: list[str] = ()) -> DataFrame:
@@ -134,7 +137,7 @@ def batch_top_k(
         part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
         table = part.select(F.col(query_id).cast("long"), query_vec).toArrow()
         block = items.sparkSession.sparkContext.broadcast(
-            (table[query_id].to_numpy(), _unit(_matrix(table[query_vec].combine_chunks(), dim)))
+            (table[query_id].to_numpy(), unit(matrix(table[query_vec].combine_chunks(), dim)))
         )
         hits = vectors.mapInArrow(_nearest(block, item_id, item_vec, query_id, dim, k), schema)
         found = hits if found is None else found.unionByName(hits)
@@ -146,17 +149,6 @@ def batch_top_k(
     return found
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
 def _best(q: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """First k of every query by (similarity, id); the inputs are parallel arrays."""
     order = np.lexsort((ids, -np.round(sims, SIM_DIGITS), q))
@@ -177,7 +169,7 @@ def _nearest(block, item_id: str, item_vec: str, query_id: str, dim: int, k: int
             if batch.num_rows == 0:
                 continue
             ids = batch.column(item_id).to_numpy(zero_copy_only=False)
-            sims = unit_queries @ _unit(_matrix(batch.column(item_vec), dim)).T
+            sims = unit_queries @ unit(matrix(batch.column(item_vec), dim)).T
             if sims.shape[1] > k:
                 kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
                 rows, cols = np.nonzero(sims >= kth - 10.0 ** -SIM_DIGITS)

@@ -27,9 +27,13 @@ def backlog(postings: DataFrame, target: str, texts: DataFrame | None = None, ht
     return rows.withColumn("text", F.when(trim_ws(F.col("text")) != "", F.col("text")))
 
 
-def skill_requests(rows: DataFrame) -> DataFrame:
+def _on_topic(titles: list[str] | None):
+    return data_tech_title(F.col("title"), titles) if titles else data_tech_title(F.col("title"))
+
+
+def skill_requests(rows: DataFrame, titles: list[str] | None = None) -> DataFrame:
     """Requests for backlog rows; off-topic titles get none."""
-    return rows.where(data_tech_title(F.col("title")) & F.col("text").isNotNull()).select(
+    return rows.where(_on_topic(titles) & F.col("text").isNotNull()).select(
         "id", A.request_text("skills", F.col("text")).alias("request"))
 
 
@@ -40,8 +44,7 @@ def enrich(rows: DataFrame, responses: DataFrame, now, broad: DataFrame | None =
     ``responses`` is (id, raw), unique by id. Off-topic titles become empty without a request. Rows in error keep null
     skills and so stay pending.
     """
-    on_topic = data_tech_title(F.col("title"), titles) if titles else data_tech_title(F.col("title"))
-    given = rows.select("id", "company_name", "text", on_topic.alias("on_topic")).join(
+    given = rows.select("id", "company_name", "text", _on_topic(titles).alias("on_topic")).join(
         responses.select("id", "raw"), "id", "left")
     given = given.withColumn("__a", A.skills_answer(F.col("raw")))
     given = given.withColumn("stated", F.col("__a.skills"))

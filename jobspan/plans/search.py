@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobspan import vocab
 from jobspan.functions import scores as S
+from jobspan.functions.vectors import cosine_to
 from jobspan.operators import retrieval as R
 from jobspan.operators.admission import not_staffing
 
@@ -78,9 +79,12 @@ def check_question(question: str) -> str:
     return question
 
 
-def query_vector(vectors: DataFrame, vector_id: int, key: str = "vec_id", vec: str = "embedding") -> Column:
-    """One stored vector as a scalar for a search."""
-    return vectors.where(F.col(key) == vector_id).select(vec).scalar()
+def query_vector(vectors: DataFrame, vector_id: int, key: str = "vec_id", vec: str = "embedding") -> list[float]:
+    """One stored vector as the query of a search."""
+    row = vectors.where(F.col(key) == vector_id).select(vec).first()
+    if row is None or row[0] is None:
+        raise ValueError(f"no vector {vector_id}")
+    return [float(x) for x in row[0]]
 
 
 def score_candidates(df: DataFrame, wanted: Column, manual, resume, min_years, use_skills: bool | Column,
@@ -102,7 +106,7 @@ def score_candidates(df: DataFrame, wanted: Column, manual, resume, min_years, u
     )
 
 
-def candidates(postings: DataFrame, vec: Column, query: str, filters: Filters, k: int, now) -> DataFrame:
+def candidates(postings: DataFrame, vec: list[float], query: str, filters: Filters, k: int, now) -> DataFrame:
     """Postings that pass the filters and are nearest to the query vector, plus title-alias hits."""
     wanted = S.query_tokens(F.lit(query))
     scored = postings.where(
@@ -111,7 +115,7 @@ def candidates(postings: DataFrame, vec: Column, query: str, filters: Filters, k
         "id", "title", F.col("company_name").alias("company"), "location", "experience_years",
         F.coalesce("skills", F.array().cast(_STR)).alias("skills"), "link", "source",
         S.hours_since(F.col("posted_date"), now).alias("hours_since_posted"),
-        S.cosine(F.col("embedding"), vec).alias("vec_score"),
+        cosine_to(vec, F.col("embedding")).alias("vec_score"),
         S.lexical_score(wanted, F.col("title"), F.col("company_name")).alias("title_score"),
     )
     return R.with_aliases(R.top_k(scored, "vec_score", k), scored, filters.title_aliases)
@@ -124,7 +128,7 @@ def _ranked(df: DataFrame, per: list[str] = ()) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order)))
 
 
-def hybrid_search(postings: DataFrame, vec: Column, search: Search, now, final_order: str = "vec_score") -> DataFrame:
+def hybrid_search(postings: DataFrame, vec: list[float], search: Search, now, final_order: str = "vec_score") -> DataFrame:
     """A page of results: candidates, hybrid rank, staffing names removed, source mix, then the final order.
 
     The hybrid score picks the pool of five pages; the pages themselves go by ``final_order``.
@@ -136,13 +140,13 @@ def hybrid_search(postings: DataFrame, vec: Column, search: Search, now, final_o
         bool(f.skills or search.resume_skills), f.min_years is not None,
     )
     ranked = _ranked(scored).where(not_staffing(F.col("source"), F.col("company")))
-    pool = R.diversify(ranked, search.top_n * 5)
+    pool = R.diversify(ranked, search.top_n * 5, [F.col("rank")])
     by = F.desc(F.round(final_order, R.SIM_DIGITS))
     out = R.page(pool.drop("rank"), search.page, search.top_n, [by, F.col("pool_rank")])
     return out.withColumn("vec_score", F.round("vec_score", 4)).select("rank", "total", *RESULT, *SCORES)
 
 
-def simple_search(postings: DataFrame, vec: Column, query: str, now, top_n: int = 10, k: int = 30,
+def simple_search(postings: DataFrame, vec: list[float], query: str, now, top_n: int = 10, k: int = 30,
                   filters: Filters | None = None, ranking: DataFrame | None = None) -> DataFrame:
     """Hybrid rank of the nearest postings; a ranked id list, when given, goes before it."""
     f = filters or Filters()

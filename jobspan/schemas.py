@@ -1,35 +1,40 @@
-"""Table schemas and additive schema upgrade."""
+"""Table schemas (column -> type) and additive schema upgrade."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+SALARY = "struct<min: double, max: double, currency: string>"
+POSTINGS = {
+    "id": "long", "company_name": "string", "title": "string", "description": "string", "link": "string",
+    "location": "string", "posted_date": "timestamp", "salary": SALARY, "source": "string",
+    "skills": "array<string>", "experience_years": "int", "enriched_at": "timestamp", "embedding": "array<float>",
+    "added_at": "int",
+}
+RAW_POSTING = {
+    "company_name": "string", "title": "string", "description": "string", "link": "string", "location": "string",
+    "locations": "array<string>", "posted_date": "timestamp", "salary": SALARY, "source": "string",
+    "followers": "long", "employees": "long",
+}
+SCRAPE_LOG = {
+    "keyword": "string", "cards_scraped": "long", "inserted": "long", "duplicate": "long", "blocked": "long",
+    "bad_title": "long", "error": "long", "total_in_db": "long", "completed_at": "timestamp",
+}
+BOARDS = {
+    "ats": "string", "company_name": "string", "key": "string", "wd_num": "int", "career_site": "string",
+    "job_count": "int", "last_scraped": "timestamp", "active": "boolean", "discovered_at": "timestamp",
+}
+COMPANIES = {"name": "string", "slug": "string", "company_id": "string", "jobs": "int"}
+RESPONSES = {"id": "long", "kind": "string", "raw": "string"}
+AGGREGATOR = {
+    "job_url": "string", "title": "string", "company": "string", "description": "string", "location": "string",
+    "site": "string", "date_posted": "string", "min_amount": "double", "max_amount": "double", "currency": "string",
+}
 
-def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def ddl(schema: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in schema.items())
 
-SALARY = "struct<min: double, max: double, currency: string>"
-POSTINGS = ddl(
-    "id long, company_name string, title string, description string, link string, location string, "
-    f"posted_date timestamp, salary {SALARY}, source string, skills array<string>, experience_years int, "
-    "enriched_at timestamp, embedding array<float>, added_at int"
-)
-RAW_POSTING = ddl(
-    "company_name string, title string, description string, link string, location string, "
-    f"locations array<string>, posted_date timestamp, salary {SALARY}, source string, followers long, employees long"
-)
-SCRAPE_LOG = ddl(
-    "keyword string, cards_scraped long, inserted long, duplicate long, blocked long, bad_title long, error long, "
-    "total_in_db long, completed_at timestamp"
-)
-BOARDS = ddl(
-    "ats string, company_name string, key string, wd_num int, career_site string, job_count int, "
-    "last_scraped timestamp, active boolean, discovered_at timestamp"
-)
-COMPANIES = ddl("name string, slug string, company_id string, jobs int")
-RESPONSES = ddl("id long, kind string, raw string")
 
 # Landed feed payloads, one JSON document per board response.
 LEVER_JOB = (
@@ -55,15 +60,9 @@ WORKDAY_JOB = (
     "struct<title: string, externalPath: string, locationsText: string, postedOn: string, "
     "jobDescription: string, jobPostingInfo: struct<jobDescription: string>>"
 )
-AGGREGATOR = ddl(
-    "job_url string, title string, company string, description string, location string, site string, "
-    "date_posted string, min_amount double, max_amount double, currency string"
-)
-
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The schema's columns in order and type; missing ones become nulls, unknown ones are dropped."""
+def conform(df: DataFrame, schema: dict[str, str], keep: list[str] = ()) -> DataFrame:
+    """The schema's columns in order and type; missing ones become nulls, unknown ones but ``keep`` are dropped."""
     have = set(df.columns)
     return df.select(
-        *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+        *keep, *[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in schema.items()])

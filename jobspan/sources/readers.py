@@ -25,7 +25,7 @@ def postings_jdbc(spark: SparkSession, url: str, table: str, low: int, high: int
 
 
 def boards(spark: SparkSession, path: str, only_active: bool = True) -> DataFrame:
-    table = spark.read.schema(schemas.BOARDS).parquet(path)
+    table = spark.read.schema(schemas.ddl(schemas.BOARDS)).parquet(path)
     return table.where("active") if only_active else table
 
 
@@ -36,7 +36,7 @@ def names(table: DataFrame, column: str, limit: int | None = None) -> DataFrame:
 
 def company_list(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of {name, slug or company_id, jobs}; ``key`` is whichever id is there."""
-    rows = spark.read.schema(schemas.COMPANIES).option("multiLine", True).json(path)
+    rows = spark.read.schema(schemas.ddl(schemas.COMPANIES)).option("multiLine", True).json(path)
     return rows.withColumn("key", F.coalesce("slug", "company_id"))
 
 
@@ -52,7 +52,7 @@ def crawl_urls(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def aggregator(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(schemas.AGGREGATOR)
+    reader = spark.read.schema(schemas.ddl(schemas.AGGREGATOR))
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
