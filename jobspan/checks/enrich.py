@@ -211,4 +211,4 @@ def enrich_stream(spark, d):
 def document_lines(spark, d):
     lines = split_lines(F.col("text"))
     total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    return B.table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), total.alias("n_chars"))
+    return B.table(spark, d, "documents", "doc_id").select("doc_id", F.size(lines).cast("long").alias("n_lines"), total.alias("n_chars"))

@@ -173,7 +173,7 @@ _scores("first_skills", """array_to_string(list_slice(skills, 1, 2), '|') as sho
 @query("query_tokens", f"""select doc_id, array_to_string(list_sort(list_filter({TOK.format('text')},
  lambda t: not list_contains({STOP}, t))), ' ') as tokens from documents""")
 def query_tokens(spark, d):
-    return B.table(spark, d, "documents").select(
+    return B.table(spark, d, "documents", "doc_id").select(
         "doc_id", F.array_join(F.array_sort(S.query_tokens(F.col("text"))), " ").alias("tokens"))
 
 

@@ -33,6 +33,12 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def if_any(value: Column) -> Column:
+    """A generator that keeps the row when the value is not null. Filtering on a computed column instead would have the
+    optimizer push the filter down and compute the value twice."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def trim_ws(col: Column) -> Column:
     return F.btrim(col, F.lit(SPACES))
 
@@ -67,7 +73,8 @@ def any_word(words: list[str], ignore_case: bool = True) -> str:
 
 
 def smart_quotes(col: Column) -> Column:
-    return F.translate(col, *_SMART)
+    """Curly quotes and hard spaces made plain; texts without any skip the character-by-character pass."""
+    return let(col, lambda c: F.when(c.rlike(f"[{_SMART[0]}]"), F.translate(c, *_SMART)).otherwise(c))
 
 
 def decode_entities(col: Column) -> Column:
@@ -156,27 +163,26 @@ def section_text(
 ) -> Column:
     """The parts of a description under wanted headings, in the given order; the plain text when there are none.
 
-    Linear in the text and without a shuffle: heading lines become a cut plus their class, the lines are joined and
-    split again at the cuts, so each segment starts with the class that holds for it.
+    Linear in the text and without a shuffle: heading lines become a cut plus their class, content lines a mark plus their
+    text; all are joined and split again at the cuts, so each segment starts with the class that holds for it.
     """
     def mark(line: Column) -> Column:
-        content = trim_ws(line)
+        content = F.concat(F.lit("\x02"), trim_ws(line))
         return let(
             header_class(line, patterns, max_len, ratio),
-            lambda head: F.when(head.isNotNull(), F.concat(F.lit(CUT), head)).when(content != "", content),
+            lambda head: F.when(head.isNotNull(), F.concat(F.lit(CUT), head)).when(content != "\x02", content),
         )
 
     def bodies(segments: Column, key: str) -> Column:
         head = key + "\x02"
         own = F.filter(segments, lambda s: s.startswith(head))
-        return F.transform(own, lambda s: F.translate(
-            F.rtrim(F.substring(s, len(head) + 1, 1_000_000_000), F.lit("\x02")), "\x02", " "))
+        return F.transform(own, lambda s: F.replace(
+            F.substring(s, len(head) + 1, 1_000_000_000), F.lit("\x02"), F.lit(" ")))
 
     def chosen(plain: Column) -> Column:
-        marked = F.array_join(F.array_compact(F.transform(split_lines(plain), mark)), "\x02")
+        marked = F.array_join(F.array_compact(F.transform(split_lines(plain), mark)), "")
         parts = let(F.split(marked, CUT, -1), lambda segs: F.flatten(F.array(*[bodies(segs, k) for k in order])))
-        joined = F.array_join(F.filter(parts, lambda s: s != ""), " ")
-        return F.coalesce(F.nullif(joined, F.lit("")), plain)
+        return F.coalesce(F.nullif(F.array_join(parts, " "), F.lit("")), plain)
 
     out = let(html_to_text(col) if html else F.coalesce(col, F.lit("")), chosen)
     return F.substring(out, 1, max_chars) if max_chars else out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobspan import vocab
 from jobspan.functions.names import board_from_url, board_url, cohort_key, slug_candidates, slug_variants
+from jobspan.functions.text import if_any
 from jobspan.operators.keys import apply_updates, unknown_only, without_known_candidates
 
 
@@ -37,7 +38,7 @@ def frequent_sites(urls: DataFrame, url: str = "url", parse: Column | None = Non
     Counted per site first, so a tenant with a third of all URLs arrives at its group as a handful of counts.
     """
     board = board_from_url(F.col(url)) if parse is None else parse
-    sites = urls.select(board.alias("b")).where(F.col("b").isNotNull()).select("b.*")
+    sites = urls.select(if_any(board).alias("b")).select("b.*")
     counts = sites.groupBy("tenant", "wd_num", "career_site").agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("career_site"))).alias("w")
     return counts.groupBy("tenant", "wd_num").agg(best).select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobspan.functions import answers as A
 from jobspan.functions.scores import instant
 from jobspan.functions.skills import extract_skills
-from jobspan.functions.text import embed_text, extract_years, html_to_text, section_text, trim_ws
+from jobspan.functions.text import embed_text, extract_years, html_to_text, if_any, section_text, trim_ws
 from jobspan.operators.admission import data_tech_title, pending
 from jobspan.sources.readers import resolve_descriptions
 
@@ -68,8 +68,7 @@ def embed_inputs(postings: DataFrame, texts: DataFrame | None = None, max_chars:
     rows = backlog(postings, "embedding", texts, html=False, **which)
     parsed = section_text(F.col("text"), **sections)
     return rows.where(F.col("text").isNotNull()).select(
-        "id", embed_text(F.col("title"), parsed, max_chars).alias("embed_text")
-    ).where(F.col("embed_text").isNotNull())
+        "id", if_any(embed_text(F.col("title"), parsed, max_chars)).alias("embed_text"))
 
 
 def backfill_years(rows: DataFrame, responses: DataFrame | None = None, **patterns) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What every job here wants: adaptive plans with skew handling, and UTC so that event times compare.
 SETTINGS = {
@@ -35,3 +35,13 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="jobspan-"), purpose)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan spread over all cores by a key when its files give too few splits for work that is heavy per row.
+
+    Large tables have many splits per core and stay as they are. Hashing a key, unlike round robin, gives a task that is
+    run again the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
