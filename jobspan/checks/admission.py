@@ -111,7 +111,8 @@ def scrape_log(spark, d):
 @query("rows_to_store", f"""{JUDGED_SQL} select id, title, link, source, coalesce(posted_date, timestamp '{NOW}')
  as posted_date from judged where status = 'inserted'""")
 def rows_to_store(spark, d):
-    return A.rows_to_store(_admitted(spark, d), NOW).select("id", "title", "link", "source", "posted_date")
+    done = ingest(B.raw_postings(spark, d), B.stored_links(spark, d), NOW, RULES)
+    return done.postings.select("id", "title", "link", "source", "posted_date")
 
 
 @query("ingest", f"{JUDGED_SQL} select source, {_COUNTS} from judged group by source")
@@ -124,6 +125,13 @@ def _safe(expr):
             "'\\s+', ' ', 'g'), 1, 100)")
 
 
+@query("deduped_batch", f"""{RAW}, {B.STORED_SQL} select id, case when link in (select link from stored) or row_number() over
+ (partition by link order by id) > 1 then 'duplicate' else 'inserted' end as status from raw""")
+def deduped_batch(spark, d):
+    done = ingest(B.raw_postings(spark, d), B.stored_links(spark, d), NOW, admission=False)
+    return done.statuses.select("id", "status")
+
+
 @query("description_paths", JUDGED_SQL + f""" select 'descriptions/' || {_safe("coalesce(company_name, 'unknown')")}
  || '/' || {_safe('title')} || '_' || substring(sha1(link), 1, 12) || '.txt' as path, description as text
  from judged where status = 'inserted' and coalesce(description, '') <> ''""")

@@ -185,31 +185,46 @@ def content_status(rules: AdmissionRules) -> Column:
     )
 
 
-def admit(raw: DataFrame, stored: DataFrame, rules: AdmissionRules | None = None, row_id: str = "id",
-          order: list[str] | None = None) -> DataFrame:
-    """Every raw posting with its ``status``: the first failed content test, else duplicate or inserted.
+def verdicts(raw: DataFrame, stored: DataFrame, rules: AdmissionRules, row_id: str = "id") -> DataFrame:
+    """Raw postings with ``fail``: the first test they fail on their own, or null."""
+    judged = raw.withColumn("fail", content_status(rules))
+    if not rules.known_links_first:
+        return judged
+    known = stored.select("link").where(F.col("link").isNotNull()).distinct().withColumn("__known", F.lit(True))
+    flagged = salted_lookup(judged, known, ["link"], [row_id])
+    return flagged.withColumn("fail", F.when(F.col("__known"), "duplicate").otherwise(F.col("fail"))).drop("__known")
+
+
+def first_new(judged: DataFrame, stored: DataFrame, row_id: str = "id", order: list[str] = ()) -> DataFrame:
+    """Ids of the rows to insert: the first row without a failure per link that is not stored yet.
 
-    A posting is a duplicate when its link is stored or an earlier admitted row of this batch has it. The first row per
-    link is an aggregate over the link, the stored links meet one row per link, and the verdict returns by row id, so
-    a link that a third of the rows share costs no more than any other.
+    The first row per link is an aggregate and the stored links meet one row per link, so a link that a third of the rows
+    share costs no more than any other.
     """
-    rules = rules or AdmissionRules()
-    judged = raw.withColumn("__fail", content_status(rules))
-    known = stored.select("link").where(F.col("link").isNotNull()).distinct()
-    if rules.known_links_first:
-        flagged = salted_lookup(judged, known.withColumn("__known", F.lit(True)), ["link"], [row_id])
-        judged = flagged.withColumn("__fail", F.when(F.col("__known"), "duplicate").otherwise(F.col("__fail")))
-        judged = judged.drop("__known")
-    fresh = judged.where(F.col("__fail").isNull())
-    first = unknown_only(first_ids(fresh, ["link"], order or [], row_id), known, "link")
-    winners = first.select(row_id, F.lit("inserted").alias("__won"))
+    fresh = judged.where(F.col("fail").isNull())
+    return unknown_only(first_ids(fresh, ["link"], list(order), row_id), stored, "link").select(row_id)
+
+
+def with_status(judged: DataFrame, winners: DataFrame, row_id: str = "id") -> DataFrame:
+    """``status`` of judged rows: their failure, inserted for the winners, duplicate for the rest."""
+    won = winners.select(row_id, F.lit("inserted").alias("__won"))
     return (
-        judged.join(winners, row_id, "left")
-        .withColumn("status", F.coalesce("__fail", "__won", F.lit("duplicate")))
-        .drop("__fail", "__won")
+        judged.join(won, row_id, "left")
+        .withColumn("status", F.coalesce("fail", "__won", F.lit("duplicate"))).drop("fail", "__won")
     )
 
 
+def admit(raw: DataFrame, stored: DataFrame, rules: AdmissionRules | None = None, row_id: str = "id",
+          order: list[str] = ()) -> DataFrame:
+    """Every raw posting with its ``status``: the first failed content test, else duplicate or inserted.
+
+    A posting is a duplicate when its link is stored or an earlier admitted row of this batch has it. The verdict returns
+    to the rows by row id, which spreads evenly. ``ingest`` is the form that reads the texts once.
+    """
+    judged = verdicts(raw, stored, rules or AdmissionRules(), row_id)
+    return with_status(judged, first_new(judged, stored, row_id, order), row_id)
+
+
 def status_counts(admitted: DataFrame, keys: list[str], statuses: list[str] = vocab.STATUSES) -> DataFrame:
     """One row per key with a counter per status and the total; one aggregate, no pivot."""
     counters = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
@@ -226,10 +241,9 @@ def scrape_log(admitted: DataFrame, stored: DataFrame, completed_at, keyword: st
     )
 
 
-def rows_to_store(admitted: DataFrame, ingest_ts) -> DataFrame:
-    """The inserted rows as they are stored: the posting date defaults to the time of ingest."""
+def rows_to_store(rows: DataFrame, ingest_ts) -> DataFrame:
+    """Inserted rows as they are stored: the posting date defaults to the time of ingest."""
     at = ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts).cast("timestamp")
-    return (
-        admitted.where(F.col("status") == "inserted").drop("status")
-        .withColumn("posted_date", F.coalesce(F.col("posted_date").cast("timestamp"), at))
-    )
+    if "status" in rows.columns:
+        rows = rows.where(F.col("status") == "inserted").drop("status")
+    return rows.withColumn("posted_date", F.coalesce(F.col("posted_date").cast("timestamp"), at))

@@ -5,12 +5,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_ids(df: DataFrame, keys: list[str], order: list[str | Column], row_id: str, when: Column | None = None
-              ) -> DataFrame:
-    """Keys and the id of the first row of each, by (order, id). An aggregate, so it combines before the shuffle."""
-    rank = F.struct(*order, F.col(row_id).alias("__id"))
-    best = F.min(rank if when is None else F.when(when, rank))
-    return df.groupBy(*keys).agg(best.alias("__first")).select(*keys, F.col("__first.__id").alias(row_id))
+def first_ids(df: DataFrame, keys: list[str], order: list[str | Column], row_id: str) -> DataFrame:
+    """Keys and the id of the first row of each, by (order, id). An aggregate, so it combines before the shuffle; by id
+    alone it is a hash aggregate."""
+    if not order:
+        return df.groupBy(*keys).agg(F.min(row_id).alias(row_id))
+    best = F.min(F.struct(*order, F.col(row_id).alias("__id"))).alias("__first")
+    return df.groupBy(*keys).agg(best).select(*keys, F.col("__first.__id").alias(row_id))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column], row_id: str) -> DataFrame:

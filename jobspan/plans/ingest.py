@@ -6,40 +6,38 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobspan.operators.admission import AdmissionRules, admit, rows_to_store, status_counts
-from jobspan.operators.keys import first_ids, unknown_only
+from jobspan.operators.admission import (
+    AdmissionRules, first_new, rows_to_store, status_counts, verdicts, with_status,
+)
 from jobspan.session import scratch_folder
 from jobspan.sources.writers import description_table
 
 
 @dataclass
 class Ingested:
-    statuses: DataFrame      # every row with its status
+    statuses: DataFrame      # (id, by ..., status) of every row
     postings: DataFrame      # rows to store
     descriptions: DataFrame  # (path, text) of the stored rows
-    counts: DataFrame        # counters per source
+    counts: DataFrame        # counters per key
 
 
-def ingest(raw: DataFrame, stored: DataFrame, ingest_ts, rules: AdmissionRules | None = None, by: str = "source",
-           admission: bool = True, keep: bool = False) -> Ingested:
+def ingest(raw: DataFrame, stored: DataFrame, ingest_ts, rules: AdmissionRules | None = None, by: list[str] = ("source",),
+           admission: bool = True, row_id: str = "id") -> Ingested:
     """One batch. ``admission=False`` (the aggregator feed) only removes duplicates.
 
-    With ``keep`` the judged rows are written once to the shared scratch folder and all four results read that table,
-    instead of judging again for each.
+    The texts are read once: the verdict of every row, without its text, and the ids of the winners are written to the
+    shared scratch folder. Statuses and counters come from those two narrow tables, and only the rows to store are
+    fetched again, by id.
     """
+    spark, path = raw.sparkSession, scratch_folder(raw.sparkSession, "ingest")
     if admission:
-        judged = admit(raw, stored, rules)
+        judged = verdicts(raw, stored, rules or AdmissionRules(), row_id)
     else:
-        judged = _dedupe_only(raw, stored)
-    if keep:
-        path = scratch_folder(raw.sparkSession, "admitted")
-        judged.write.parquet(path)
-        judged = raw.sparkSession.read.parquet(path)
-    new = rows_to_store(judged, ingest_ts)
-    return Ingested(judged, new, description_table(new), status_counts(judged, [by]))
-
-
-def _dedupe_only(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    known = stored.select("link").distinct()
-    won = unknown_only(first_ids(raw, ["link"], [], "id"), known, "link").select("id", F.lit("inserted").alias("__won"))
-    return raw.join(won, "id", "left").withColumn("status", F.coalesce("__won", F.lit("duplicate"))).drop("__won")
+        judged = raw.withColumn("fail", F.lit(None).cast("string"))
+    judged.select(row_id, "link", *by, "fail").write.parquet(path + "/verdicts")
+    narrow = spark.read.parquet(path + "/verdicts")
+    first_new(narrow, stored, row_id).write.parquet(path + "/winners")
+    winners = spark.read.parquet(path + "/winners")
+    statuses = with_status(narrow, winners, row_id).drop("link")
+    new = rows_to_store(raw.join(winners, row_id, "left_semi"), ingest_ts)
+    return Ingested(statuses, new, description_table(new), status_counts(statuses, list(by)))

@@ -5,15 +5,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobspan.functions.text import chunk_path, description_path
-from jobspan.operators.admission import rows_to_store
 from jobspan.operators.boards import boards_by_jobs, export_rows
 
 
-def append_postings(admitted: DataFrame, path: str, ingest_ts) -> DataFrame:
-    """Appends the inserted rows (see ``admit``) and returns them."""
-    rows = rows_to_store(admitted, ingest_ts)
+def append_postings(rows: DataFrame, path: str) -> None:
+    """Appends the rows of an ingested batch (``Ingested.postings``)."""
     rows.write.mode("append").parquet(path)
-    return rows
 
 
 def description_table(df: DataFrame, company: str = "company_name", title: str = "title", key: str = "link"

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from jobspan.operators.admission import AdmissionRules, admit, rows_to_store, status_counts
+from jobspan.operators.admission import AdmissionRules
 from jobspan.operators.keys import salted_lookup
-from jobspan.session import scratch_folder
+from jobspan.plans.ingest import ingest
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None,
@@ -43,17 +43,12 @@ def ingest_stream(stream: DataFrame, table: str, counts: str, checkpoint: str, i
                   rules: AdmissionRules | None = None, by: str = "source") -> None:
     """Each micro-batch is admitted against everything stored before it, appended and counted.
 
-    The batch is judged once and written; stored rows and counters are read from that table. A repeated batch leaves
-    its own earlier output out of what counts as stored.
+    A repeated batch leaves its own earlier output out of what counts as stored.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = _stored(spark, table, batch.schema, batch_id)
-        judged = scratch_folder(spark, "judged")
-        admit(batch, stored, rules).write.mode("overwrite").parquet(judged)
-        rows = spark.read.parquet(judged)
-        _write_batch(rows_to_store(rows, ingest_ts), table, batch_id)
-        _write_batch(status_counts(rows, [by]), counts, batch_id)
+        done = ingest(batch, _stored(batch.sparkSession, table, batch.schema, batch_id), ingest_ts, rules, [by])
+        _write_batch(done.postings, table, batch_id)
+        _write_batch(done.counts, counts, batch_id)
 
     run_available(stream, sink, checkpoint)
 
