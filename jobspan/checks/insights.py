@@ -101,6 +101,15 @@ def role_samples(spark, d):
     return rows.select("role", F.col("sample").cast("long").alias("sample"), "id", "title")
 
 
+@query("role_requests", P + ROLES_SQL + """, picked as (select * from (
+ select *, row_number() over (partition by role order by id) as sample from matched where description is not null)
+ where sample <= 5) select role, string_agg('Title: ' || title || chr(10) || 'Company: ' || coalesce(company_name, '') || chr(10) ||
+ chr(10) || 'Description:' || chr(10) || substring(description, 1, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10)
+ order by sample) as postings from picked group by role""")
+def role_requests(spark, d):
+    return I.role_requests(I.role_samples(B.postings(spark, d), ROLES))
+
+
 @query("skill_gap", P + """, top as (
  select skill, count(*) as cnt from (select title, unnest(skills) as skill from postings)
  where title ilike '%rod%' group by 1 order by cnt desc, 1 limit 20), split as (

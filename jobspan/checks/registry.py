@@ -1,6 +1,7 @@
 """Registered queries: a Spark callable and, where it can be said in SQL, the same query for DuckDB."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,18 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Registers a query. It runs in UTC: the tables' times carry no zone, and the SQL reads them as UTC."""
+
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn

@@ -276,7 +276,7 @@ def _resumes(spark, d):
         F.concat_ws(" ", F.lit("senior"), "p_name", "p_type").alias("summary"))
 
 
-@query("match_resumes", f"""{P}, people as (select e.vec_id as resume_id, e.embedding as vec,
+MATCHES = f"""{P}, people as (select e.vec_id as resume_id, e.embedding as vec,
  case when p_size > 10 then string_split(p_name || ' ' || p_brand, ' ') else [] end as owned,
  list_filter({TOK.format("'senior ' || p_name || ' ' || p_type")}, lambda t: not list_contains({STOP}, t)) as wanted
  from embeddings e join part p on p.p_partkey = e.vec_id),
@@ -291,12 +291,25 @@ def _resumes(spark, d):
    from near n join fresh f on f.id = n.id join people using (resume_id)),
  {scored_sql('found', tuple(f'(case when len(owned) > 0 then {a} else {b} end)' for a, b in zip(Q.S.weights(True, False), Q.S.weights(False, False))), '[]', 'owned')},
  ranked as (select *, {RANK.format(per='partition by resume_id')} as rank from scored)
- select resume_id, rank, {OUT} from ranked where rank <= 20""")
+"""
+
+
+@query("match_resumes", MATCHES + f""" select resume_id, rank, {OUT} from ranked where rank <= 20""")
 def match_resumes(spark, d):
     rows = Q.match_resumes(B.postings(spark, d), _resumes(spark, d), NOW, k=50, max_hours_old=20000)
     return _longs(flat(rows), "rank").withColumn("vec_score", F.round("vec_score", 4))
 
 
+@query("explanation_requests", MATCHES + """ select resume_id, '[' || string_agg('{"id":' || id || ',"title":"' || title || '",' ||
+ coalesce('"company":"' || company || '",', '') || coalesce('"location":"' || location || '",', '') ||
+ coalesce('"experience_years":' || experience_years || ',', '') || '"skills":[' ||
+ coalesce('"' || nullif(array_to_string(list_slice(skills, 1, 2), '","'), '') || '"', '') || ']}', ',' order by rank) || ']' as jobs
+ from ranked where rank <= 20 group by 1""")
+def explanation_requests(spark, d):
+    rows = Q.match_resumes(B.postings(spark, d), _resumes(spark, d), NOW, k=50, max_hours_old=20000)
+    return Q.jobs_json(rows, 2, location=True)
+
+
 _NEAR = f"""near as (select q.vec_id as query_id, i.id, row_number() over (partition by q.vec_id
  order by round({COS.format(a='q.embedding', b='i.embedding')}, 10) desc, i.id) as rank
  from embeddings q, postings i where i.embedding is not null qualify rank <= 20)"""

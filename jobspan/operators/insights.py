@@ -68,6 +68,15 @@ def role_samples(postings: DataFrame, patterns: dict[str, list[str]] = vocab.ROL
     return rows.withColumn("sample", F.row_number().over(w)).where(F.col("sample") <= n)
 
 
+def role_requests(samples: DataFrame, chars: int = 1000) -> DataFrame:
+    """One text per role from its few sample postings, in sample order, for a request (see ``answers.request_text``)."""
+    one = F.concat(F.lit("Title: "), "title", F.lit("\nCompany: "), F.coalesce("company_name", F.lit("")),
+                   F.lit("\n\nDescription:\n"), F.substring("description", 1, chars))
+    ordered = F.array_sort(F.collect_list(F.struct("sample", one.alias("text"))))
+    return samples.groupBy("role").agg(
+        F.array_join(F.transform(ordered, lambda s: s["text"]), "\n\n---\n\n").alias("postings"))
+
+
 def roles_overview(postings: DataFrame, patterns: dict[str, list[str]] = vocab.ROLE_PATTERNS, skills: int = 15,
                    companies: int = 10) -> DataFrame:
     """Overview of all roles in long form: (role, kind, name, cnt, place)."""

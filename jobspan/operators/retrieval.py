@@ -124,8 +124,7 @@ def batch_top_k(
     block; every task multiplies its batches with the block and keeps k items per query. The survivors are merged in
     two steps, so no task sees the survivors of all tasks at once.
     """
-    dim = queries.select(F.max(F.size(query_vec))).first()[0]
-    n = queries.count()
+    n, dim = queries.agg(F.count("*"), F.max(F.size(query_vec))).first()
     if not n or not dim:
         return items.sparkSession.createDataFrame([], f"{query_id} long, {item_id} long, vec_score double")
     blocks = max(1, -(-(n * dim * 8) // max_query_bytes))

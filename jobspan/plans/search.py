@@ -184,6 +184,15 @@ def match_resumes(postings: DataFrame, resumes: DataFrame, now, top_n: int = 20,
     return ranked.where(F.col("rank") <= top_n).select("resume_id", "rank", *RESULT, *SCORES)
 
 
+def jobs_json(results: DataFrame, skills: int, per: list[str] = ("resume_id",), location: bool = False) -> DataFrame:
+    """Ranked results of each query as one JSON list, for a rerank (15 skills) or explanation (12 skills, location)
+    request. A result list is bounded by the search that made it."""
+    fields = ["id", "title", "company"] + (["location"] if location else [])
+    job = F.struct(*fields, "experience_years", F.slice("skills", 1, skills).alias("skills"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", job.alias("job"))))
+    return results.groupBy(*per).agg(F.to_json(F.transform(ordered, lambda r: r["job"])).alias("jobs"))
+
+
 def query_text(saved: DataFrame) -> Column:
     """Words of a saved search (skills, experience, location, remote) as one query."""
     place = F.nullif(F.trim(F.coalesce("location", F.lit(""))), F.lit(""))
