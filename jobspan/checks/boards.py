@@ -84,14 +84,15 @@ def slug_candidates(spark, d):
 
 
 @query("board_candidates", f"""with c as (select distinct {_COMPANY} as name from part), s as (select name, {_W_LONG} as w from c),
- pairs as (select name, unnest({_L}) as slug from s), known as (select lower(replace(replace(p_brand, '#', ''), ' ', '')) as slug
- from part where p_size > 45 group by 1 having count(*) > 6)
+ pairs as (select name, unnest({_L}) as slug from s), known as (select 'brand' || n_nationkey as slug from nation join region
+ on r_regionkey = n_regionkey where r_name = 'EUROPE')
  select name, slug, unnest([1, 2, 3, 4, 5]) as wd_num from pairs
  where name not in (select name from pairs where slug in (select slug from known))""")
 def board_candidates(spark, d):
-    known = B.table(spark, d, "part").where("p_size > 45").groupBy(F.lower(F.replace(F.replace(
-        F.col("p_brand"), F.lit("#"), F.lit("")), F.lit(" "), F.lit(""))).alias("tenant")).count().where("count > 6")
-    return O.board_candidates(_companies(spark, d), known.select("tenant"))
+    n, r = B.table(spark, d, "nation"), B.table(spark, d, "region").where("r_name = 'EUROPE'")
+    known = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.concat(F.lit("brand"), F.col("n_nationkey").cast("string")).alias("tenant"))
+    return O.board_candidates(_companies(spark, d), known)
 
 
 @query("candidate_slugs", f"""with companies as (select 0 as list, s_suppkey as pos, s_name as name from supplier union all

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,16 +131,19 @@ def saved_set_stream(stream: DataFrame, keys: list[str], ts: str = "ts", action:
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         saved, at = held.get if held.exists else (False, 0)
-        rows = pd.concat(list(frames)).sort_values([ts, row_id])
-        removes = (rows[action] == "remove").to_numpy().nonzero()[0]
+        parts = [(f[ts].to_numpy("datetime64[us]"), f[row_id].to_numpy(), f[action].to_numpy()) for f in frames]
+        times, ids, actions = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((ids, times))
+        times, actions = times[order], actions[order]
+        removes = np.flatnonzero(actions == "remove")
         if len(removes):
-            saved, rows = False, rows.iloc[removes[-1] + 1:]
-        toggles = rows[rows[action] == "toggle"]
+            saved, times, actions = False, times[removes[-1] + 1:], actions[removes[-1] + 1:]
+        toggles = times[actions == "toggle"]
         if len(toggles):
-            saved = bool(saved) ^ bool(len(toggles) % 2)
-            at = int(toggles[ts].iloc[-1].value // 1000)
+            saved, at = bool(saved) ^ bool(len(toggles) % 2), int(toggles[-1].astype("int64"))
         held.update((saved, at))
-        yield pd.DataFrame([[*key, saved, pd.Timestamp(at, unit="us") if saved else pd.NaT]], columns=out.names)
+        shown = [np.datetime64(at, "us") if saved else np.datetime64("NaT", "us")]
+        yield pd.DataFrame({**{n: [v] for n, v in zip(keys, key)}, "saved": [saved], "saved_at": shown})
 
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return rows.groupBy(*keys).applyInPandasWithState(
