@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from jobspan import bindings as B
 from jobspan.checks.registry import query
 from jobspan.functions import scores as S
+from jobspan.functions import skills as K
 from jobspan.functions.vectors import cosine, cosine_to
 from jobspan.operators import retrieval as R
 from jobspan.plans import search as Q
@@ -165,9 +166,8 @@ _scores("posted_label", f"""case when {_HOURS} is null then 'Recently posted' wh
  end as label""", lambda: [S.posted_label(_h()).alias("label")])
 _scores("first_skills", """array_to_string(list_slice(skills, 1, 2), '|') as shown,
  greatest(len(coalesce(skills, [])) - 2, 0) as more""",
-        lambda: [F.array_join(Q.F.slice("skills", 1, 2), "|").alias("shown"),
-                 F.greatest(F.size(F.coalesce("skills", F.array().cast("array<string>"))) - 2, F.lit(0)).cast("long")
-                 .alias("more")])
+        lambda: [F.array_join(K.first_skills(F.col("skills"), 2), "|").alias("shown"),
+                 K.more_skills(F.col("skills"), 2).cast("long").alias("more")])
 
 
 @query("query_tokens", f"""select doc_id, array_to_string(list_sort(list_filter({TOK.format('text')},

@@ -41,6 +41,10 @@ def parsed(raw: Column, fences: bool = True) -> Column:
     return F.try_parse_json(strip_fences(raw) if fences else raw)
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def answer_problem(raw: Column, fences: bool = True) -> Column:
     """Why an answer cannot be used, or null."""
     return (
@@ -84,7 +88,7 @@ def skills_answer(raw: Column) -> Column:
     """struct(ok, skills, years) of an extraction answer."""
     v = parsed(raw, fences=False)
     return F.struct(
-        v.isNotNull().alias("ok"),
+        _is_object(v).alias("ok"),
         text_list(v, "$.required_skills", "$.skills").alias("skills"),
         year_count(v).alias("years"),
     )
@@ -101,14 +105,14 @@ def resume_answer(raw: Column, text: Column, head: int = 500) -> Column:
     return F.struct(
         text_list(v, "$.skills").alias("skills"),
         year_count(v, low=-2**31, digits=False).alias("experience_years"),
-        F.when(v.isNull(), F.substring(text, 1, head)).otherwise(summary).alias("summary"),
+        F.when(_is_object(v), summary).otherwise(F.substring(text, 1, head)).alias("summary"),
     )
 
 
 def company_answer(raw: Column, company: Column | None = None) -> Column:
     """Company profile as a variant's JSON text with its name; null without the required field."""
     v = parsed(raw, fences=False)
-    has = F.schema_of_variant(v).contains("company_name")
+    has = _is_object(v) & F.try_variant_get(v, "$.company_name", "variant").isNotNull()
     name = F.nullif(F.try_variant_get(v, "$.company_name", "string"), F.lit(""))
     if company is not None:
         name = F.coalesce(name, company)
@@ -137,10 +141,12 @@ def id_list(raw: Column) -> Column:
 
 
 def text_by_id(raw: Column) -> Column:
-    """map id -> text of an explanation answer, empty texts dropped; {} when it is no JSON object."""
+    """map id -> text of an explanation answer, empty texts dropped; {} when it is no JSON object or a key is no id."""
+    none = F.create_map().cast("map<bigint,string>")
     pairs = F.from_json(strip_fences(raw), "map<string,string>")
-    kept = F.map_filter(pairs, lambda k, t: k.rlike(r"^\d+$") & (F.coalesce(t, F.lit("")) != ""))
-    return F.coalesce(F.transform_keys(kept, lambda k, t: k.cast("bigint")), F.create_map().cast("map<bigint,string>"))
+    kept = F.map_filter(pairs, lambda k, t: F.coalesce(t, F.lit("")) != "")
+    sound = F.forall(F.map_keys(kept), lambda k: k.try_cast("bigint").isNotNull())
+    return F.coalesce(F.when(sound, F.transform_keys(kept, lambda k, t: k.try_cast("bigint"))), none)
 
 
 CATEGORIES = ["skills_for_role", "top_skills", "top_companies", "role_overview", "skill_gap", "off_topic"]

@@ -189,7 +189,13 @@ def test_answers(ev):
     assert (r.skills, r.experience_years, len(r.summary)) == ([], None, 500)
     assert ev(A.company_answer(c), c='{"name": "x"}') is None
     assert ev(A.company_answer(c, F.lit("Acme")), c='{"company_name": ""}').company_name == "Acme"
-    assert ev(A.text_by_id(c), c='{"1": "a", "2": "", "x": "y"}') == {1: "a"}
+    assert ev(A.text_by_id(c), c='{"1": "a", "2": "", "x": ""}') == {1: "a"}
+    assert ev(A.text_by_id(c), c='{"1": "a", "x": "y"}') == {}
+    assert ev(A.skills_answer(c), c="[]").ok is False
+    assert ev(A.skills_answer(c), c='{"required_skills": null, "skills": ["a"]}').skills == []
+    assert ev(A.company_answer(c), c='{"about": {"company_name": "x"}}') is None
+    assert ev(A.company_answer(c, F.lit("Acme")), c='{"company_name": null}').company_name == "Acme"
+    assert ev(A.resume_answer(c, F.lit("head")), c="[1]").summary == "head"
     assert ev(A.text_by_id(c), c="no") == {}
     assert ev(A.id_list(c), c="```json\n[3, 1]\n```") == [3, 1]
     q = ev(A.question_class(c), c='{"category": "skill_gap", "role": " Data Engineer ", "skills_known": ["sql"]}')
