@@ -105,10 +105,11 @@ def weights(has_skills: bool, has_years: bool) -> tuple[float, ...]:
     return vocab.WEIGHTS[key]
 
 
-def weighted(parts: tuple[Column, ...], w: tuple[float, ...]) -> Column:
+def weighted(parts: list[Column], weights: list[Column | float]) -> Column:
+    """Sum of the parts times their weights."""
     total = F.lit(0.0)
-    for part, weight in zip(parts, w):
-        total = total + part * F.lit(float(weight))
+    for part, weight in zip(parts, weights):
+        total = total + part * (weight if isinstance(weight, Column) else F.lit(float(weight)))
     return total
 
 

@@ -90,20 +90,23 @@ def query_vector(vectors: DataFrame, vector_id: int, key: str = "vec_id", vec: s
 def score_candidates(df: DataFrame, wanted: Column, manual, resume, min_years, use_skills: bool | Column,
                      use_years: bool) -> DataFrame:
     """Hybrid score and its parts. The weights depend only on which wishes exist (a column when that differs by row)."""
-    filter_score = S.manual_skill_score(F.col("skills"), manual) * S.resume_skill_score(F.col("skills"), resume)
-    exp_score = S.experience_score(F.col("experience_years"), min_years)
-    overlap = S.overlap_score(wanted, F.col("skills"), F.col("title"))
-    parts = (F.col("vec_score"), filter_score, exp_score, overlap, F.col("title_score"),
-             S.recency_score(F.col("hours_since_posted")))
+    # The parts become columns first: they are used more than once, and each costs a pass over the row's arrays.
+    df = df.withColumns({
+        "__filter": S.manual_skill_score(F.col("skills"), manual) * S.resume_skill_score(F.col("skills"), resume),
+        "__exp": S.experience_score(F.col("experience_years"), min_years),
+        "__overlap": S.overlap_score(wanted, F.col("skills"), F.col("title")),
+        "__recency": S.recency_score(F.col("hours_since_posted")),
+    })
+    parts = [F.col(c) for c in ("vec_score", "__filter", "__exp", "__overlap", "title_score", "__recency")]
     if isinstance(use_skills, Column):
-        total = F.when(use_skills, S.weighted(parts, S.weights(True, use_years))).otherwise(
-            S.weighted(parts, S.weights(False, use_years)))
+        both = zip(S.weights(True, use_years), S.weights(False, use_years))
+        w = [F.when(use_skills, yes).otherwise(no) for yes, no in both]
     else:
-        total = S.weighted(parts, S.weights(use_skills, use_years))
-    return (
-        df.withColumn("skill_overlap", F.round(overlap, 4)).withColumn("filter_score", F.round(filter_score, 4))
-        .withColumn("exp_score", F.round(exp_score, 4)).withColumn("hybrid_score", F.round(total, 4))
-    )
+        w = S.weights(use_skills, use_years)
+    return df.withColumns({
+        "skill_overlap": F.round("__overlap", 4), "filter_score": F.round("__filter", 4),
+        "exp_score": F.round("__exp", 4), "hybrid_score": F.round(S.weighted(parts, w), 4),
+    }).drop("__filter", "__exp", "__overlap", "__recency")
 
 
 def candidates(postings: DataFrame, vec: list[float], query: str, filters: Filters, k: int, now) -> DataFrame:
