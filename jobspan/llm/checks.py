@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspan.llm import language_id, licences, pieces, sharding, simhash
-from jobspan.llm.common import documents, held_out
+from jobspan.llm import language_id, licences, pieces, quality_rules, rule_ensemble, sharding, simhash, text_stats
+from jobspan.llm.common import documents, held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,18 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op1_rule_ensemble(spark, sf_dir):
+    stats = stored(text_stats.statistics(documents(spark, sf_dir)), "statistics")
+    outside = held_out(F.col("doc_id"), 5, 0)
+    model = rule_ensemble.learn(text_stats.labelled(stats.where(~outside), labels(spark, sf_dir)))
+    return rule_ensemble.classify(stats, model).select("doc_id", outside.alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -47,6 +59,12 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir), shards=40)
 
 
+@query
+def op9_decision_list(spark, sf_dir):
+    stats = stored(text_stats.statistics(documents(spark, sf_dir)), "statistics")
+    return quality_rules.judge(stats, quality_rules.learn(text_stats.labelled(stats, labels(spark, sf_dir))))
+
+
 @query
 def op10_pieces(spark, sf_dir):
     return pieces.digests(pieces.encode(documents(spark, sf_dir), piece_model()))
