@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,21 @@ def build_session(name: str = "jobspan", **settings) -> SparkSession:
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per application, so that Python operators run from any folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # The driver serves the file from where it lies, for as long as the application runs.
+    name = os.path.join(tempfile.mkdtemp(prefix="jobspan-package-"), "jobspan-package")
+    sc.addPyFile(shutil.make_archive(name, "zip", top, "jobspan"))
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
