@@ -1,21 +1,29 @@
 """Registered queries of the operators, each over its whole tables, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspan.llm import language_id, licences, pieces, quality_rules, rule_ensemble, sharding, simhash, text_stats
+from jobspan.llm import (decontaminate, language_id, licences, pieces, quality_rules, rule_ensemble, sharding, simhash,
+                         text_stats)
 from jobspan.llm.common import documents, held_out, stored
+from jobspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def piece_model() -> str:
@@ -36,6 +44,11 @@ def op1_rule_ensemble(spark, sf_dir):
     return rule_ensemble.classify(stats, model).select("doc_id", outside.alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
