@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspan.llm import (decontaminate, language_id, licences, pieces, quality_rules, rule_ensemble, sharding, simhash,
+from jobspan.llm import (decontaminate, language_id, licences, pieces, pseudonyms, quality_rules, rule_ensemble, sharding, simhash,
                          text_stats)
 from jobspan.llm.common import documents, held_out, stored
 from jobspan.session import ship
@@ -57,6 +57,11 @@ def op3_language_id(spark, sf_dir):
     return language_id.predict(docs, filters).select("doc_id", outside.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymize(documents(spark, sf_dir), key="corpus key of the checks")
+
+
 @query
 def op5_licences(spark, sf_dir):
     return licences.summary(licences.scan(documents(spark, sf_dir)))
