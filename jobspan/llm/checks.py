@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspan.llm import (decontaminate, language_id, licences, pieces, pseudonyms, quality_rules, rule_ensemble, sharding, simhash,
-                         text_stats)
+from jobspan.llm import (decontaminate, language_id, licences, line_dedup, pieces, pseudonyms, quality_rules,
+                         rule_ensemble, sharding, simhash, text_stats)
 from jobspan.llm.common import documents, held_out, stored
 from jobspan.session import ship
 
@@ -67,6 +67,11 @@ def op5_licences(spark, sf_dir):
     return licences.summary(licences.scan(documents(spark, sf_dir)))
 
 
+@query
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 @query
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
