@@ -12,14 +12,13 @@ import itertools
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobspan.llm.common import components, portions, stored, utf8
 
-SHORT = 64  # fingerprints of a list whose pairs are compared as rows
+SHORT = 8  # fingerprints of a list whose pairs are compared as rows
 TILE = 4096  # fingerprints compared with each other in one call: 4096 x 4096 bytes
 
 
@@ -73,8 +72,11 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("place"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes"))
                      for i, m in enumerate(signed)])
     listed = fps.select("fp", F.inline(keys))
-    # Lists are counted first: a list of one fingerprint can't link, and nearly all lists are such.
-    sizes = listed.groupBy("place", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    # Lists are counted first: a list of one fingerprint can't link, and nearly all lists are such. Lists of the same fingerprints,
+    # as a group has them under many keys, are told by two hashes of their members and kept once.
+    sizes = listed.groupBy("place", "bytes").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"),
+                                                 F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")).where("n > 1")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("place", "bytes")).alias("list")).select("list.*", "n")
     shared = stored(listed.join(sizes, ["place", "bytes"]), "simhash-lists")
     # Longer lists are dealt to tiles, pairs of blocks of a list, so that no task holds a whole list.
     dealt = (shared.where(F.col("n") > SHORT).withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
@@ -83,12 +85,12 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
         F.least(F.col("own"), k).alias("low"), F.greatest(F.col("own"), k).alias("high")))
     dealt = dealt.select("place", "bytes", "own", "fp", F.inline(tiles))
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["own"].to_numpy()
-        fps = rows["fp"].to_numpy().view(np.uint64)
-        return pd.DataFrame(tile_links(fps[own == key[2]], fps[own == key[3]], bits, keep), columns=["a", "b"])
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        own, fps = rows["own"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        found = tile_links(fps[own == key[2].as_py()], fps[own == key[3].as_py()], bits, keep)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    long = dealt.groupBy("place", "bytes", "low", "high").applyInPandas(join, "a long, b long")
+    long = dealt.groupBy("place", "bytes", "low", "high").applyInArrow(join, "a long, b long")
     return stored(_short_lists(shared.where(F.col("n") <= SHORT), bits, keep).unionByName(long).distinct(), "simhash-links")
 
 
