@@ -398,6 +398,12 @@ def test_banded_distance_decides_like_the_table():
             assert line_dedup.within(a, b, t) == (edit_distance(a, b) <= t)
 
 
+def test_segment_keys_tell_contents_apart():
+    rng = random.Random(7)
+    own, looked, _ = line_dedup.signatures(["".join(rng.choice("ab é🙂") for _ in range(60)) for _ in range(300)] * 2, 2)
+    assert len(set(own.ravel().tolist())) == 900 and (own[:300] == own[300:]).all() and (looked[:300] == looked[300:]).all()
+
+
 @pytest.mark.parametrize("edits", [0, 1, 2, 3])
 def test_line_classes_match_brute_force(spark, edits):
     rng = random.Random(edits)
