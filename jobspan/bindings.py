@@ -8,19 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspan.session import spread
-
 NOW = "2001-08-01 00:00:00"  # the newest order date; reports never read the clock
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A given table; with a unique key, spread over the cores for work that is heavy per row."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, spread_by) if spread_by else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id")
+    d = table(spark, sf_dir, "documents")
     p, s, n, r, o = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation", "region", "orders"))
     suppliers = s.select(F.count("*").alias("n")).scalar()
     return (

@@ -129,7 +129,7 @@ def _board():
  from pages where {_SITE} <> '' and lower({_SITE}) not in ('en', 'jobs')""")
 def boards_in_urls(spark, d):
     b = _board()
-    return B.table(spark, d, "pages", "page_id").select("page_id", b.alias("b")).where("b is not null").select(
+    return B.table(spark, d, "pages").select("page_id", b.alias("b")).where("b is not null").select(
         "page_id", "b.tenant", "b.career_site")
 
 
@@ -137,14 +137,14 @@ def boards_in_urls(spark, d):
  select tenant, 3 as wd_num, career_site, urls from n
  qualify row_number() over (partition by tenant order by urls desc, career_site) = 1""")
 def frequent_sites(spark, d):
-    return O.frequent_sites(B.table(spark, d, "pages", "page_id"), parse=_board())
+    return O.frequent_sites(B.table(spark, d, "pages"), parse=_board())
 
 
 @query("discovered_boards", f"""with {URLS}, n as (select tenant, career_site, 2 * count(*) as urls from urls group by all)
  select tenant, 3 as wd_num, career_site, urls from n where tenant not in (select 'th' || lower(substring(n_name, 1, 0)) ||
  'on' from nation) qualify row_number() over (partition by tenant order by urls desc, career_site) = 1""")
 def discovered_boards(spark, d):
-    pages = B.table(spark, d, "pages", "page_id")
+    pages = B.table(spark, d, "pages")
     known = B.table(spark, d, "nation").select(F.lit("thon").alias("tenant"))
     return O.discover_boards([pages, pages], known, parse=_board())
 
@@ -154,7 +154,7 @@ def discovered_boards(spark, d):
  lambda s: s <> '' and lower(s) not in ('en', 'fr'))[1] as site from p""")
 def career_sites(spark, d):
     path = F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1)
-    return B.table(spark, d, "pages", "page_id").select("page_id", N.career_site(path, ["en", "fr"]).alias("site"))
+    return B.table(spark, d, "pages").select("page_id", N.career_site(path, ["en", "fr"]).alias("site"))
 
 
 @query("career_site_fallbacks", """select s_suppkey, 'External_Careers|External|Careers|' || upper(substring(slug, 1, 1)) ||
@@ -177,7 +177,7 @@ def canonical_links(spark, d):
     absolute = F.when(path.contains("/en/"), N.canonical_link(F.replace(path, F.lit("/en/"), F.lit("/jobs/")), base)).otherwise(
         F.concat(F.lit(base), F.split_part(path, F.lit("?"), F.lit(1))))
     href = F.when(F.col("url").contains("/de/"), F.col("url")).otherwise(F.concat(F.lit("/x"), key))
-    return B.table(spark, d, "pages", "page_id").select(
+    return B.table(spark, d, "pages").select(
         "page_id", N.canonical_link(F.col("url"), base).alias("listed"), absolute.alias("absolute"),
         N.job_key_link(key, none, base).alias("keyed"), N.job_key_link(none, href, base).alias("by_href"))
 
@@ -218,13 +218,14 @@ def normal_roles(spark, d):
 
 
 @query("company_guesses", r"""select doc_id, case when length(g1) > 2 and length(g1) < 50 then g1
- when length(g2) > 2 and length(g2) < 50 then g2 end as company from (select doc_id,
- trim(regexp_extract(substring(text, 1, 500), '^([A-Z][A-Za-z0-9\s]+)\s+(?:is |are |''s )', 1), ' ' || chr(10)) as g1,
- trim(regexp_extract(substring(text, 1, 500), '(?:at|for)\s+([A-Z][A-Za-z0-9\s&]+)(?:\s|,|$)', 1), ' ' || chr(10)) as g2
+ when length(g2) > 2 and length(g2) < 50 then g2 when length(g3) > 2 and length(g3) < 50 then g3 end as company from (select doc_id,
+ trim(regexp_extract(text, '^([A-Z][A-Za-z0-9\s]+)\s+(?:is |are |''s )', 1), ' ' || chr(10)) as g1,
+ trim(regexp_extract(text, '(?:at|for)\s+([A-Z][A-Za-z0-9\s&]+)(?:\s|,|$)', 1), ' ' || chr(10)) as g2,
+ trim(regexp_extract(text, '(?:company|organization)\s+(?:is\s+)?(?:called\s+)?([A-Z][A-Za-z0-9\s&]+)', 1), ' ' || chr(10)) as g3
  from documents)""")
 def company_guesses(spark, d):
-    return B.table(spark, d, "documents", "doc_id").select(
-        "doc_id", N.guess_company(F.col("text"), vocab.COMPANY_GUESS_PATTERNS[:2]).alias("company"))
+    return B.table(spark, d, "documents").select(
+        "doc_id", N.guess_company(F.col("text")).alias("company"))
 
 
 # ------------------------------------------------------------------ boards
@@ -321,7 +322,7 @@ def cohort_names(spark, d):
 # ------------------------------------------------------------------ feeds: payloads made from the tables, then normalised
 def _landed(spark, d, job, wrap, *board):
     """One JSON response per supplier with a posting per supplied part line (returned lines), as landed text."""
-    li = B.table(spark, d, "lineitem", "l_orderkey")
+    li = B.table(spark, d, "lineitem")
     p, s = B.table(spark, d, "part"), B.table(spark, d, "supplier")
     rows = li.join(p, p.p_partkey == li.l_partkey).join(s, s.s_suppkey == li.l_suppkey)
     return rows.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("line"),
@@ -479,4 +480,4 @@ def page_profiles(spark, d):
     deep = F.to_json(F.struct(F.array(F.struct(one.alias("a"), no.alias("b"), F.array(inner).alias("c"), again.alias("d"))).alias("x")))
     island = F.when(F.length("url") % 2 == 0, deep).otherwise(listed)
     html = F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">'), island, F.lit("</script>"))
-    return readers.page_profiles(B.table(spark, d, "pages", "page_id").select("page_id", html.alias("html")))
+    return readers.page_profiles(B.table(spark, d, "pages").select("page_id", html.alias("html")))

@@ -87,7 +87,7 @@ def enriched_postings(spark, d):
     return out.withColumn("skills", F.array_join("skills", "|"))
 
 
-@query("skill_request_backlog", f"""{_RESOLVED} select id, {CT._HEAD} || substring(text, 1, 4000) as request from texts
+@query("skill_request_backlog", f"""{_RESOLVED} select id, {CT._HEAD} || text as request from texts
  where description is not null and text is not null and {_TOPIC}""")
 def skill_request_backlog(spark, d):
     rows, texts = _stored_texts(spark, d)
@@ -178,16 +178,18 @@ def unique_links_stream(spark, d):
     return spark.read.parquet(out).select("link", "event_type")
 
 
-@query("ingest_stream", f"{CA.JUDGED_SQL.replace('(select link from stored)', '(select link from stored where false)')} select source, {CA._COUNTS} from judged group by source")
+@query("ingest_stream", f"{CA.JUDGED_SQL} select source, {CA._COUNTS} from judged group by source")
 def ingest_stream(spark, d):
-    """The raw postings land as one table in the shared folder and are read back as a stream, batch by batch."""
+    """The raw postings land as one table in the shared folder and are read back as a stream, batch by batch, against a table that
+    holds links already."""
     out = scratch_folder(spark, "ingest")
     raw = B.raw_postings(spark, d)
     raw.write.parquet(out + "/landed")
+    B.stored_links(spark, d).write.parquet(out + "/table")
     stream = S.file_stream(spark, out + "/landed", raw.schema)
     S.ingest_stream(stream, out + "/table", out + "/counts", out + "/checkpoint", NOW, CA.RULES)
     counts = spark.read.parquet(out + "/counts")
-    return counts.groupBy("source").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("source", "batch")])
+    return counts.groupBy("source").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("source", "run", "batch")])
 
 
 @query("enrich_stream", f"{_ENRICHED} select outcome, count(*) as cnt from outcomes group by 1")
@@ -211,4 +213,4 @@ def enrich_stream(spark, d):
 def document_lines(spark, d):
     lines = split_lines(F.col("text"))
     total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    return B.table(spark, d, "documents", "doc_id").select("doc_id", F.size(lines).cast("long").alias("n_lines"), total.alias("n_chars"))
+    return B.table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), total.alias("n_chars"))

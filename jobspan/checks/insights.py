@@ -104,7 +104,7 @@ def role_samples(spark, d):
 @query("role_requests", P + ROLES_SQL + """, picked as (select * from (
  select *, row_number() over (partition by role order by id) as sample from matched where description is not null)
  where sample <= 5) select role, string_agg('Title: ' || title || chr(10) || 'Company: ' || coalesce(company_name, '') || chr(10) ||
- chr(10) || 'Description:' || chr(10) || substring(description, 1, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10)
+ chr(10) || 'Description:' || chr(10) || description, chr(10) || chr(10) || '---' || chr(10) || chr(10)
  order by sample) as postings from picked group by role""")
 def role_requests(spark, d):
     return I.role_requests(I.role_samples(B.postings(spark, d), ROLES))
@@ -128,9 +128,9 @@ def posting_totals(spark, d):
     return I.totals(B.postings(spark, d))
 
 
-@query("distinct_suppliers", "select distinct s_name as name from supplier where s_name is not null order by 1 limit 50")
+@query("distinct_suppliers", "select distinct s_name as name from supplier where s_name is not null order by 1")
 def distinct_suppliers(spark, d):
-    return I.distinct_names(B.table(spark, d, "supplier").withColumnRenamed("s_name", "name"), "name", 50)
+    return I.distinct_names(B.table(spark, d, "supplier").withColumnRenamed("s_name", "name"), "name")
 
 
 @query("sorted_names", "select distinct c_mktsegment as name from customer order by 1")
@@ -138,7 +138,7 @@ def sorted_names(spark, d):
     return I.distinct_names(B.table(spark, d, "customer").withColumnRenamed("c_mktsegment", "name"), "name")
 
 
-@query("repeatable_sample")
+@query("repeatable_sample", P + """ select id, title from postings order by md5(id || '|7'), id limit 5""")
 def repeatable_sample(spark, d):
     return I.repeatable_sample(B.postings(spark, d), 5, seed=7).select("id", "title")
 

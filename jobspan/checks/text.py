@@ -15,8 +15,12 @@ NOW = B.NOW
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+# Those that the pages hold.
+ENTITIES = {"nbsp": "\xa0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "copy": "©", "middot": "·", "eacute": "é"}
+
+
 def _entities(expr: str) -> str:
-    for name, char in vocab.ENTITIES.items():
+    for name, char in ENTITIES.items():
         expr = f"replace({expr}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"replace({expr}, '&amp;', '&')"
 
@@ -29,13 +33,13 @@ HTML_SQL = HTML_SQL.replace("""'''''''''""\"" '""", "chr(39)||chr(39)||chr(39)||
 
 @query("html_text", f"select page_id, {HTML_SQL} as text from pages")
 def html_text(spark, d):
-    return B.table(spark, d, "pages", "page_id").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return B.table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query("stripped_tags", r"""select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ',
  'g')) as text from pages""")
 def stripped_tags(spark, d):
-    return B.table(spark, d, "pages", "page_id").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+    return B.table(spark, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 
 
 # Headings in the documents' own words; neighbours are spelled out because word boundaries differ between engines.
@@ -57,7 +61,7 @@ CARRIED = f"""{LINES}, carried as (select *, last_value(head ignore nulls) over
 
 
 def _lines(spark, d):
-    docs = B.table(spark, d, "documents", "doc_id")
+    docs = B.table(spark, d, "documents")
     rows = docs.select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("pos", "line"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "line",
                        T.header_class(F.col("line"), **SHAPE).alias("head"))
@@ -78,20 +82,20 @@ _SECTIONS = f"""with {CARRIED}, kept as (select doc_id, pos, trim(line, {WS}) as
  then 1 when 'skills' then 2 when 'responsibilities' then 3 end as place from carried
  where head is null and section <> 'STOP' and trim(line, {WS}) <> ''), parts as (
  select doc_id, string_agg(line, ' ' order by place, pos) as part from kept group by doc_id),
- sections as (select d.doc_id, substring(coalesce(part, text), 1, 6000) as section from documents d
+ sections as (select d.doc_id, coalesce(part, text) as section from documents d
  left join parts p on p.doc_id = d.doc_id)"""
 
 
 @query("section_text", _SECTIONS + " select doc_id, section from sections")
 def section_text(spark, d):
-    return B.table(spark, d, "documents", "doc_id").select("doc_id", T.section_text(F.col("text"), **SHAPE).alias("section"))
+    return B.table(spark, d, "documents").select("doc_id", T.section_text(F.col("text"), **SHAPE).alias("section"))
 
 
 @query("embed_text", f"""{_SECTIONS} select doc_id, case when coalesce(lang, '') <> '' then lang || chr(10) || chr(10)
  || section else section end as embed_text from sections join documents using (doc_id)""")
 def embed_text(spark, d):
     parsed = T.section_text(F.col("text"), **SHAPE)
-    return B.table(spark, d, "documents", "doc_id").select("doc_id", T.embed_text(F.col("lang"), parsed).alias("embed_text"))
+    return B.table(spark, d, "documents").select("doc_id", T.embed_text(F.col("lang"), parsed).alias("embed_text"))
 
 
 _YEARS_TEXT = """(l_linenumber || ' years in town. ' || cast(l_quantity as int) || '+ years of experience, including ' ||
@@ -114,7 +118,7 @@ def years_of_experience(spark, d):
         F.lit("+ years of experience, including "), s("l_linenumber"), F.lit(" years here and plus "),
         (F.col("l_partkey") % 9).cast("string"), F.lit(" years; "), (F.col("l_suppkey") % 30).cast("string"),
         F.lit(" to 40 years of related experience"))
-    return B.table(spark, d, "lineitem", "l_orderkey").select(
+    return B.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", T.extract_years(text).alias("years"))
 
 
@@ -141,7 +145,7 @@ _SCAN = f"""scanned as (select *, {_scan_sql('text')} as raw_names from (select
 
 @query("vocabulary_scan", f"with {_SCAN} select doc_id, array_to_string(names, '|') as skills from named")
 def vocabulary_scan(spark, d):
-    docs = B.table(spark, d, "documents", "doc_id")
+    docs = B.table(spark, d, "documents")
     low = docs.select("doc_id", F.lower("text").alias("low"))
     return low.select("doc_id", F.array_join(K.scan_vocabulary(F.col("low"), REGISTRY), "|").alias("skills"))
 
@@ -217,7 +221,7 @@ def relative_times(spark, d):
                         F.col("l_linenumber"))
     text = F.when(F.col("l_linenumber") == 6, "Just now").otherwise(
         F.concat(F.lit("Posted "), F.col("l_suppkey").cast("string"), F.lit(" "), unit))
-    return B.table(spark, d, "lineitem", "l_orderkey").select(
+    return B.table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", V.relative_time(text, NOW).alias("at"))
 
 
@@ -261,7 +265,7 @@ def clean_titles(spark, d):
 _HEAD = "'" + A.TEMPLATES["skills"].replace("'", "''") + "'"
 
 
-@query("skill_requests", P + f""" select id, {_HEAD} || substring(description, 1, 4000) as request from postings
+@query("skill_requests", P + f""" select id, {_HEAD} || description as request from postings
  where description is not null""")
 def skill_requests(spark, d):
     p = B.postings(spark, d).where("description is not null")
@@ -307,7 +311,7 @@ def two_tier_years(spark, d):
 
 
 @query("resume_answers", """select p_partkey, case when p_size > 25 then replace(p_name, ' ', '|') else '' end as skills,
- case when p_size > 25 then p_size end as years, case when p_size > 25 then p_type else substring(p_brand || ' resume', 1, 500)
+ case when p_size > 25 then p_size end as years, case when p_size > 25 then p_type else p_brand || ' resume'
  end as summary from part""")
 def resume_answers(spark, d):
     raw = F.when(F.col("p_size") > 25, F.concat(F.lit("```"), F.to_json(F.struct(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobspan.functions.text import trim_ws
 
 _STR = "array<string>"
-# How much of a text each kind of request carries (fixed values).
+# How much of a text the model of each kind of request was given (fixed values); pass one to cut a request to it.
 REQUEST_CHARS = {"skills": 4000, "years": 4000, "company": 4000, "resume": 6000, "role": 1000, "site": 2000}
 TEMPLATES = {
     "skills": ("List the technical skills named in this posting and the minimum years of experience it asks for.\n"
@@ -26,10 +26,9 @@ TEMPLATES = {
 }
 
 
-def request_text(kind: str, text: Column, max_chars: int | None = -1) -> Column:
-    """Template followed by the text, cut to what the request may carry (None = whole text)."""
-    n = REQUEST_CHARS[kind] if max_chars == -1 else max_chars
-    return F.concat(F.lit(TEMPLATES[kind]), F.substring(text, 1, n) if n else text)
+def request_text(kind: str, text: Column, max_chars: int | None = None) -> Column:
+    """Template followed by the whole text, or by its first ``max_chars`` characters."""
+    return F.concat(F.lit(TEMPLATES[kind]), F.substring(text, 1, max_chars) if max_chars else text)
 
 
 def strip_fences(raw: Column) -> Column:
@@ -98,14 +97,15 @@ def years_answer(raw: Column) -> Column:
     return year_count(parsed(raw), high=40)
 
 
-def resume_answer(raw: Column, text: Column, head: int = 500) -> Column:
-    """struct(skills, experience_years, summary); without a usable answer the summary is the head of the resume."""
+def resume_answer(raw: Column, text: Column, head: int | None = None) -> Column:
+    """struct(skills, experience_years, summary); without a usable answer the summary is the resume, or its first ``head``
+    characters."""
     v = parsed(raw)
     summary = F.coalesce(F.try_variant_get(v, "$.summary", "string"), F.lit(""))
     return F.struct(
         text_list(v, "$.skills").alias("skills"),
         year_count(v, low=-2**31, digits=False).alias("experience_years"),
-        F.when(_is_object(v), summary).otherwise(F.substring(text, 1, head)).alias("summary"),
+        F.when(_is_object(v), summary).otherwise(F.substring(text, 1, head) if head else text).alias("summary"),
     )
 
 

@@ -54,7 +54,7 @@ def career_site(path: Column, skip: list[str] = vocab.CAREER_SKIP_PATHS) -> Colu
 
 def career_site_fallbacks(slug: Column, fixed: list[str] = vocab.CAREER_FALLBACKS) -> Column:
     """Names to try when no career site is known: the usual ones, then the slug capitalised and as it is."""
-    capital = F.concat(F.upper(F.substring(slug, 1, 1)), F.lower(F.substring(slug, 2, 1_000_000)))
+    capital = F.concat(F.upper(F.substring(slug, 1, 1)), F.lower(F.substring(slug, F.lit(2), F.length(slug))))
     return F.array_distinct(F.array(*[F.lit(v) for v in fixed], capital, slug))
 
 
@@ -100,9 +100,9 @@ def normalize_role(role: Column) -> Column:
     return trim_ws(F.regexp_replace(F.lower(trim_ws(role)), r"\b(role|position|job|engineer|engineering)$", ""))
 
 
-def guess_company(text: Column, patterns: list[str] = vocab.COMPANY_GUESS_PATTERNS, head: int = 500) -> Column:
-    """Company named in the opening of a description: the first pattern whose match has a sensible length."""
-    start = F.substring(text, 1, head)
+def guess_company(text: Column, patterns: list[str] = vocab.COMPANY_GUESS_PATTERNS, head: int | None = None) -> Column:
+    """Company named in a description, or in its first ``head`` characters: the first pattern whose match has a sensible length."""
+    start = F.substring(text, 1, head) if head else text
     names = [trim_ws(F.regexp_extract(start, p, 1)) for p in patterns]
     return F.coalesce(*[F.when((F.length(n) > 2) & (F.length(n) < 50), n) for n in names])
 

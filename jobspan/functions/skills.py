@@ -30,7 +30,7 @@ def scan_vocabulary(lowered: Column, registry: dict[str, str] | None = None) ->
     Keys made of word characters only are found through one tokenisation of the text; the few with blanks or symbols
     are searched one by one, behind a cheap substring test.
     """
-    registry = vocab.skill_registry() if registry is None else registry
+    registry = vocab.KNOWN_SKILLS if registry is None else registry
     words = [k for k in registry if k.replace("_", "a").isalnum()]
     others = [k for k in registry if k not in set(words)]
     tokens = F.regexp_extract_all(lowered, F.lit(r"(?U)(\w+)"), F.lit(1))

@@ -4,6 +4,8 @@ Everything is built-in expressions, so it stays in the JVM; nothing here needs a
 """
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 from operator import or_
 
@@ -25,6 +27,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 HIDDEN_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TAG = r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>"
 CUT = "\x01"
+NAMED_ENTITIES = json.dumps({name: char for name, char in html.entities.html5.items() if name.endswith(";")})
 _SMART = ("‘’‚‛“”„‟\xa0", "''''\"\"\"\" ")
 
 
@@ -78,22 +81,19 @@ def smart_quotes(col: Column) -> Column:
 
 
 def decode_entities(col: Column) -> Column:
-    """Numeric and common named HTML entities; the ampersand last, so nothing is decoded twice."""
-    out = col
-    for name, char in vocab.ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-
-    def numeric(piece: Column, i: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^(\d{1,6});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,5});", 1)
+    """Numeric and named HTML entities (the standard's whole table), each decoded once."""
+    table = F.from_json(F.lit(NAMED_ENTITIES), "map<string,string>")
+
+    def decoded(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*;)", 1)
+        dec = F.regexp_extract(piece, r"^#(\d{1,6});", 1)
+        hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,5});", 1)
         code = F.when(dec != "", F.hex(dec.try_cast("int"))).when(hexa != "", hexa)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-        return F.when(i == 0, piece).when(code.isNull(), F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
+        char = F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), F.when(name != "", F.try_element_at(table, name)))
+        rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;", "")
+        return F.when(i == 0, piece).when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 
-    pieces = F.transform(F.split(out, "&#", -1), numeric)
-    out = F.when(out.contains("&#"), F.array_join(pieces, "")).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.array_join(F.transform(F.split(col, "&", -1), decoded), "")
 
 
 def html_to_text(col: Column, separator: str = "\n") -> Column:
@@ -105,7 +105,8 @@ def html_to_text(col: Column, separator: str = "\n") -> Column:
         text = F.when(cut.contains("&"), decode_entities(cut)).otherwise(cut)
         return F.array_join(F.filter(F.transform(F.split(text, CUT, -1), trim_ws), lambda p: p != ""), separator)
 
-    cut = F.regexp_replace(F.regexp_replace(col, HIDDEN_MARKUP, CUT), TAG, CUT)
+    # The mark for a cut is a control character, so texts lose it first.
+    cut = F.regexp_replace(F.regexp_replace(F.replace(col, F.lit(CUT), F.lit("")), HIDDEN_MARKUP, CUT), TAG, CUT)
     return smart_quotes(F.coalesce(F.when(col.contains("<"), let(cut, visible)).otherwise(col), F.lit("")))
 
 
@@ -158,10 +159,11 @@ def section_text(
     order: list[str] = SECTION_ORDER,
     max_len: int = vocab.HEADER_MAX_LEN,
     ratio: float = vocab.HEADER_MATCH_RATIO,
-    max_chars: int | None = vocab.SECTION_MAX_CHARS,
+    max_chars: int | None = None,
     html: bool = True,
 ) -> Column:
-    """The parts of a description under wanted headings, in the given order; the plain text when there are none.
+    """The parts of a description under wanted headings, in the given order; the plain text when there are none. The whole text
+    unless ``max_chars`` is given.
 
     Linear in the text and without a shuffle: heading lines become a cut plus their class, content lines a mark plus their
     text; all are joined and split again at the cuts, so each segment starts with the class that holds for it.
@@ -177,14 +179,17 @@ def section_text(
         head = key + "\x02"
         own = F.filter(segments, lambda s: s.startswith(head))
         return F.transform(own, lambda s: F.replace(
-            F.substring(s, len(head) + 1, 1_000_000_000), F.lit("\x02"), F.lit(" ")))
+            F.substring(s, F.lit(len(head) + 1), F.length(s)), F.lit("\x02"), F.lit(" ")))
 
     def chosen(plain: Column) -> Column:
         marked = F.array_join(F.array_compact(F.transform(split_lines(plain), mark)), "")
         parts = let(F.split(marked, CUT, -1), lambda segs: F.flatten(F.array(*[bodies(segs, k) for k in order])))
         return F.coalesce(F.nullif(F.array_join(parts, " "), F.lit("")), plain)
 
-    out = let(html_to_text(col) if html else F.coalesce(col, F.lit("")), chosen)
+    plain = html_to_text(col) if html else F.coalesce(col, F.lit(""))
+    # The marks of lines and cuts are control characters, so texts lose them first.
+    plain = F.replace(F.replace(plain, F.lit(CUT), F.lit("")), F.lit("\x02"), F.lit(""))
+    out = let(plain, chosen)
     return F.substring(out, 1, max_chars) if max_chars else out
 
 

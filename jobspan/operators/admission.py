@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobspan import vocab
 from jobspan.functions.text import any_word, contains_any, let, literal, trim_ws
-from jobspan.operators.keys import first_ids, salted_lookup, unknown_only
+from jobspan.operators.keys import first_ids, salted_lookup
 
 
 def _sure(test: Column) -> Column:
@@ -182,6 +182,7 @@ def content_status(rules: AdmissionRules) -> Column:
         .when(~us_location(places, rules.state_codes, rules.us_keywords), "non_us")
         .when(~established(F.col("followers"), F.col("employees"), rules.min_followers, rules.min_employees)
               & ~company_mentioned(F.col("company_name"), F.col("description")), "no_company_ref")
+        .when(F.col("link").isNull() | F.col("title").isNull(), "error")  # neither can be stored
     )
 
 
@@ -202,7 +203,8 @@ def first_new(judged: DataFrame, stored: DataFrame, row_id: str = "id", order: l
     share costs no more than any other.
     """
     fresh = judged.where(F.col("fail").isNull())
-    return unknown_only(first_ids(fresh, ["link"], list(order), row_id), stored, "link").select(row_id)
+    links = stored.select("link").where(F.col("link").isNotNull())
+    return first_ids(fresh, ["link"], list(order), row_id).join(links, "link", "left_anti").select(row_id)
 
 
 def with_status(judged: DataFrame, winners: DataFrame, row_id: str = "id") -> DataFrame:

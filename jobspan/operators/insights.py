@@ -37,18 +37,30 @@ def average_years(postings: DataFrame, role: str | None = None) -> DataFrame:
 
 def role_overview(postings: DataFrame, role: str, skills: int = 15, companies: int = 10) -> DataFrame:
     """One record: ranked skills, ranked companies, average years, number of postings with years."""
-    def ranked(df: DataFrame, name: str) -> Column:
-        rows = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("o"), F.col(name).alias("n"))))
-        return df.agg(
-            F.transform(rows, lambda r: F.struct(r["n"].alias(name), (-r["o"]).alias("count")))
-        ).scalar()
-
-    return average_years(postings, role).select(
-        F.lit(role).alias("role"),
-        ranked(popular_skills(postings, skills, role), "skill").alias("top_skills"),
-        ranked(top_companies(postings, companies, role), "company").alias("top_companies"),
-        "avg_experience_years", "matching_jobs",
-    )
+    rows = for_role(postings, role)
+    # One scan: each posting gives its skills, its company and one row for its years.
+    part = lambda kind, name, years: F.struct(
+        F.lit(kind).alias("kind"), name.cast("string").alias("name"), years.cast("double").alias("years"))
+    none = F.lit(None)
+    each = F.concat(
+        F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: part("skill", s, none)),
+        F.array(part("company", F.col("company_name"), none), part("years", none, F.col("experience_years"))))
+    counts = rows.select(F.inline(each)).where("kind <> 'company' or name is not null").groupBy("kind", "name").agg(
+        F.count("*").alias("cnt"), F.count("years").alias("stated"), F.sum("years").alias("total"))
+    w = Window.partitionBy("kind").orderBy(F.desc("cnt"), "name")
+    top = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(skills, companies))
+
+    def listed(kind: str, most: int) -> Column:
+        own = F.when((F.col("kind") == kind) & (F.col("place") <= most), F.struct("place", "name", "cnt"))
+        return F.transform(F.array_sort(F.collect_list(own)), lambda r: F.struct(r["name"].alias(kind), r["cnt"].alias("count")))
+
+    years = F.col("kind") == "years"
+    average = F.sum(F.when(years, F.col("total"))) / F.nullif(F.sum(F.when(years, F.col("stated"))), F.lit(0))
+    return top.agg(
+        listed("skill", skills).alias("top_skills"), listed("company", companies).alias("top_companies"),
+        F.round(F.coalesce(average, F.lit(0.0)), 1).alias("avg_experience_years"),
+        F.coalesce(F.sum(F.when(years, F.col("stated"))), F.lit(0)).alias("matching_jobs"),
+    ).select(F.lit(role).alias("role"), "top_skills", "top_companies", "avg_experience_years", "matching_jobs")
 
 
 def roles_of(title: Column, patterns: dict[str, list[str]] = vocab.ROLE_PATTERNS) -> Column:
@@ -68,10 +80,12 @@ def role_samples(postings: DataFrame, patterns: dict[str, list[str]] = vocab.ROL
     return rows.withColumn("sample", F.row_number().over(w)).where(F.col("sample") <= n)
 
 
-def role_requests(samples: DataFrame, chars: int = 1000) -> DataFrame:
-    """One text per role from its few sample postings, in sample order, for a request (see ``answers.request_text``)."""
+def role_requests(samples: DataFrame, chars: int | None = None) -> DataFrame:
+    """One text per role from its few sample postings, in sample order, for a request (see ``answers.request_text``); ``chars``
+    cuts each description."""
+    text = F.substring("description", 1, chars) if chars else F.col("description")
     one = F.concat(F.lit("Title: "), "title", F.lit("\nCompany: "), F.coalesce("company_name", F.lit("")),
-                   F.lit("\n\nDescription:\n"), F.substring("description", 1, chars))
+                   F.lit("\n\nDescription:\n"), text)
     ordered = F.array_sort(F.collect_list(F.struct("sample", one.alias("text"))))
     return samples.groupBy("role").agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), "\n\n---\n\n").alias("postings"))
@@ -80,14 +94,16 @@ def role_requests(samples: DataFrame, chars: int = 1000) -> DataFrame:
 def roles_overview(postings: DataFrame, patterns: dict[str, list[str]] = vocab.ROLE_PATTERNS, skills: int = 15,
                    companies: int = 10) -> DataFrame:
     """Overview of all roles in long form: (role, kind, name, cnt, place)."""
-    rows = role_matches(postings.select("title", "skills", "company_name", "experience_years"), patterns)
-    named = rows.select("role", F.explode("skills").alias("name"), F.lit("skill").alias("kind"))
-    hiring = rows.where(F.col("company_name").isNotNull()).select(
-        "role", F.col("company_name").alias("name"), F.lit("company").alias("kind"))
-    counts = named.unionByName(hiring).groupBy("role", "kind", "name").agg(F.count("*").alias("cnt"))
+    # One scan: skills and the company of a posting in one array; the limits are literals, so each task keeps the first few.
+    kinds = F.concat(
+        F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.struct(F.lit("skill").alias("kind"), s.alias("name"))),
+        F.when(F.col("company_name").isNotNull(), F.array(F.struct(F.lit("company").alias("kind"), F.col("company_name").alias("name"))))
+        .otherwise(F.array().cast("array<struct<kind:string,name:string>>")))
+    rows = role_matches(postings.select("title", "skills", "company_name"), patterns)
+    counts = rows.select("role", F.inline(kinds)).groupBy("role", "kind", "name").agg(F.count("*").alias("cnt"))
     w = Window.partitionBy("role", "kind").orderBy(F.desc("cnt"), "name")
-    most = F.when(F.col("kind") == "skill", skills).otherwise(companies)
-    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    ranked = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(skills, companies))
+    return ranked.where(F.col("place") <= F.when(F.col("kind") == "skill", skills).otherwise(companies))
 
 
 def skill_gap(postings: DataFrame, role: str, known: list[str], depth: int = 20, n: int = 10) -> DataFrame:
@@ -119,5 +135,5 @@ def distinct_names(df: DataFrame, column: str, limit: int | None = None) -> Data
 
 
 def repeatable_sample(df: DataFrame, n: int, seed: int = 0, row_id: str = "id") -> DataFrame:
-    """n rows in an order that looks random but is the same every time."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+    """n rows in an order that looks random but is the same every time: by the MD5 of id and seed."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed)))), row_id).limit(n)

@@ -22,9 +22,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column], row
 
 def salted_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
                   salts: int = 16) -> DataFrame:
-    """Join to a table unique on ``keys`` when few keys may hold most rows: every key is spread over ``salts`` tasks."""
+    """Join to a table unique on ``keys`` when few keys may hold most rows: every key is spread over ``salts`` tasks.
+
+    The rows' keys are made distinct first, and only the part of the table that they need is copied, however large it is.
+    """
     left = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    needed = lookup.join(df.select(*keys).distinct(), keys, "left_semi")
+    right = needed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -37,13 +41,21 @@ def optional_lookup(df: DataFrame, lookup: DataFrame, key: str, row_id: str) ->
     return left.join(right, "__key", "left").drop("__key")
 
 
+def _flagged(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows with ``__known``: a salted lookup of their key, so a key that a third of the rows share is no task of its own, and rows
+    without a key are spread like any other."""
+    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    keys = known.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__known", F.lit(True))
+    return salted_lookup(df, keys, [key], hashable)
+
+
 def known_only(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return df.join(known.select(key).distinct(), key, "left_semi")
+    return _flagged(df, known, key).where(F.col("__known")).select(*df.columns)
 
 
 def unknown_only(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not known yet (a null key counts as unknown)."""
-    return df.join(known.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return _flagged(df, known, key).where(F.col("__known").isNull()).select(*df.columns)
 
 
 def unknown_in_source(df: DataFrame, stored: DataFrame, source: str, key: str = "link") -> DataFrame:
@@ -91,7 +103,7 @@ def upsert(table: DataFrame, rows: DataFrame, key: str, update: list[str]) -> Da
 
 def new_keys(found: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Keys found but not existing, sorted."""
-    return unknown_only(found.select(key).distinct(), existing, key).orderBy(key)
+    return found.select(key).distinct().join(existing.select(key).where(F.col(key).isNotNull()), key, "left_anti").orderBy(key)
 
 
 def apply_updates(base: DataFrame, updates: DataFrame, key: str, cols: list[str], only_found: bool = False

@@ -13,6 +13,7 @@ from jobspan.functions.names import ilike_any
 from jobspan.functions.scores import instant
 from jobspan.functions.vectors import matrix, unit
 
+TILE_CELLS = 4 << 20  # similarities held at a time in a task
 SIM_DIGITS = 10  # similarities equal to this many digits count as ties, which go to the smaller id
 
 
@@ -116,24 +117,30 @@ def batch_top_k(
     item_vec: str = "embedding",
     query_vec: str = "vec",
     max_query_bytes: int = 64 << 20,
+    max_kept: int = 4 << 20,
     salts: int = 32,
 ) -> DataFrame:
     """Exact k most similar items of every query: (query_id, item_id, vec_score).
 
-    The items never move. The queries are shipped to the tasks in blocks of a checked size, one pass over the items per
-    block; every task multiplies its batches with the block and keeps k items per query. The survivors are merged in
-    two steps, so no task sees the survivors of all tasks at once.
+    The items never move. The queries are shipped to the tasks in blocks, one pass over the items per block: a block is bounded
+    by the bytes of its vectors and by the results that a task keeps for it, whatever the number of queries. In a task every
+    batch of items meets a block in tiles of a bounded number of similarities. The survivors are merged in two steps, so no task
+    sees the survivors of all tasks at once. Vectors of different lengths are refused.
     """
-    n, dim = queries.agg(F.count("*"), F.max(F.size(query_vec))).first()
+    n, dim, least = queries.agg(F.count("*"), F.max(F.size(query_vec)), F.min(F.size(query_vec))).first()
     if not n or not dim:
         return items.sparkSession.createDataFrame([], f"{query_id} long, {item_id} long, vec_score double")
-    blocks = max(1, -(-(n * dim * 8) // max_query_bytes))
-    usable = queries.where(F.size(query_vec) == dim)
-    vectors = items.where(F.size(item_vec) == dim).select(F.col(item_id).cast("long"), item_vec)
+    if least != dim:
+        raise ValueError(f"query vectors have {least} to {dim} numbers")
+    blocks = max(1, -(-(n * dim * 8) // max_query_bytes), -(-(n * k) // max_kept))
+    size = F.size(item_vec)
+    vectors = items.where(F.col(item_vec).isNotNull()).select(
+        F.col(item_id).cast("long"), F.when(size == dim, F.col(item_vec)).otherwise(F.raise_error(
+            F.format_string("an item vector has %d numbers, not %d", size, F.lit(dim))).cast(items.schema[item_vec].dataType)).alias(item_vec))
     schema = f"{query_id} long, {item_id} long, vec_score double"
     found = None
     for b in range(blocks):
-        part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+        part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
         table = part.select(F.col(query_id).cast("long"), query_vec).toArrow()
         block = items.sparkSession.sparkContext.broadcast(
             (table[query_id].to_numpy(), unit(matrix(table[query_vec].combine_chunks(), dim)))
@@ -168,14 +175,18 @@ def _nearest(block, item_id: str, item_vec: str, query_id: str, dim: int, k: int
             if batch.num_rows == 0:
                 continue
             ids = batch.column(item_id).to_numpy(zero_copy_only=False)
-            sims = unit_queries @ unit(matrix(batch.column(item_vec), dim)).T
-            if sims.shape[1] > k:
-                kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-                rows, cols = np.nonzero(sims >= kth - 10.0 ** -SIM_DIGITS)
-            else:
-                rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
-            new = (rows, ids[cols], sims[rows, cols])
-            best = _best(*(np.concatenate(pair) for pair in zip(best, new)), k)
+            units = unit(matrix(batch.column(item_vec), dim))
+            tile = max(1, TILE_CELLS // max(1, len(ids)))  # queries at a time
+            new = [best]
+            for at in range(0, len(unit_queries), tile):
+                sims = unit_queries[at : at + tile] @ units.T
+                if sims.shape[1] > k:
+                    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+                    rows, cols = np.nonzero(sims >= kth - 10.0 ** -SIM_DIGITS)
+                else:
+                    rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
+                new.append((rows + at, ids[cols], sims[rows, cols]))
+            best = _best(*(np.concatenate(part) for part in zip(*new)), k)
         step = 1 << 16
         for i in range(0, len(best[0]), step):
             q, ids, sims = (a[i : i + step] for a in best)

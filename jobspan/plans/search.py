@@ -171,7 +171,7 @@ def match_resumes(postings: DataFrame, resumes: DataFrame, now, top_n: int = 20,
     person = resumes.select(
         "resume_id", F.coalesce("skills", F.array().cast(_STR)).alias("owned"),
         S.query_tokens(F.col("summary")).alias("wanted"),
-        S.query_tokens(F.substring("summary", 1, 500)).alias("title_wanted"),
+        S.query_tokens(F.col("summary")).alias("title_wanted"),
     )
     facts = fresh.select(
         "id", "title", F.col("company_name").alias("company"), "location", "experience_years",

@@ -8,6 +8,7 @@ from jobspan import schemas
 from jobspan.functions.text import blank_to_null, trim_ws
 from jobspan.operators.insights import distinct_names
 from jobspan.operators.keys import optional_lookup
+from jobspan.session import scratch_folder
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
@@ -105,33 +106,38 @@ def resolve_descriptions(df: DataFrame, texts: DataFrame, prefix: str = "gs://",
     return found.withColumn(out, F.when(is_uri, F.col("__text")).otherwise(F.col("description"))).drop("__text", "uri")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_folder(df.sparkSession, "profiles")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 ISLAND = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 
 
-def page_profiles(pages: DataFrame, path: str = "$.props.pageProps.customerProfiles", depth: int = 8,
-                  html: str = "html") -> DataFrame:
+def page_profiles(pages: DataFrame, path: str = "$.props.pageProps.customerProfiles", html: str = "html") -> DataFrame:
     """(page, slug, name) of company profiles in the JSON island of pages, first name per page and slug.
 
-    A page without the profile list is searched for any object with slug, name and a logo or website, down to ``depth``
-    levels.
+    A page without the profile list is searched for any object with slug, name and a logo or website, at any depth. The pages are
+    read once; each level is read from the one before in the shared folder, until none is left.
     """
     key = pages.columns[0]
     doc = F.try_parse_json(F.nullif(F.regexp_extract(html, ISLAND, 1), F.lit("")))
-    data = pages.select(key, doc.alias("doc")).where("doc is not null")
+    data = _written(pages.select(key, doc.alias("doc")).where("doc is not null"))
     listed = F.coalesce(F.try_variant_get("doc", path, "array<variant>"), F.array().cast("array<variant>"))
     direct = data.where(F.size(listed) > 0).select(key, F.posexplode(listed).alias("at", "node"))
     direct = direct.withColumn("at", F.format_string("%08d", F.col("at")))
     level = data.where(F.size(listed) == 0).select(key, F.lit("").alias("at"), F.col("doc").alias("node"))
     found = direct
-    for _ in range(depth):
+    while not level.isEmpty():
         shape = F.schema_of_variant("node")
         has = [F.try_variant_get("node", f"$.{f}", "variant").isNotNull() for f in ("slug", "name", "logo", "website")]
         hit = shape.startswith("OBJECT") & has[0] & has[1] & (has[2] | has[3])
         found = found.unionByName(level.where(hit).select(key, "at", "node"))
         parts = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("node").outer()).select("pos", "value"))
         inner = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
-        level = parts.where(inner).select(
-            key, F.concat("at", F.format_string("%08d", F.col("pos"))).alias("at"), F.col("value").alias("node"))
+        level = _written(parts.where(inner).select(
+            key, F.concat("at", F.format_string("%08d", F.col("pos"))).alias("at"), F.col("value").alias("node")))
     rows = found.select(
         key, "at", trim_ws(F.try_variant_get("node", "$.slug", "string")).alias("slug"),
         trim_ws(F.try_variant_get("node", "$.name", "string")).alias("name"),

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,40 +27,50 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-                  mode: str = "append") -> None:
-    """Process what has arrived, then stop; the next call goes on from the checkpoint."""
+                  mode: str = "append") -> str:
+    """Process what has arrived, then stop; the next call goes on from the checkpoint. Gives the id of the stream, which its
+    checkpoint keeps."""
     query = (
         stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return str(query.id)
+
+
+def _folder(spark: SparkSession, batch_id: int) -> str:
+    """A batch's own folder: of the stream that its checkpoint names, so another stream never overwrites it."""
+    return f"run={spark.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch={batch_id}"
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """One folder per batch, overwritten when a batch is repeated after a failure, so nothing is counted twice."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """One folder per stream and batch, overwritten when a batch is repeated after a failure, so nothing is counted twice."""
+    rows.write.mode("overwrite").parquet(f"{path}/{_folder(rows.sparkSession, batch_id)}")
 
 
 def ingest_stream(stream: DataFrame, table: str, counts: str, checkpoint: str, ingest_ts,
                   rules: AdmissionRules | None = None, by: str = "source") -> None:
-    """Each micro-batch is admitted against everything stored before it, appended and counted.
+    """Each micro-batch is admitted against everything that the table holds, whatever has written it, appended and counted.
 
     A repeated batch leaves its own earlier output out of what counts as stored.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        done = ingest(batch, _stored(batch.sparkSession, table, batch.schema, batch_id), ingest_ts, rules, [by])
+        done = ingest(batch, _stored_links(batch.sparkSession, table, batch_id), ingest_ts, rules, [by])
         _write_batch(done.postings, table, batch_id)
         _write_batch(done.counts, counts, batch_id)
 
     run_available(stream, sink, checkpoint)
 
 
-def _stored(spark: SparkSession, table: str, schema: T.StructType, before: int) -> DataFrame:
-    empty = spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    if before == 0:
-        return empty
-    return spark.read.schema(T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])).parquet(
-        table).where(F.col("batch") < before)
+def _stored_links(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
+    """The links of all files below the table's folder but those of this very batch."""
+    try:
+        rows = spark.read.schema("link string").option("recursiveFileLookup", True).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "link string")
+    return rows.where(~F.col("_metadata.file_path").contains(f"/{_folder(spark, batch_id)}/")).select("link")
 
 
 def update_stream(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
@@ -90,8 +101,8 @@ def latest_windows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 
 def status_windows_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str, **kw) -> DataFrame:
     """Runs the windowed counters over what has arrived and returns the newest count of every window."""
-    run_available(status_windows(stream, keys, **kw), lambda b, n: _write_batch(b, out, n), checkpoint, "update")
-    return latest_windows(stream.sparkSession, out, keys)
+    run = run_available(status_windows(stream, keys, **kw), lambda b, n: _write_batch(b, out, n), checkpoint, "update")
+    return latest_windows(stream.sparkSession, f"{out}/run={run}", keys)
 
 
 def fresh_only(df: DataFrame, now: Column, hours: int | None, ts: str = "posted_date") -> DataFrame:
@@ -152,8 +163,8 @@ def saved_set_stream(stream: DataFrame, keys: list[str], ts: str = "ts", action:
 
 def saved_set_from_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str, **kw) -> DataFrame:
     """Runs the saved set over what has arrived and returns the keys that are saved now."""
-    run_available(saved_set_stream(stream, keys, **kw), lambda b, n: _write_batch(b, out, n), checkpoint, "update")
-    spark = stream.sparkSession
-    rows = spark.read.option("basePath", out).parquet(out)
+    run = run_available(saved_set_stream(stream, keys, **kw), lambda b, n: _write_batch(b, out, n), checkpoint, "update")
+    spark, own = stream.sparkSession, f"{out}/run={run}"
+    rows = spark.read.option("basePath", own).parquet(own)
     last = rows.groupBy(*keys).agg(F.max_by(F.struct("saved", "saved_at"), "batch").alias("s"))
     return last.where("s.saved").select(*keys, F.col("s.saved_at").alias("saved_at"))

@@ -95,3 +95,25 @@ def test_fresh_only(spark):
     now = F.lit("2024-01-02 12:00:00").cast("timestamp")
     assert [r.id for r in S.fresh_only(df, now, 24).collect()] == [1]
     assert S.fresh_only(df, now, 0).count() == 3
+
+
+def test_another_stream_keeps_what_is_stored(spark, tmp_path):
+    """A second stream, with a checkpoint of its own, into the same table neither loses nor repeats a row."""
+    from jobspan import schemas
+    from jobspan.operators.admission import AdmissionRules
+
+    table, counts = str(tmp_path / "table"), str(tmp_path / "counts")
+    spark.createDataFrame([("old",)], "link string").write.parquet(table)
+    rules = AdmissionRules(title_keywords=["data"], us_keywords=["usa"], min_followers=0, blocked=["nobody"])
+    for run, links in enumerate([["a", "b", "old"], ["a", "c", None]]):
+        rows = spark.createDataFrame(
+            [(10 * run + k, x, "Data person", "Acme", "usa", 5) for k, x in enumerate(links)],
+            "id long, link string, title string, company_name string, location string, followers int")
+        raw = schemas.conform(rows, schemas.RAW_POSTING, ["id"])
+        raw.write.parquet(str(tmp_path / f"in{run}"))
+        stream = S.file_stream(spark, str(tmp_path / f"in{run}"), raw.schema)
+        S.ingest_stream(stream, table, counts, str(tmp_path / f"check{run}"), F.lit("2024-01-01").cast("timestamp"), rules)
+    kept = spark.read.schema("link string").option("recursiveFileLookup", True).parquet(table)
+    assert sorted(r.link for r in kept.collect()) == ["a", "b", "c", "old"]
+    totals = spark.read.parquet(counts).agg(*[F.sum(c).alias(c) for c in ("inserted", "duplicate", "error")]).first()
+    assert tuple(totals) == (3, 2, 1)
