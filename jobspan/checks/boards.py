@@ -7,6 +7,7 @@ from jobspan.checks.registry import query
 from jobspan.functions import names as N
 from jobspan.operators import boards as O
 from jobspan.operators import keys as K
+from jobspan.session import scratch_folder
 from jobspan.sources import feeds, readers
 
 P = "with " + B.POSTINGS_SQL
@@ -481,3 +482,35 @@ def page_profiles(spark, d):
     island = F.when(F.length("url") % 2 == 0, deep).otherwise(listed)
     html = F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">'), island, F.lit("</script>"))
     return readers.page_profiles(B.table(spark, d, "pages").select("page_id", html.alias("html")))
+
+
+# ------------------------------------------------------------------ lists and dumps, written to the shared folder and read back
+@query("company_lists", """select s_name as name, case when s_suppkey % 2 = 0 then 'slug' || s_suppkey else 'id' || s_suppkey end as key,
+ case when s_suppkey % 3 = 0 then cast(s_suppkey as int) end as jobs from supplier""")
+def company_lists(spark, d):
+    """One JSON array of companies per nation."""
+    s, path = B.table(spark, d, "supplier"), scratch_folder(spark, "lists")
+    k = F.col("s_suppkey")
+    entry = F.struct(F.col("s_name").alias("name"), F.when(k % 2 == 0, F.concat(F.lit("slug"), k.cast("string"))).alias("slug"),
+                     F.when(k % 2 != 0, F.concat(F.lit("id"), k.cast("string"))).alias("company_id"), F.when(k % 3 == 0, k).alias("jobs"))
+    arrays = s.groupBy("s_nationkey").agg(F.to_json(F.collect_list(entry)).alias("value"))
+    arrays.write.partitionBy("s_nationkey").text(path)
+    return readers.company_list(spark, path).select("name", "key", "jobs")
+
+
+@query("name_line_files", "select s_name as name from supplier where s_suppkey % 7 <> 0")
+def name_line_files(spark, d):
+    path = scratch_folder(spark, "names")
+    line = F.when(F.col("s_suppkey") % 7 == 0, "  \t").otherwise(F.concat(F.lit("  "), "s_name", F.lit(" ")))
+    B.table(spark, d, "supplier").select(line.alias("value")).write.text(path)
+    return readers.name_lines(spark, path)
+
+
+@query("crawl_index_dump", "select url from pages where page_id % 5 <> 0 and page_id % 7 <> 0")
+def crawl_index_dump(spark, d):
+    """JSON lines, of which some are broken and some have no URL."""
+    path = scratch_folder(spark, "crawl")
+    url = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.col("url"))
+    line = F.when(F.col("page_id") % 5 == 0, '{"url": "broken').otherwise(F.to_json(F.struct(url.alias("url"), F.lit("200").alias("status"))))
+    B.table(spark, d, "pages").select(line.alias("value")).write.text(path)
+    return readers.crawl_urls(spark, path)

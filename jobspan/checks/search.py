@@ -164,7 +164,7 @@ _scores("posted_label", f"""case when {_HOURS} is null then 'Recently posted' wh
  when {_HOURS} < 24 then 'Posted ' || {_HOURS} || 'h ago' when {_HOURS} < 48 then 'Posted 1 day ago'
  when {_HOURS} < 720 then 'Posted ' || cast(floor({_HOURS} / 24) as int) || ' days ago' else 'Posted 30+ days ago'
  end as label""", lambda: [S.posted_label(_h()).alias("label")])
-_scores("first_skills", """array_to_string(list_slice(skills, 1, 2), '|') as shown,
+_scores("first_skills", """array_to_string(list_slice(skills, 1, 12), '|') as shown,
  greatest(len(coalesce(skills, [])) - 2, 0) as more""",
         lambda: [F.array_join(K.first_skills(F.col("skills"), 2), "|").alias("shown"),
                  K.more_skills(F.col("skills"), 2).cast("long").alias("more")])
@@ -303,11 +303,11 @@ def match_resumes(spark, d):
 @query("explanation_requests", MATCHES + """ select resume_id, '[' || string_agg('{"id":' || id || ',"title":"' || title || '",' ||
  coalesce('"company":"' || company || '",', '') || coalesce('"location":"' || location || '",', '') ||
  coalesce('"experience_years":' || experience_years || ',', '') || '"skills":[' ||
- coalesce('"' || nullif(array_to_string(list_slice(skills, 1, 2), '","'), '') || '"', '') || ']}', ',' order by rank) || ']' as jobs
+ coalesce('"' || nullif(array_to_string(list_slice(skills, 1, 12), '","'), '') || '"', '') || ']}', ',' order by rank) || ']' as jobs
  from ranked where rank <= 20 group by 1""")
 def explanation_requests(spark, d):
     rows = Q.match_resumes(B.postings(spark, d), _resumes(spark, d), NOW, k=50, max_hours_old=20000)
-    return Q.jobs_json(rows, 2, location=True)
+    return Q.jobs_json(rows, 12, location=True)
 
 
 _NEAR = f"""near as (select q.vec_id as query_id, i.id, row_number() over (partition by q.vec_id

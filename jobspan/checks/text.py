@@ -1,5 +1,4 @@
 """Text operators over all pages and documents: HTML, sections, years, skills, paths, answers."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobspan import bindings as B
@@ -9,6 +8,7 @@ from jobspan.functions import answers as A
 from jobspan.functions import parse as V
 from jobspan.functions import skills as K
 from jobspan.functions import text as T
+from jobspan.operators.keys import carry_forward
 
 P = "with " + B.POSTINGS_SQL
 NOW = B.NOW
@@ -74,8 +74,7 @@ def heading_class(spark, d):
 
 @query("heading_carried", f"with {CARRIED} select doc_id, pos, section from carried")
 def heading_carried(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return _lines(spark, d).select("doc_id", "pos", F.last("head", ignorenulls=True).over(w).alias("section"))
+    return carry_forward(_lines(spark, d), "head", "section", ["doc_id"], ["pos"]).select("doc_id", "pos", "section")
 
 
 _SECTIONS = f"""with {CARRIED}, kept as (select doc_id, pos, trim(line, {WS}) as line, case section when 'requirements'

@@ -97,7 +97,7 @@ def display_name(slug: Column) -> Column:
 
 def normalize_role(role: Column) -> Column:
     """Lower case without one trailing generic word."""
-    return trim_ws(F.regexp_replace(F.lower(trim_ws(role)), r"\b(role|position|job|engineer|engineering)$", ""))
+    return trim_ws(F.regexp_replace(F.lower(trim_ws(role)), vocab.ROLE_ENDING_PATTERN, ""))
 
 
 def guess_company(text: Column, patterns: list[str] = vocab.COMPANY_GUESS_PATTERNS, head: int | None = None) -> Column:

@@ -1,7 +1,7 @@
 """First row per key and lookups, written so that one hot key does not end in one task."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column], row
     return df.join(first_ids(df, keys, order, row_id).select(row_id), row_id, "left_semi")
 
 
+def carry_forward(df: DataFrame, value: str, out: str, by: list[str], order: list[str]) -> DataFrame:
+    """Adds the last value that is not null up to each row. ``by`` are small groups, such as the lines of a text."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
 def salted_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
                   salts: int = 16) -> DataFrame:
     """Join to a table unique on ``keys`` when few keys may hold most rows: every key is spread over ``salts`` tasks.

@@ -4,11 +4,13 @@ Classified questions are a small list of parameters (one dict per question); the
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobspan import vocab
 from jobspan.operators import insights as I
 
 OFF_TOPIC = "off_topic"
@@ -23,10 +25,7 @@ class Question:
 
 def normal_role(role: str | None) -> str:
     """Role in lower case without one trailing generic word (the parameter form of ``normalize_role``)."""
-    words = (role or "").lower().split()
-    if words and words[-1] in ("role", "position", "job", "engineer", "engineering"):
-        words = words[:-1]
-    return " ".join(words)
+    return re.sub(vocab.ROLE_ENDING_PATTERN, "", (role or "").strip().lower()).strip()
 
 
 def answer_data(postings: DataFrame, q: Question) -> DataFrame | None:
@@ -60,5 +59,9 @@ def answer_context(postings: DataFrame, q: Question) -> DataFrame | None:
             line.alias("data"))
         out = grounded.select(F.col("g").alias("grounded"), "data")
     else:
-        out = data.agg((F.count("*") > 0).alias("grounded"), F.array_join(F.collect_list(line), "\n").alias("data"))
+        # Rows of a report come in its order: counts downwards, then names; the sides of a gap by their places.
+        order = ["side", "place"] if "place" in data.columns else [-F.col("cnt"), data.columns[0]]
+        lines = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") if isinstance(c, str) else c.alias(f"o{k}")
+                                                       for k, c in enumerate(order)], line.alias("line"))))
+        out = data.agg((F.count("*") > 0).alias("grounded"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("data"))
     return out.withColumn("n_jobs", postings.select(F.count("*").alias("n")).scalar())
