@@ -50,8 +50,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     df = _once(df, words=F.array_remove(F.split("text", SPACE + "+"), ""),
                lines=F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = _once(df, h4=_pairs(_pairs(F.transform("words", lambda w: F.xxhash64(w)), 1), 2))
-    df = _once(df, h8=_pairs(F.col("h4"), 4)).drop("h4")
+    df = _once(df, h1=F.transform("words", lambda w: F.xxhash64(w)))
+    for step in (1, 2, 4):  # hashes of one word, of two, four and eight
+        df = _once(df, **{f"h{2 * step}": _pairs(F.col(f"h{step}"), step)}).drop(f"h{step}")
     only = lambda kept: F.length(F.regexp_replace("text", f"[^{kept}]+", ""))
     repeated = F.when(F.size(F.array_distinct("h8")) < F.size("h8"), _covered(F.col("h8"))).otherwise(0)
     counts = {
