@@ -1,7 +1,7 @@
 """Helpers that several operators share: scratch tables, Arrow batches, gapless ranks and connected components."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +19,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
-               setup: Callable[[], Callable] | None = None) -> DataFrame:
-    """A map over Arrow batches. ``setup`` builds the function once per task, for what is costly to load."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = setup() if setup else fn
-        for batch in batches:
-            out = work(batch)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """Each text's UTF-8 bytes; a null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -68,11 +54,11 @@ def numbered(df: DataFrame, order: list[str], name: str, purpose: str) -> DataFr
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node of an undirected graph given as (a, b); root is the component's smallest node.
 
-    Alternates the large-star and small-star steps (Kiverlis and others, "Connected Components in MapReduce and Beyond"):
+    Alternates the large-star and small-star steps (Kiveris and others, "Connected Components in MapReduce and Beyond"):
     each step joins edges with one minimum per node, so hubs are pre-aggregated and skewed joins can be split. Every round is
     written to the shared folder.
     """
-    now = stored(_pairs(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     for _ in range(rounds):
         if mark[0] == 0:
@@ -80,10 +66,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _pairs(large.where("a <> b"))
+        large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(_pairs(small.unionByName(low.select("a", F.col("m").alias("b")))), "edges")
+        now = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         mark, last = _mark(now), mark
         if mark == last:
             break
@@ -93,10 +79,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.distinct()
-
-
 def _mark(edges: DataFrame) -> tuple:
     """Number of edges and an order-free sum of their hashes: equal when a round has changed nothing."""
     return tuple(edges.select(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
