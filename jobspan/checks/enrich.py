@@ -192,6 +192,15 @@ def ingest_stream(spark, d):
     return counts.groupBy("source").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("source", "run", "batch")])
 
 
+@query("first_links_stream", """select event_type as link, event_id, user_id from events
+ qualify row_number() over (partition by event_type order by ts, event_id) = 1""")
+def first_links_stream(spark, d):
+    out = scratch_folder(spark, "firsts")
+    rows = _event_stream(spark, d).select(F.col("event_type").alias("link"), "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    S.first_links(rows, out, out + "-checkpoint", ["ts", "event_id"])
+    return spark.read.parquet(out).select("link", "event_id", "user_id")
+
+
 @query("enrich_stream", f"{_ENRICHED} select outcome, count(*) as cnt from outcomes group by 1")
 def enrich_stream(spark, d):
     """The backlog lands as one table and is enriched batch by batch; twin of ``enrich_outcomes``."""

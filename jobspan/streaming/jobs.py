@@ -1,15 +1,12 @@
 """Structured Streaming forms of the incremental work, each with a batch twin that gives the same rows."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobspan.operators.admission import AdmissionRules
 from jobspan.operators.keys import salted_lookup
@@ -80,7 +77,8 @@ def update_stream(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out
 
 
 def unique_links(stream: DataFrame, ts: str = "ts", link: str = "link", delay: str = "1 hour") -> DataFrame:
-    """First event per link within the watermark; later than the watermark is dropped."""
+    """One event per link within the watermark, any of a batch's; later than the watermark is dropped. ``first_links`` keeps the
+    first."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([link])
 
 
@@ -120,51 +118,65 @@ def saved_set(events: DataFrame, keys: list[str], ts: str = "ts", action: str =
     Events equal in time go by row id. The last remove per key is an aggregate and comes back to the events by a salted
     join, so a key with a third of all events is spread over tasks and combined again by the second aggregate.
     """
+    return _toggled(events, keys, ts, action, row_id).where("n % 2 = 1").select(*keys, F.col("last").alias("saved_at"))
+
+
+def _toggled(events: DataFrame, keys: list[str], ts: str, action: str, row_id: str) -> DataFrame:
+    """Per key that has events: whether there was a remove, the toggles since the last one, and the time of the last of them."""
     at = F.struct(F.col(ts), F.col(row_id))
     cleared = events.where(F.col(action) == "remove").groupBy(*keys).agg(F.max(at).alias("__cleared"))
-    toggles = salted_lookup(events.where(F.col(action) == "toggle"), cleared, keys, [row_id])
-    live = toggles.where(F.col("__cleared").isNull() | (at > F.col("__cleared")))
-    return (
-        live.groupBy(*keys).agg(F.count("*").alias("n"), F.max(ts).alias("saved_at"))
-        .where(F.col("n") % 2 == 1).select(*keys, "saved_at")
-    )
+    rows = salted_lookup(events, cleared, keys, [row_id])
+    live = (F.col(action) == "toggle") & (F.col("__cleared").isNull() | (at > F.col("__cleared")))
+    return rows.groupBy(*keys).agg(F.count_if(F.col("__cleared").isNotNull()).alias("removes"), F.count_if(live).alias("n"),
+                                   F.max(F.when(live, F.col(ts))).alias("last"))
 
 
-def saved_set_stream(stream: DataFrame, keys: list[str], ts: str = "ts", action: str = "action",
-                     row_id: str = "event_id") -> DataFrame:
-    """State of every key touched in a micro-batch: (keys, saved, saved_at). The state is one flag and one time.
+def saved_set_from_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str, ts: str = "ts", action: str = "action",
+                          row_id: str = "event_id") -> DataFrame:
+    """Runs the saved set over what has arrived and returns the keys that are saved now.
 
-    A micro-batch is bounded by its trigger, and its events of a key are put in time order before they are applied.
+    A micro-batch is reduced to one row per key first (removes, parity of toggles, newest time), whatever the number of its
+    events, and then meets the key's last state, which is one flag and one time.
     """
-    fields = [stream.schema[k] for k in keys]
-    out = T.StructType(fields + [T.StructField("saved", T.BooleanType()), T.StructField("saved_at", T.TimestampType())])
-    state = T.StructType([T.StructField("saved", T.BooleanType()), T.StructField("at", T.LongType())])
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        saved, at = held.get if held.exists else (False, 0)
-        parts = [(f[ts].to_numpy("datetime64[us]"), f[row_id].to_numpy(), f[action].to_numpy()) for f in frames]
-        times, ids, actions = (np.concatenate(column) for column in zip(*parts))
-        order = np.lexsort((ids, times))
-        times, actions = times[order], actions[order]
-        removes = np.flatnonzero(actions == "remove")
-        if len(removes):
-            saved, times, actions = False, times[removes[-1] + 1:], actions[removes[-1] + 1:]
-        toggles = times[actions == "toggle"]
-        if len(toggles):
-            saved, at = bool(saved) ^ bool(len(toggles) % 2), int(toggles[-1].astype("int64"))
-        held.update((saved, at))
-        shown = [np.datetime64(at, "us") if saved else np.datetime64("NaT", "us")]
-        yield pd.DataFrame({**{n: [v] for n, v in zip(keys, key)}, "saved": [saved], "saved_at": shown})
-
-    rows = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return rows.groupBy(*keys).applyInPandasWithState(
-        fold, out, state, "update", GroupStateTimeout.NoTimeout)
-
-
-def saved_set_from_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str, **kw) -> DataFrame:
-    """Runs the saved set over what has arrived and returns the keys that are saved now."""
-    run = run_available(saved_set_stream(stream, keys, **kw), lambda b, n: _write_batch(b, out, n), checkpoint, "update")
+    names = [*keys, "saved", "saved_at"]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn(ts, F.col(ts).cast("timestamp"))
+        changed = _toggled(rows, keys, ts, action, row_id)
+        schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("saved", T.BooleanType()),
+                                                                T.StructField("saved_at", T.TimestampType())])
+        before = _earlier(spark, out, batch_id, schema)
+        last = before.groupBy(*keys).agg(F.max_by(F.struct("saved", "saved_at"), "batch").alias("s"))
+        held = changed.join(last, keys, "left")
+        kept = F.coalesce(F.col("s.saved"), F.lit(False)) & (F.col("removes") == 0)
+        saved = kept != (F.col("n") % 2 == 1)
+        new = held.select(*keys, saved.alias("saved"), F.when(saved, F.coalesce("last", "s.saved_at")).alias("saved_at"))
+        _write_batch(new.select(*names), out, batch_id)
+
+    run = run_available(stream, sink, checkpoint)
     spark, own = stream.sparkSession, f"{out}/run={run}"
     rows = spark.read.option("basePath", own).parquet(own)
     last = rows.groupBy(*keys).agg(F.max_by(F.struct("saved", "saved_at"), "batch").alias("s"))
     return last.where("s.saved").select(*keys, F.col("s.saved_at").alias("saved_at"))
+
+
+def first_links(stream: DataFrame, out: str, checkpoint: str, order: list[str], link: str = "link") -> None:
+    """Appends the first row of every link, by ``order``, that no earlier batch of the stream has given. The first rows of a batch
+    are an aggregate, combined before anything moves; ``order`` tells rows apart."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        columns = [F.col(c) for c in batch.columns]
+        first = batch.groupBy(link).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
+        links = _earlier(batch.sparkSession, out, batch_id, T.StructType([batch.schema[link]])).select(link)
+        _write_batch(first.join(links.where(F.col(link).isNotNull()), link, "left_anti").select(*batch.columns), out, batch_id)
+
+    run_available(stream, sink, checkpoint)
+
+
+def _earlier(spark: SparkSession, out: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """What earlier batches of this stream have written, with ``batch``."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    own = f"{out}/{_folder(spark, batch_id).split('/')[0]}"
+    schema = T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).option("basePath", own).parquet(own).where(F.col("batch") < batch_id)
