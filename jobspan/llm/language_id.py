@@ -59,6 +59,7 @@ class Filters:
     n: int
     cells: np.ndarray
     probes: int
+    wrong: np.ndarray | None = None
 
     def places(self, hashes: np.ndarray) -> list[np.ndarray]:
         mask = np.uint64(len(self.cells) - 1)
@@ -67,18 +68,38 @@ class Filters:
 
     def false_share(self) -> np.ndarray:
         """Chance that an n-gram which a language lacks is returned for it."""
-        return np.array([float(((self.cells >> np.uint64(k)) & np.uint64(1)).mean()) ** self.probes
-                         for k in range(len(self.languages))])
+        if self.wrong is None:
+            self.wrong = np.array([float(((self.cells >> np.uint64(k)) & np.uint64(1)).mean()) ** self.probes
+                                   for k in range(len(self.languages))])
+        return self.wrong
 
-    def decide(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: n-grams found per language, all n-grams, and whether it has a letter."""
         hashes, of, has = grams(texts, self.n)
         found = np.full(len(hashes), ~np.uint64(0))
         for at in self.places(hashes):
             found &= self.cells[at]
-        total = np.bincount(of, minlength=len(texts)).astype(float)
-        wrong = self.false_share()
         hits = np.stack([np.bincount(of, weights=((found >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=len(texts))
                          for k in range(len(self.languages))], 1)
+        return hits, np.bincount(of, minlength=len(texts)).astype(float), has
+
+    def decide(self, texts: list[str], most: int = 1_000_000) -> tuple[list[str], list[float]]:
+        """Language and score of each text. Longer texts are counted in pieces of ``most`` characters, which bounds the memory."""
+        hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        has = np.zeros(len(texts), bool)
+        pieces = [(k, t[i:i + most]) for k, t in enumerate(texts) for i in range(0, max(1, len(t)), most)]
+        while pieces:
+            size, n = 0, 0
+            while n < len(pieces) and (not n or size + len(pieces[n][1]) <= most):
+                size += len(pieces[n][1])
+                n += 1
+            of = np.array([k for k, _ in pieces[:n]])
+            h, t, letters_in = self.counts([p for _, p in pieces[:n]])
+            np.add.at(hits, of, h)
+            np.add.at(total, of, t)
+            np.logical_or.at(has, of, letters_in)
+            pieces = pieces[n:]
+        wrong = self.false_share()
         # Of t n-grams h hits are expected to be m members and (t - m) * wrong false ones.
         members = np.clip((hits - total[:, None] * wrong) / np.maximum(1e-9, 1 - wrong), 0, None)
         best = members.argmax(1)
@@ -155,7 +176,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in portions(batch, 1, 1_000_000):
+            for part in portions(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if shared.value.languages:
                     names, scores = shared.value.decide(texts)

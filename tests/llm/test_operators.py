@@ -241,6 +241,9 @@ def test_language_filters(spark):
     assert found[4][0] in letters and found[None][0] == "aa" and found[5][0] == "aa"
     assert all(0 <= s <= 1 for _, s in found.values())
     assert language_id.predict(odd.limit(0), filters).count() == 0
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "1", "abc " * 300]
+    whole, parts = filters.decide(texts), filters.decide(texts, most=100)
+    assert whole[0] == parts[0] and max(abs(a - b) for a, b in zip(whole[1], parts[1], strict=True)) < 0.1
 
 
 def test_language_filters_without_training_rows(spark):
