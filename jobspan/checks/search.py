@@ -13,7 +13,12 @@ NOW = B.NOW
 P = "with " + B.POSTINGS_SQL
 QVEC = "(select embedding from embeddings where vec_id = 7)"
 COS = ("list_cosine_similarity(cast({a} as double[]), cast({b} as double[]))")
-STOP = "['" + "','".join(Q.vocab.QUERY_STOPWORDS) + "']"
+# Written out: the SQL borrows no value from the code that it checks.
+STOP = """['engineer', 'engineering', 'senior', 'junior', 'lead', 'staff', 'developer', 'manager', 'analyst', 'scientist', 'experience',
+ 'years', 'with', 'and', 'or', 'for', 'the', 'in', 'on', 'at', 'using', 'knowledge', 'strong', 'good', 'background']"""
+MODE_WEIGHTS = {  # by: skills given, years given
+    (True, True): (0.25, 0.25, 0.20, 0.05, 0.05, 0.20), (True, False): (0.30, 0.30, 0.00, 0.10, 0.10, 0.20),
+    (False, True): (0.35, 0.00, 0.30, 0.10, 0.10, 0.15), (False, False): (0.50, 0.00, 0.00, 0.10, 0.15, 0.25)}
 TOK = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z][a-z0-9+#./]*'))"
 SEARCH = Q.Search("hot ring with brand#4", Q.Filters(skills=["ring", "hot", "Brand#4"], min_years=5,
                                                    title_aliases=["blue gear", "old_bolt", "red plate"]), top_n=20)
@@ -71,7 +76,7 @@ HYBRID_SQL = f"""{P}, {facts_sql()}, {CAND.format(k=250)},
  alias as (select *, 1 as origin from facts where contains(lower(title), 'blue gear')
    or contains(lower(title), 'old_bolt') or contains(lower(title), 'red plate') order by id limit 50),
  found as (select * from near union all select * from alias where id not in (select id from near)),
- {scored_sql('found', Q.S.weights(True, True), "['ring', 'hot', 'Brand#4']", "[]", 5)},
+ {scored_sql('found', (0.25, 0.25, 0.20, 0.05, 0.05, 0.20), "['ring', 'hot', 'Brand#4']", "[]", 5)},
  ranked as (select *, {RANK.format(per='')} as rk from scored),
  kept as (select * from ranked where not (lower(source) = 'linkedin' and regexp_matches(coalesce(company, ''),
    '(?i)\\b(staffing|staffers?|recruit(?:ing|ment|ers?)?|placement|headhunt(?:ers?|ing)?|outsourc(?:ing|e)|manpower|hiring)\\b|\\bhire\\b'))),
@@ -123,7 +128,7 @@ def vector_and_alias_hits(spark, d):
     return Q.candidates(B.postings(spark, d), vec, "hot ring with brand#4", f, 100, NOW).select("id", "origin")
 
 
-@query("simple_search", f"""{P}, {facts_sql()}, {CAND.format(k=30)}, {scored_sql('near', Q.S.weights(False, False))},
+@query("simple_search", f"""{P}, {facts_sql()}, {CAND.format(k=30)}, {scored_sql('near', (0.50, 0.00, 0.00, 0.10, 0.15, 0.25))},
  ranked as (select *, {RANK.format(per='')} as rank from scored) select rank, {OUT} from ranked where rank <= 10""")
 def simple_search(spark, d):
     vec = Q.query_vector(B.table(spark, d, "embeddings"), 7)
@@ -213,7 +218,7 @@ for _mode, (_man, _res, _yrs) in _MODES.items():
 
     _pct = "cast(greatest(least(round(hybrid_score * 100), 100), 0) as int)"
     query(f"hybrid_score_{_mode}", f"""{P}, {facts_sql()}, {CAND.format(k=500)},
- {scored_sql('near', Q.S.weights(bool(_man or _res), _yrs is not None), str(_man), str(_res), _yrs)}
+ {scored_sql('near', MODE_WEIGHTS[bool(_man or _res), _yrs is not None], str(_man), str(_res), _yrs)}
  select id, skill_overlap, filter_score, exp_score, hybrid_score, {_pct} as percent,
  case when {_pct} >= 85 then 'excellent' when {_pct} >= 70 then 'good' when {_pct} >= 50 then 'fair' else 'weak'
  end as band from scored""")(_run)
@@ -289,7 +294,7 @@ MATCHES = f"""{P}, people as (select e.vec_id as resume_id, e.embedding as vec,
    coalesce(skills, []) as skills, link, source, hours_since_posted, owned, wanted, 0 as origin,
    {TOK.format("title || ' ' || coalesce(company_name, '')")} as words, {TOK.format('title')} as twords
    from near n join fresh f on f.id = n.id join people using (resume_id)),
- {scored_sql('found', tuple(f'(case when len(owned) > 0 then {a} else {b} end)' for a, b in zip(Q.S.weights(True, False), Q.S.weights(False, False))), '[]', 'owned')},
+ {scored_sql('found', tuple(f'(case when len(owned) > 0 then {a} else {b} end)' for a, b in zip((0.30, 0.30, 0.00, 0.10, 0.10, 0.20), (0.50, 0.00, 0.00, 0.10, 0.15, 0.25))), '[]', 'owned')},
  ranked as (select *, {RANK.format(per='partition by resume_id')} as rank from scored)
 """
 

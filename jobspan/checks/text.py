@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from jobspan import bindings as B
-from jobspan import vocab
 from jobspan.checks.registry import query
 from jobspan.functions import answers as A
 from jobspan.functions import parse as V
@@ -25,7 +24,8 @@ def _entities(expr: str) -> str:
     return f"replace({expr}, '&amp;', '&')"
 
 
-_CUT = f"regexp_replace(regexp_replace(html, '{T.HIDDEN_MARKUP}', chr(1), 'g'), '{T.TAG}', chr(1), 'g')"
+_CUT = (r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', chr(1), 'g'), "
+        r"'</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>', chr(1), 'g')")
 HTML_SQL = f"""translate(array_to_string(list_filter(list_transform(string_split({_entities(_CUT)}, chr(1)),
  lambda p: trim(p, {WS})), lambda p: p <> ''), chr(10)), '‘’‚‛“”„‟' || chr(160), '''''''''""\"" ')"""
 HTML_SQL = HTML_SQL.replace("""'''''''''""\"" '""", "chr(39)||chr(39)||chr(39)||chr(39)||'\"\"\"\" '")
@@ -100,8 +100,10 @@ def embed_text(spark, d):
 _YEARS_TEXT = """(l_linenumber || ' years in town. ' || cast(l_quantity as int) || '+ years of experience, including ' ||
  l_linenumber || ' years here and plus ' || (l_partkey % 9) || ' years; ' || (l_suppkey % 30) ||
  ' to 40 years of related experience')"""
-_YP = "'" + vocab.YEARS_PATTERN + "'"
-_SP = "'" + vocab.SUB_YEARS_PATTERN + "'"
+# Written out: the SQL borrows no pattern from the code that it checks.
+_YP = (r"'(\d{1,2})\s*(?:\+|[-–]\s*\d{1,2}|\s+(?:to|or\s+more)\s+\d{0,2})?\s*\+?\s*years?\s+"
+       r"(?:(?:of\s+)?(?:relevant\s+|professional\s+|work\s+|related\s+)?(?:experience|exp(?:erience)?)|in\b)'")
+_SP = r"'(?:including|of\s+which|comprising|of\s+that|plus)\s+(\d{1,2})\s*\+?\s*years?'"
 
 
 @query("years_of_experience", f"""with t as (select l_orderkey, l_linenumber, l_partkey, {_YEARS_TEXT} as text from lineitem),
@@ -261,7 +263,11 @@ def clean_titles(spark, d):
 
 
 # ------------------------------------------------------------------ requests and answers
-_HEAD = "'" + A.TEMPLATES["skills"].replace("'", "''") + "'"
+_HEAD = """'List the technical skills named in this posting and the minimum years of experience it asks for.
+Answer as JSON: {"required_skills": [...], "experience_years": n or null}
+
+Posting:
+'"""
 
 
 @query("skill_requests", P + f""" select id, {_HEAD} || description as request from postings
