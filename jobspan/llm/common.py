@@ -33,6 +33,32 @@ def portions(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterato
             yield batch.slice(int(a), int(b - a))
 
 
+BITMAP_WORDS = 1 << 20  # 64 bits each: 8 MB, whatever the corpus; a full bitmap costs time, not results
+
+
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """A bit for each value of the column h1."""
+    place = F.shiftrightunsigned("h1", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h1").bitwiseAND(F.lit(63)).cast("int"))
+    table = wanted.groupBy(place.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most BITMAP_WORDS rows
+    words = np.zeros(BITMAP_WORDS, np.uint64)
+    words[table["at"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def in_bitmap(batches, shared) -> Iterator[pa.RecordBatch]:
+    """The rows whose first column, h1, has its bit."""
+    words = shared.value
+    for batch in batches:
+        h = batch.column(0).to_numpy().view(np.uint64)
+        bits = words[(h >> np.uint64(6)) & np.uint64(len(words) - 1)] >> (h & np.uint64(63))
+        yield batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
+
+
+def name_of(h1: str, h2: str) -> Column:
+    return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str, purpose: str) -> DataFrame:
     """Adds the row's gapless place (from 0) in the given total order.
 
