@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark's n-grams are counted over the whole corpus first. In each window of neighbouring n-grams of an item the one in
-the fewest documents is a seed, so seeds are rare, and any copy that keeps window + n - 1 words in a row holds one: nothing is
-left out for being frequent. Where a seed stands in a document, the passage around it is aligned with the item, which scores
-edited and paraphrased copies too. Test items come in blocks of a checked size that every task holds; more items mean more
-passes over the corpus, and the same results.
+Every n-gram of an item is a seed, so any copy that keeps n words in a row holds one, whatever other copies the corpus has and
+however frequent the n-gram is. Around the seeds the words that item and passage share are counted, which bounds the score; where
+the bound allows it, the passage is aligned with the item, which scores edited and paraphrased copies too. Test items come in
+blocks of a checked size that every task holds; more items mean more passes over the corpus, and the same results.
 """
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import partial
 
 import numpy as np
@@ -65,7 +63,12 @@ class Items:
             raise ValueError("too many different words in a block of test items: make blocks smaller")
         coded = [self.codes(w) for w in self.words]
         self.grams = np.unique(np.concatenate([*coded, np.zeros(0, np.int64)]))
-        self.of_item = [np.searchsorted(self.grams, c) for c in coded]
+        # Of each n-gram by number: the items that hold it, and where.
+        flat = np.searchsorted(self.grams, np.concatenate([*coded, np.zeros(0, np.int64)]))
+        order = np.argsort(flat, kind="stable")
+        self.holders = np.repeat(np.arange(len(coded)), [len(c) for c in coded])[order]
+        self.within = np.concatenate([*[np.arange(len(c)) for c in coded], np.zeros(0, np.int64)])[order]
+        self.ends = np.searchsorted(flat[order], np.arange(len(self.grams) + 1))
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """A number for each n-gram."""
@@ -96,51 +99,38 @@ class Items:
             starts.append(len(flat))
         return np.array(flat, np.int64), np.array(starts, np.int64)
 
-    def seeds(self, frequency: np.ndarray, window: int) -> dict[int, list[tuple[int, int]]]:
-        """n-gram's number to (item, place): of each window of the item's n-grams the one in the fewest documents, the first of
-        equals."""
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for item, grams in enumerate(self.of_item):
-            for a in range(max(1, len(grams) - window + 1)) if len(grams) else ():
-                part = frequency[grams[a:a + window]]
-                at = a + int(part.argmin())
-                out[int(grams[at])].add((item, at))
-        return {g: sorted(places) for g, places in out.items()}
-
-
-def _count(batches, shared):
-    items = shared.value
-    for batch in batches:
-        for part in portions(batch, 0):
-            ids, starts = items.read(part.column(0).to_pylist())
-            at, gram = items.found(ids)
-            of = np.searchsorted(starts, at, "right")
-            pairs = np.unique(of * len(items.grams) + gram)
-            found, times = np.unique(pairs % max(1, len(items.grams)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["gram", "n"])
+    def pointed(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, where the item would begin in the text) of every seed, sorted, equal ones once."""
+        at, gram = self.found(ids)
+        of = np.searchsorted(starts, at, "right") - 1
+        times = self.ends[gram + 1] - self.ends[gram]
+        each = np.repeat(np.arange(len(at)), times)
+        holder = self.ends[gram][each] + np.arange(len(each)) - (np.cumsum(times) - times)[each]
+        of, item, begin = of[each], self.holders[holder], (at - starts[of])[each] - self.within[holder]
+        order = np.lexsort((begin, item, of))
+        of, item, begin = of[order], item[order], begin[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (np.diff(of) != 0) | (np.diff(item) != 0) | (np.diff(begin) != 0)
+        return of[new], item[new], begin[new]
 
 
 def _align(batches, shared, least: float, run: int):
-    items, seeds = shared.value
-    is_seed = np.zeros(len(items.grams) + 1, bool)
-    is_seed[list(seeds)] = True
+    items = shared.value
     for batch in batches:
         for part in portions(batch, 1):
             ids, starts = items.read(part.column(1).to_pylist())
-            at, gram = items.found(ids)
-            at, gram = at[is_seed[gram]], gram[is_seed[gram]]
-            of = np.searchsorted(starts, at, "right") - 1
-            near: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for row, place, g in zip(of.tolist(), (at - starts[of]).tolist(), gram.tolist(), strict=True):
-                for item, within in seeds[g]:
-                    near[row, item].append(place - within)
+            of, item, begins = items.pointed(ids, starts)
+            edges = np.flatnonzero((np.diff(of) != 0) | (np.diff(item) != 0)) + 1
             out = []
-            for (row, item), begins in sorted(near.items()):
+            for a, b in zip([0, *edges], [*edges, len(of)], strict=True):
+                if a == b:
+                    continue
+                row, words = int(of[a]), items.words[item[a]]
                 text = ids[starts[row]:starts[row + 1] - items.n]
-                best = _best(items.words[item], text, sorted(begins))
-                share = best[0] / (2 * len(items.words[item]))
+                best = _best(words, text, begins[a:b], min(least * len(words), run))
+                share = best[0] / (2 * len(words))
                 if share >= least or best[1] >= run:
-                    out.append((row, items.names[item], share, best[1], best[4], best[5]))
+                    out.append((row, items.names[item[a]], share, best[1], best[4], best[5]))
             if out:
                 rows, names, shares, matched, first, end = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -149,23 +139,28 @@ def _align(batches, shared, least: float, run: int):
                     names=["doc_id", "item_id", "score", "matched", "first_word", "end_word"])
 
 
-def _best(item: np.ndarray, text: np.ndarray, begins: list[int]):
-    """The best alignment over the passages that the seeds point at; begins: where the item would begin in the text."""
+def _best(item: np.ndarray, text: np.ndarray, begins: np.ndarray, needed: float):
+    """The best alignment over the passages that the seeds point at; begins: where the item would begin in the text, sorted. Passages
+    that share fewer words with the item than needed can't count. A run of seeds longer than four items is cut, each part with
+    the margins of a single seed, so that tables stay small."""
     slack = len(item) // 2 + 1
     best, k = (0, 0, 0, 0, 0, 0), 0
+    gaps = np.flatnonzero(np.diff(begins) > slack)
     while k < len(begins):
-        last = k
-        while last + 1 < len(begins) and begins[last + 1] - begins[last] <= slack:
-            last += 1
-        low, high = max(0, begins[k] - slack), min(len(text), begins[last] + len(item) + slack)
-        got = smith_waterman(item, text[low:high])
-        if got[0] > best[0]:
-            best = (*got[:4], got[4] + low, got[5] + low)
+        at = np.searchsorted(gaps, k)
+        last = int(gaps[at]) if at < len(gaps) else len(begins) - 1
+        last = min(last, int(np.searchsorted(begins, begins[k] + 4 * len(item), "right")) - 1)
+        low, high = max(0, int(begins[k]) - slack), min(len(text), int(begins[last]) + len(item) + slack)
+        passage = text[low:high]
+        if np.isin(item, passage).sum() >= needed:
+            got = smith_waterman(item, passage)
+            if got[0] > best[0]:
+                best = (*got[:4], got[4] + low, got[5] + low)
         k = last + 1
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, window: int = 4, least: float = 0.5, run: int = 50,
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, run: int = 50,
                  block_mb: float = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, matched, first_word, end_word: documents and the test items that they hold a copy of.
@@ -181,14 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, window: int
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sc, parts = docs.sparkSession.sparkContext, []
     for rows in _blocks(benchmark.select(item_col, item_text_col), int(block_mb * 1e6)):
-        items = Items(rows, n)
-        shared = sc.broadcast(items)  # a block's size is checked
-        counts = read.select("text").mapInArrow(partial(_count, shared=shared), "gram long, n long")
-        frequency = np.zeros(len(items.grams), np.int64)
-        for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the block's own n-grams
-            frequency[r.gram] = r.n
-        both = sc.broadcast((items, items.seeds(frequency, window)))
-        parts.append(stored(read.mapInArrow(partial(_align, shared=both, least=least, run=run), schema), "contaminated"))
+        shared = sc.broadcast(Items(rows, n))  # a block's size is checked
+        parts.append(stored(read.mapInArrow(partial(_align, shared=shared, least=least, run=run), schema), "contaminated"))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]
