@@ -262,6 +262,13 @@ def recent_results(spark, d):
     return top.withColumn("place", F.row_number().over(w).cast("long"))
 
 
+@query("all_recent_results", P + f""", h as (select id, {_HOURS} as hours_since_posted from postings)
+ select id, hours_since_posted, row_number() over (order by hours_since_posted asc nulls last, id) as place from h""")
+def all_recent_results(spark, d):
+    rows = B.postings(spark, d).select("id", _h().alias("hours_since_posted"))
+    return R.placed(rows, [F.asc_nulls_last("hours_since_posted"), F.col("id")])
+
+
 @query("posting_neighbours", f"""{P} select q.vec_id as query_id, i.id, round({COS.format(a='q.embedding', b='i.embedding')}, 4)
  as vec_score from embeddings q, postings i where i.embedding is not null
  qualify row_number() over (partition by q.vec_id order by round({COS.format(a='q.embedding', b='i.embedding')}, 10) desc,

@@ -12,6 +12,7 @@ from jobspan import vocab
 from jobspan.functions.names import ilike_any
 from jobspan.functions.scores import instant
 from jobspan.functions.vectors import matrix, unit
+from jobspan.session import scratch_folder
 
 TILE_CELLS = 4 << 20  # similarities held at a time in a task
 SIM_DIGITS = 10  # similarities equal to this many digits count as ties, which go to the smaller id
@@ -94,6 +95,19 @@ def sort_results(df: DataFrame, by: str = "match") -> DataFrame:
     return df.orderBy(F.desc("vec_score"), "rank")
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds each row's gapless place (from 1) in a total order, over all rows: a range-partitioned sort, so no task sees more than
+    its range; one row per partition is gathered to add the ranges up."""
+    path = scratch_folder(df.sparkSession, "placed")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    at = df.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("__part").agg(F.count("*").alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return at.join(F.broadcast(starts), "__part").withColumn(name, place).drop("__part", "__start", "__at")
+
+
 def rerank(candidates: DataFrame, ranking: DataFrame, n: int, prior: str = "rank", per: list[str] = ()) -> DataFrame:
     """Candidates in the order of a ranked id list, then those it leaves out in prior order; top n per query.
 
