@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspan.llm import (decontaminate, language_id, licences, line_dedup, pieces, pseudonyms, quality_rules,
-                         rule_ensemble, sharding, simhash, text_stats)
+from jobspan.llm import (decontaminate, fill_in_middle, importance, language_id, licences, line_dedup, pieces, pseudonyms,
+                         quality_rules, rule_ensemble, sharding, simhash, text_stats, token_files)
 from jobspan.llm.common import documents, held_out, stored
-from jobspan.session import ship
+from jobspan.session import scratch_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,26 @@ def op9_decision_list(spark, sf_dir):
 @query
 def op10_pieces(spark, sf_dir):
     return pieces.digests(pieces.encode(documents(spark, sf_dir), piece_model()))
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(fill_in_middle.transform(documents(spark, sf_dir)))
+
+
+ORACLES["op11_fill_in_middle"] = fill_in_middle.SQL
+
+
+@query
+def op12_importance(spark, sf_dir):
+    drawn = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    path = scratch_folder(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digests(token_files.read(spark, path))
