@@ -7,6 +7,7 @@ from jobspan.functions import scores as S
 from jobspan.functions import skills as K
 from jobspan.functions.vectors import cosine, cosine_to
 from jobspan.operators import retrieval as R
+from jobspan.operators.vector_search import ListIndex
 from jobspan.plans import search as Q
 
 NOW = B.NOW
@@ -269,19 +270,55 @@ def all_recent_results(spark, d):
     return R.placed(rows, [F.asc_nulls_last("hours_since_posted"), F.col("id")])
 
 
-@query("posting_neighbours", f"""{P} select q.vec_id as query_id, i.id, round({COS.format(a='q.embedding', b='i.embedding')}, 4)
- as vec_score from embeddings q, postings i where i.embedding is not null
+_QUERY = "(select * from embeddings where vec_id % 100 = 0)"
+_NEIGHBOURS = f"""{P} select q.vec_id as query_id, i.id, round({COS.format(a='q.embedding', b='i.embedding')}, 4)
+ as vec_score from {_QUERY} q, postings i where i.embedding is not null
  qualify row_number() over (partition by q.vec_id order by round({COS.format(a='q.embedding', b='i.embedding')}, 10) desc,
- i.id) <= 20""")
+ i.id) <= 20"""
+
+
+def _query_vectors(spark, d):
+    """The stated query set of searches: every vector whose id is divisible by 100, against all rows."""
+    return B.table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0)
+
+
+def _queries(spark, d):
+    return _query_vectors(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+@query("posting_neighbours", _NEIGHBOURS)
 def posting_neighbours(spark, d):
-    queries = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    near = R.batch_top_k(B.postings(spark, d).where("embedding is not null"), queries, 20)
+    near = R.batch_top_k(B.postings(spark, d).where("embedding is not null"), _queries(spark, d), 20)
     return near.withColumn("vec_score", F.round("vec_score", 4))
 
 
+def _index(spark, d, **how):
+    """About the square root of the number of items as lists."""
+    items = B.postings(spark, d).where("embedding is not null").select("id", "embedding")
+    return ListIndex.build(items, max(1, round(items.count() ** 0.5)), **how)
+
+
+@query("indexed_neighbours", _NEIGHBOURS)
+def indexed_neighbours(spark, d):
+    """All inverted lists are probed, which is exact."""
+    index = _index(spark, d)
+    return index.top_k(_queries(spark, d), 20, probes=len(index.centers)).withColumn("vec_score", F.round("vec_score", 4))
+
+
+@query("neighbour_recall", f"select vec_id as query_id, true as reached from {_QUERY}")
+def neighbour_recall(spark, d):
+    """Whether half of the lists, each item in two, hold at least nine tenths of the exact neighbours of all queries together. These
+    vectors are nearly without groups, which is the hard case; fewer lists do where there are any."""
+    index = _index(spark, d, copies=2)
+    near = index.top_k(_queries(spark, d), 20, probes=-(-len(index.centers) // 2)).withColumn("hit", F.lit(1)).drop("vec_score")
+    exact = R.batch_top_k(B.postings(spark, d).where("embedding is not null"), _queries(spark, d), 20)
+    found = exact.join(near, ["query_id", "id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+    return _queries(spark, d).select("query_id", F.lit(found.first().reached).alias("reached"))
+
+
 def _resumes(spark, d):
-    """One résumé per vector: the part's words are its skills (none on some), its type the summary."""
-    e, p = B.table(spark, d, "embeddings"), B.table(spark, d, "part")
+    """Résumés of the query vectors: the part's words are the skills (none on some), its type the summary."""
+    e, p = _query_vectors(spark, d), B.table(spark, d, "part")
     return e.join(p, p.p_partkey == e.vec_id).select(
         F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vec"),
         F.when(F.col("p_size") > 10, F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("skills"),
@@ -291,7 +328,7 @@ def _resumes(spark, d):
 MATCHES = f"""{P}, people as (select e.vec_id as resume_id, e.embedding as vec,
  case when p_size > 10 then string_split(p_name || ' ' || p_brand, ' ') else [] end as owned,
  list_filter({TOK.format("'senior ' || p_name || ' ' || p_type")}, lambda t: not list_contains({STOP}, t)) as wanted
- from embeddings e join part p on p.p_partkey = e.vec_id),
+ from {_QUERY} e join part p on p.p_partkey = e.vec_id),
  fresh as (select *, {_HOURS} as hours_since_posted from postings where embedding is not null
    and posted_date >= timestamp '{NOW}' - interval 20000 hour),
  pairs as (select resume_id, i.id, {COS.format(a='vec', b='i.embedding')} as vec_score from people, fresh i),
@@ -324,23 +361,21 @@ def explanation_requests(spark, d):
 
 _NEAR = f"""near as (select q.vec_id as query_id, i.id, row_number() over (partition by q.vec_id
  order by round({COS.format(a='q.embedding', b='i.embedding')}, 10) desc, i.id) as rank
- from embeddings q, postings i where i.embedding is not null qualify rank <= 20)"""
+ from {_QUERY} q, postings i where i.embedding is not null qualify rank <= 20)"""
 
 
 @query("rerank", f"""{P}, {_NEAR}, answers as (select vec_id as query_id,
- unnest([vec_id, vec_id * 7 % 500, vec_id, label + 10]) as id, unnest([0, 1, 2, 3]) as pos from embeddings),
+ unnest([vec_id, vec_id * 7 % 500, vec_id, label + 10]) as id, unnest([0, 1, 2, 3]) as pos from {_QUERY}),
  firsts as (select query_id, id, min(pos) as pos from answers group by all)
  select query_id, id, new_rank from (select n.query_id, n.id, row_number() over (partition by n.query_id
  order by pos asc nulls last, rank) as new_rank from near n left join firsts f on f.query_id = n.query_id
  and f.id = n.id) where new_rank <= 10""")
 def rerank(spark, d):
-    e = B.table(spark, d, "embeddings")
-    queries = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    near = R.batch_top_k(B.postings(spark, d).where("embedding is not null"), queries, 20)
+    near = R.batch_top_k(B.postings(spark, d).where("embedding is not null"), _queries(spark, d), 20)
     w = R.Window.partitionBy("query_id").orderBy(F.desc(F.round("vec_score", 10)), "id")
     prior = near.withColumn("rank", F.row_number().over(w))
     v = F.col("vec_id")
-    ranking = e.select(v.alias("query_id"), F.array(v, v * 7 % 500, v, F.col("label") + 10).alias("ids"))
+    ranking = _query_vectors(spark, d).select(v.alias("query_id"), F.array(v, v * 7 % 500, v, F.col("label") + 10).alias("ids"))
     out = R.rerank(prior, ranking, 10, per=["query_id"])
     return out.select("query_id", "id", F.col("new_rank").cast("long").alias("new_rank"))
 

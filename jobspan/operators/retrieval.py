@@ -1,22 +1,16 @@
 """Finding and ordering postings: vector top-k, title aliases, source mix, pages."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobspan import vocab
 from jobspan.functions.names import ilike_any
 from jobspan.functions.scores import instant
-from jobspan.functions.vectors import matrix, unit
+from jobspan.functions.vectors import SIM_DIGITS
+from jobspan.operators.vector_search import batch_top_k  # noqa: F401
 from jobspan.session import scratch_folder
 
-TILE_CELLS = 4 << 20  # similarities held at a time in a task
-SIM_DIGITS = 10  # similarities equal to this many digits count as ties, which go to the smaller id
-
 
 def search_predicates(location: str | None = None, max_hours_old: int | None = None, sources: list[str] = (),
                       now=None) -> Column:
@@ -119,94 +113,3 @@ def rerank(candidates: DataFrame, ranking: DataFrame, n: int, prior: str = "rank
     both = candidates.join(listed, [*per, "id"], "left")
     w = Window.partitionBy(*per).orderBy(F.asc_nulls_last("__pos"), prior)
     return both.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= n).drop("__pos")
-
-
-# ------------------------------------------------------------------ many queries at once
-def batch_top_k(
-    items: DataFrame,
-    queries: DataFrame,
-    k: int,
-    query_id: str = "query_id",
-    item_id: str = "id",
-    item_vec: str = "embedding",
-    query_vec: str = "vec",
-    max_query_bytes: int = 64 << 20,
-    max_kept: int = 4 << 20,
-    salts: int = 32,
-) -> DataFrame:
-    """Exact k most similar items of every query: (query_id, item_id, vec_score).
-
-    The items never move. The queries are shipped to the tasks in blocks, one pass over the items per block: a block is bounded
-    by the bytes of its vectors and by the results that a task keeps for it, whatever the number of queries. In a task every
-    batch of items meets a block in tiles of a bounded number of similarities. The survivors are merged in two steps, so no task
-    sees the survivors of all tasks at once. Vectors of different lengths are refused.
-    """
-    n, dim, least = queries.agg(F.count("*"), F.max(F.size(query_vec)), F.min(F.size(query_vec))).first()
-    if not n or not dim:
-        return items.sparkSession.createDataFrame([], f"{query_id} long, {item_id} long, vec_score double")
-    if least != dim:
-        raise ValueError(f"query vectors have {least} to {dim} numbers")
-    blocks = max(1, -(-(n * dim * 8) // max_query_bytes), -(-(n * k) // max_kept))
-    size = F.size(item_vec)
-    vectors = items.where(F.col(item_vec).isNotNull()).select(
-        F.col(item_id).cast("long"), F.when(size == dim, F.col(item_vec)).otherwise(F.raise_error(
-            F.format_string("an item vector has %d numbers, not %d", size, F.lit(dim))).cast(items.schema[item_vec].dataType)).alias(item_vec))
-    schema = f"{query_id} long, {item_id} long, vec_score double"
-    found = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        table = part.select(F.col(query_id).cast("long"), query_vec).toArrow()
-        block = items.sparkSession.sparkContext.broadcast(
-            (table[query_id].to_numpy(), unit(matrix(table[query_vec].combine_chunks(), dim)))
-        )
-        hits = vectors.mapInArrow(_nearest(block, item_id, item_vec, query_id, dim, k), schema)
-        found = hits if found is None else found.unionByName(hits)
-    order = [F.desc(F.round("vec_score", SIM_DIGITS)), F.col(item_id)]
-    salt = F.pmod(F.xxhash64(item_id), F.lit(salts))
-    for keys in ([query_id, salt], [query_id]):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        found = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
-    return found
-
-
-def _best(q: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """First k of every query by (similarity, id); the inputs are parallel arrays."""
-    order = np.lexsort((ids, -np.round(sims, SIM_DIGITS), q))
-    q, ids, sims = q[order], ids[order], sims[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.array([], dtype=int)
-    counts = np.diff(np.r_[starts, len(q)])
-    keep = np.arange(len(q)) - np.repeat(starts, counts) < k
-    return q[keep], ids[keep], sims[keep]
-
-
-def _nearest(block, item_id: str, item_vec: str, query_id: str, dim: int, k: int):
-    """Task side of batch_top_k: running k best per query over the batches of one partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, unit_queries = block.value
-        best = (np.array([], dtype=int), np.array([], dtype=np.int64), np.array([]))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(item_id).to_numpy(zero_copy_only=False)
-            units = unit(matrix(batch.column(item_vec), dim))
-            tile = max(1, TILE_CELLS // max(1, len(ids)))  # queries at a time
-            new = [best]
-            for at in range(0, len(unit_queries), tile):
-                sims = unit_queries[at : at + tile] @ units.T
-                if sims.shape[1] > k:
-                    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-                    rows, cols = np.nonzero(sims >= kth - 10.0 ** -SIM_DIGITS)
-                else:
-                    rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
-                new.append((rows + at, ids[cols], sims[rows, cols]))
-            best = _best(*(np.concatenate(part) for part in zip(*new)), k)
-        step = 1 << 16
-        for i in range(0, len(best[0]), step):
-            q, ids, sims = (a[i : i + step] for a in best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(sims, pa.float64())],
-                names=[query_id, item_id, "vec_score"],
-            )
-
-    return run

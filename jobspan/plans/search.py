@@ -11,6 +11,8 @@ from jobspan.functions import scores as S
 from jobspan.functions.vectors import cosine_to
 from jobspan.operators import retrieval as R
 from jobspan.operators.admission import not_staffing
+from jobspan.operators.keys import salted_lookup
+from jobspan.session import written
 
 _STR = "array<string>"
 RESULT = ["id", "title", "company", "location", "experience_years", "skills", "link", "source", "hours_since_posted"]
@@ -167,7 +169,7 @@ def match_resumes(postings: DataFrame, resumes: DataFrame, now, top_n: int = 20,
     Nearest postings by vector first, then the hybrid score with the résumé's skills as the wish.
     """
     fresh = postings.where(R.search_predicates(max_hours_old=max_hours_old, now=now))
-    near = R.batch_top_k(fresh, resumes, k, query_id="resume_id")
+    near = written(R.batch_top_k(fresh, resumes, k, query_id="resume_id"), "near")
     person = resumes.select(
         "resume_id", F.coalesce("skills", F.array().cast(_STR)).alias("owned"),
         S.query_tokens(F.col("summary")).alias("wanted"),
@@ -178,7 +180,8 @@ def match_resumes(postings: DataFrame, resumes: DataFrame, now, top_n: int = 20,
         F.coalesce("skills", F.array().cast(_STR)).alias("skills"), "link", "source",
         S.hours_since(F.col("posted_date"), now).alias("hours_since_posted"),
     )
-    rows = near.join(facts, "id").join(person, "resume_id")
+    # A posting may be near to a third of all résumés, so its facts are looked up in several tasks.
+    rows = salted_lookup(near, facts, ["id"], ["resume_id"], "inner").join(person, "resume_id")
     rows = rows.withColumn(
         "title_score", S.lexical_score(F.col("title_wanted"), F.col("title"), F.col("company"))
     ).withColumn("origin", F.lit(0))

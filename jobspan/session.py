@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What every job here wants: adaptive plans with skew handling, and UTC so that event times compare.
 SETTINGS = {
@@ -51,3 +51,10 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="jobspan-"), purpose)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared scratch folder and read back: computed once, and the lineage ends there."""
+    path = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
