@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 from jobspan.operators.admission import AdmissionRules
 from jobspan.operators.keys import salted_lookup
 from jobspan.plans.ingest import ingest
+from jobspan.streaming.link_index import LinkIndex
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None,
@@ -49,27 +49,22 @@ def ingest_stream(stream: DataFrame, table: str, counts: str, checkpoint: str, i
                   rules: AdmissionRules | None = None, by: str = "source") -> None:
     """Each micro-batch is admitted against everything that the table holds, whatever has written it, appended and counted.
 
-    A repeated batch leaves its own earlier output out of what counts as stored.
+    The table's links are kept in an index beside it (``<table>-links``), which reads only files that have come since the last
+    batch; a batch reads only the index buckets of its own links. A repeated batch leaves its own earlier output out of what counts
+    as stored.
     """
+    index = LinkIndex(stream.sparkSession, table, table.rstrip("/") + "-links")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        done = ingest(batch, _stored_links(batch.sparkSession, table, batch_id), ingest_ts, rules, [by])
+        index.sync()
+        stored = index.known(batch, but=_folder(batch.sparkSession, batch_id))
+        done = ingest(batch, stored, ingest_ts, rules, [by])
         _write_batch(done.postings, table, batch_id)
         _write_batch(done.counts, counts, batch_id)
 
     run_available(stream, sink, checkpoint)
 
 
-def _stored_links(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    """The links of all files below the table's folder but those of this very batch."""
-    try:
-        rows = spark.read.schema("link string").option("recursiveFileLookup", True).parquet(table)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "link string")
-    return rows.where(~F.col("_metadata.file_path").contains(f"/{_folder(spark, batch_id)}/")).select("link")
-
-
 def update_stream(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Enrichment of arriving postings: ``work`` turns a micro-batch into updates by id. At least once, and repeated
     batches overwrite themselves."""

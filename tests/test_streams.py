@@ -117,3 +117,64 @@ def test_another_stream_keeps_what_is_stored(spark, tmp_path):
     assert sorted(r.link for r in kept.collect()) == ["a", "b", "c", "old"]
     totals = spark.read.parquet(counts).agg(*[F.sum(c).alias(c) for c in ("inserted", "duplicate", "error")]).first()
     assert tuple(totals) == (3, 2, 1)
+
+
+def _raw(spark, rows):
+    from jobspan import schemas
+
+    df = spark.createDataFrame([(i, x, "Data person", "Acme", "usa", 5) for i, x in rows],
+                               "id long, link string, title string, company_name string, location string, followers int")
+    return schemas.conform(df, schemas.RAW_POSTING, ["id"])
+
+
+def _rules():
+    from jobspan.operators.admission import AdmissionRules
+
+    return AdmissionRules(title_keywords=["data"], us_keywords=["usa"], min_followers=0, blocked=["nobody"])
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """The last batch is stored but not yet committed when the run ends; the next run repeats it."""
+    import os
+
+    landed, table, counts, check = (str(tmp_path / p) for p in ("landed", "table", "counts", "check"))
+    for k, links in enumerate((["a", "b"], ["b", "c", None], ["c", "d", "a"])):
+        _raw(spark, [(10 * k + j, x) for j, x in enumerate(links)]).coalesce(1).write.mode("append").parquet(landed)
+    schema = spark.read.parquet(landed).schema
+    run = lambda: S.ingest_stream(S.file_stream(spark, landed, schema, 1), table, counts, check, "2024-01-01", _rules())
+    stored = lambda p: sorted(map(str, spark.read.option("recursiveFileLookup", True).parquet(p).collect()))
+    run()
+    before = stored(table), stored(counts)
+    assert sorted(r.link for r in spark.read.option("recursiveFileLookup", True).parquet(table).collect()) == ["a", "b", "c", "d"]
+    for batch in (2, 1):
+        for name in (f"{batch}", f".{batch}.crc"):
+            if os.path.exists(f"{check}/commits/{name}"):
+                os.remove(f"{check}/commits/{name}")
+    run()
+    assert (stored(table), stored(counts)) == before
+
+
+def test_link_index_reads_only_the_asked_buckets(spark, tmp_path):
+    from jobspan.streaming.link_index import LinkIndex
+
+    table = str(tmp_path / "table")
+    index = LinkIndex(spark, table, str(tmp_path / "index"), buckets=32)
+    index.sync()  # no table yet
+    assert index.known(spark.createDataFrame([("x",)], "link string")).count() == 0
+    links = [(f"u{i}",) for i in range(500)]
+    spark.createDataFrame(links[:300], "link string").write.parquet(f"{table}/run=r/batch=0")
+    spark.createDataFrame([*links[300:], (None,), ("u1",)], "link string").write.parquet(f"{table}/run=r/batch=1")
+    index.sync()
+    index.sync()
+    asked = spark.createDataFrame([("u7",), ("u7",), ("u400",), ("new",), (None,)], "link string")
+    known = index.known(asked)
+    assert sorted(r.link for r in known.collect()) == ["u400", "u7"]
+    assert sorted(r.link for r in index.known(asked, but="run=r/batch=1").collect()) == ["u7"]
+    assert index.known(spark.createDataFrame(links, "link string")).count() == 500
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    # Files of one more batch are all that the next pass reads.
+    spark.createDataFrame([("late",)], "link string").write.parquet(f"{table}/run=s/batch=0")
+    index.sync()
+    passes = spark.read.parquet(f"{index.path}/links").groupBy("sync").count().collect()
+    assert {r["sync"]: r["count"] for r in passes} == {0: 501, 1: 1}
