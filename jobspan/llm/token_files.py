@@ -164,13 +164,37 @@ def filesystem(path: str):
 
 # --- encoding ------------------------------------------------------------------------------------------------------------
 
-BLANK = "[ \t\n\r]+"
+PUNCTUATION = ".,;:!?"
+# Digits and Latin letters, but for U+0130, whose lower case ends in a mark.
+BEFORE = r"0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+GROUP = 1000  # words in one call
+
+
+class Traits:
+    """What a tokenizer allows, found by trying it: encoding words alone, cutting before punctuation, lower-casing first, and
+    encoding many words in one call, because each ends in a token that says so."""
+
+    def __init__(self, text: str, model):
+        import json
+
+        spec = json.loads(text)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        ids = lambda x: model.encode(x, add_special_tokens=False).ids
+        parts = ["It's", "a", "\u0301b", "A\u030a", "x\u2019s", "12,5", "\u03a3\u0391\u03a3", "!?", "'ll", "\u3000", "\x0bc", *self.added,
+                 *(f"a{t}b" for t in self.added)]
+        blanks = (" ", "\n\r", "\t ", "\x0b", "\x0c")
+        self.alone = ids(" \n\x0b\x0c") == ids("") == [] and all(
+            ids(a + blank + b) == ids(a) + ids(b) for a in parts for b in parts for blank in blanks)
+        self.apart = self.alone and not any(c in t for t in self.added for c in PUNCTUATION) and all(
+            ids(a + c + b) == ids(f"{a} {c}{b}") for a in ("ab", "\u00e9", "7", "\u00df") for c in PUNCTUATION for b in ("", "a", "5", c, "'s"))
+        self.lower = all(ids(x) == ids(x.lower()) for x in ("ABC xYz", "It'S", "\u00c5B", "A1B", "O\u0301K"))
+        suffix = spec["model"].get("end_of_word_suffix") if self.alone else None
+        self.ends_word = np.array([(model.id_to_token(i) or "").endswith(suffix) for i in range(model.get_vocab_size())]) if suffix else None
 
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(text: str):
-    """The tokenizer of a JSON text, and whether words between ASCII white space can be encoded alone."""
-    import json
+    """The tokenizer of a JSON text and its traits."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -179,18 +203,14 @@ def tokenizer(text: str):
     model = Tokenizer.from_str(text)
     model.no_truncation()
     model.no_padding()
-    added = [t["content"] for t in json.loads(text).get("added_tokens", [])]
-    parts = ["It's", "a", "́b", "Å", "x’s", "12,5", "ΣΑΣ", "!?", "'ll", "　", "\x0bc", *added, *(f"a{t}b" for t in added)]
-    ids = lambda x: model.encode(x, add_special_tokens=False).ids
-    alone = all(ids(a + blank + b) == ids(a) + ids(b) for a in parts for b in parts for blank in (" ", "\n\r", "\t "))
-    return model, alone and ids(" \n") == ids("") == []
+    return model, Traits(text, model)
 
 
 class WordTable:
     """Ids of the distinct words met so far; emptied before a call when it holds over ``most`` ids."""
 
     def __init__(self, text: str, most: int = 8_000_000):
-        (self.model, self.alone), self.most = tokenizer(text), most
+        (self.model, self.traits), self.most = tokenizer(text), most
         self.clear()
 
     def clear(self):
@@ -198,30 +218,53 @@ class WordTable:
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]):
-        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
+        ends_word, order, ids, sizes = self.traits.ends_word, [], [], []
+        plain = [w for w in words if w.isalpha()] if ends_word is not None else []
+        groups = [plain[k:k + GROUP] for k in range(0, len(plain), GROUP)]
+        rest = [w for w in words if not w.isalpha()] if ends_word is not None else words
+        for group, found in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(ends_word[found])
+            if len(ends) == len(group):  # each word has one end at least, so each has one
+                order += group
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=-1))
+            else:
+                rest += group
+        found = [e.ids for e in self.model.encode_batch_fast(rest, add_special_tokens=False)]
+        order += rest
+        ids.append(np.fromiter((i for some in found for i in some), np.uint32, sum(map(len, found))))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.at.update(zip(order, range(len(self.at), len(self.at) + len(order))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([self.ids, *ids])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, as the library encodes it without special tokens of its own; a null is empty."""
-        texts = pc.fill_null(texts, "")
-        if not self.alone:
+        texts, traits = pc.fill_null(texts, ""), self.traits
+        if not traits.alone:
             return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         if self.ends[-1] > self.most:
             self.clear()
-        cut = pc.split_pattern_regex(texts, BLANK)
+        if traits.lower:
+            lowered = pc.ascii_lower(texts)
+            # Upper case must not become an added token.
+            texts = texts if any(pc.any(pc.match_substring(lowered, t)).as_py() for t in traits.added) else lowered
+        if traits.apart:
+            texts = pc.replace_substring_regex(texts, f"([{BEFORE}])([{PUNCTUATION}])", r"\1 \2")
+        cut = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(pc.list_flatten(cut))
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.at]
-        if new:
-            self._learn(new)
-        slot = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        slots = list(map(self.at.get, words))
+        if None in slots:
+            self._learn([w for w, k in zip(words, slots) if k is None])
+            slots = list(map(self.at.__getitem__, words))
+        slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
         starts, sizes = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(starts - total[:-1], sizes) + np.arange(int(total[-1]))]
-        return np.split(ids, total[cut.offsets.to_numpy()[1:-1] - cut.offsets.to_numpy()[0]])
+        bounds = total[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------------

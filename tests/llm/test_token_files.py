@@ -143,12 +143,12 @@ def want_of_names(model, rows):
 def test_words_alone_equal_the_library(model):
     rng = random.Random(11)
     bits = ["It's", "don't", " ", "\n", "\t ", "\r\n", "\x0b", " ", " ", "　", "é", "́", "Å", "ΣΑΣ", "İ", "漢字", "🙂",
-            "<|endoftext|>", "<|startoftext|>", "12.5", "...", "'", "'ll", "x" * 300, "\x1c", "\x85", "\x00", "a", "Zoë", "ﬁ", "한국"]
+            "<|endoftext|>", "<|startoftext|>", "12.5", "...", "'", "'ll", "x" * 300, "<|ENDOFTEXT|>", "ABC", "abc", "a.b", "1.5,", "Foo!?", "Ǆ", "ŉ", "ª", "Ⅷ", ".̸", "≠", "x.", "\x1c", "\x85", "\x00", "a", "Zoë", "ﬁ", "한국"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "x " * 50_000]
     table = tf.WordTable(open(WORDS, encoding="utf-8").read(), most=2000)
-    assert table.alone
+    assert table.traits.alone and table.traits.apart and table.traits.lower and table.traits.ends_word is not None
     for at in range(0, len(texts), 500):
         part = texts[at:at + 500]
         assert [x.tolist() for x in table.encode(pa.array(part, pa.string()))] == [
             model.encode(t or "", add_special_tokens=False).ids for t in part]
-    assert not tf.tokenizer(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())[1]
+    assert not tf.tokenizer(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())[1].alone
