@@ -197,8 +197,7 @@ def ingest_stream(spark, d):
 def first_links_stream(spark, d):
     out = scratch_folder(spark, "firsts")
     rows = _event_stream(spark, d).select(F.col("event_type").alias("link"), "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    S.first_links(rows, out, out + "-checkpoint", ["ts", "event_id"])
-    return spark.read.parquet(out).select("link", "event_id", "user_id")
+    return S.first_links(rows, out, out + "-checkpoint", ["ts", "event_id"]).select("link", "event_id", "user_id")
 
 
 @query("enrich_stream", f"{_ENRICHED} select outcome, count(*) as cnt from outcomes group by 1")

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the incremental work, each with a batch twin that gives the same rows."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from jobspan.operators.admission import AdmissionRules
 from jobspan.operators.keys import salted_lookup
 from jobspan.plans.ingest import ingest
+from jobspan.streaming import state
 from jobspan.streaming.link_index import LinkIndex
 
 
@@ -126,52 +128,46 @@ def _toggled(events: DataFrame, keys: list[str], ts: str, action: str, row_id: s
                                    F.max(F.when(live, F.col(ts))).alias("last"))
 
 
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which keyed state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, state.PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved_set_from_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str, ts: str = "ts", action: str = "action",
-                          row_id: str = "event_id") -> DataFrame:
+                          row_id: str = "event_id", delay: str = "1 hour") -> DataFrame:
     """Runs the saved set over what has arrived and returns the keys that are saved now.
 
-    A micro-batch is reduced to one row per key first (removes, parity of toggles, newest time), whatever the number of its
-    events, and then meets the key's last state, which is one flag and one time.
+    Each key's state is kept by the stream, so no micro-batch reads what earlier ones have written. Events may arrive in any order
+    within the watermark; later ones are dropped.
     """
-    names = [*keys, "saved", "saved_at"]
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn(ts, F.col(ts).cast("timestamp"))
-        changed = _toggled(rows, keys, ts, action, row_id)
-        schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("saved", T.BooleanType()),
-                                                                T.StructField("saved_at", T.TimestampType())])
-        before = _earlier(spark, out, batch_id, schema)
-        last = before.groupBy(*keys).agg(F.max_by(F.struct("saved", "saved_at"), "batch").alias("s"))
-        held = changed.join(last, keys, "left")
-        kept = F.coalesce(F.col("s.saved"), F.lit(False)) & (F.col("removes") == 0)
-        saved = kept != (F.col("n") % 2 == 1)
-        new = held.select(*keys, saved.alias("saved"), F.when(saved, F.coalesce("last", "s.saved_at")).alias("saved_at"))
-        _write_batch(new.select(*names), out, batch_id)
-
-    run = run_available(stream, sink, checkpoint)
+    with _keyed_state(stream.sparkSession):
+        run = run_available(state.saved_keys(stream, keys, ts, action, row_id, delay), lambda b, n: _write_batch(b, out, n), checkpoint,
+                            "update")
     spark, own = stream.sparkSession, f"{out}/run={run}"
     rows = spark.read.option("basePath", own).parquet(own)
     last = rows.groupBy(*keys).agg(F.max_by(F.struct("saved", "saved_at"), "batch").alias("s"))
     return last.where("s.saved").select(*keys, F.col("s.saved_at").alias("saved_at"))
 
 
-def first_links(stream: DataFrame, out: str, checkpoint: str, order: list[str], link: str = "link") -> None:
-    """Appends the first row of every link, by ``order``, that no earlier batch of the stream has given. The first rows of a batch
-    are an aggregate, combined before anything moves; ``order`` tells rows apart."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        columns = [F.col(c) for c in batch.columns]
-        first = batch.groupBy(link).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
-        links = _earlier(batch.sparkSession, out, batch_id, T.StructType([batch.schema[link]])).select(link)
-        _write_batch(first.join(links.where(F.col(link).isNotNull()), link, "left_anti").select(*batch.columns), out, batch_id)
-
-    run_available(stream, sink, checkpoint)
+def first_links(stream: DataFrame, out: str, checkpoint: str, order: list[str], link: str = "link", ts: str = "ts",
+                delay: str = "1 hour") -> DataFrame:
+    """Appends the first row of every link, by ``order`` (the event time first; it tells rows apart), as soon as the watermark has
+    passed it, and returns all that the stream has given so far. ``late_links`` counts the rows that came too late."""
+    columns = stream.columns
+    with _keyed_state(stream.sparkSession):
+        firsts = state.first_rows(stream, link, order, ts, delay)
+        run = run_available(firsts, lambda b, n: _write_batch(b, out, n), checkpoint)
+    spark, own = stream.sparkSession, f"{out}/run={run}"
+    return spark.read.option("basePath", own).parquet(own).where("late = 0").select(*columns)
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """What earlier batches of this stream have written, with ``batch``."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    own = f"{out}/{_folder(spark, batch_id).split('/')[0]}"
-    schema = T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(schema).option("basePath", own).parquet(own).where(F.col("batch") < batch_id)
+def late_links(spark: SparkSession, out: str) -> DataFrame:
+    """How many rows came later than the watermark or than their link's first row was given."""
+    return spark.read.option("basePath", out).parquet(out).agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))

@@ -178,3 +178,62 @@ def test_link_index_reads_only_the_asked_buckets(spark, tmp_path):
     index.sync()
     passes = spark.read.parquet(f"{index.path}/links").groupBy("sync").count().collect()
     assert {r["sync"]: r["count"] for r in passes} == {0: 501, 1: 1}
+
+
+def _event_files(spark, path, batches):
+    """One file per batch of (event_id, minute, key, action)."""
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "event_id long, m long, link string, action string")
+        df.select("event_id", F.timestamp_seconds(F.col("m") * 60).alias("ts"), "link", "action").coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.read.parquet(f"{path}/0").schema
+
+
+def _grown(path, k):
+    """A folder that holds the first k files, as links."""
+    import glob
+    import os
+
+    os.makedirs(f"{path}/in", exist_ok=True)
+    for j in range(k):
+        for f in glob.glob(f"{path}/{j}/*.parquet"):
+            to = f"{path}/in/{j}.parquet"
+            if not os.path.exists(to):
+                os.link(f, to)
+    return f"{path}/in"
+
+
+def test_saved_set_in_any_order_and_after_a_restart(spark, tmp_path):
+    rng = random.Random(6)
+    events = [(i, i + rng.randint(0, 40), rng.choice(["a", "b", "c"]), rng.choice(["toggle", "toggle", "remove"])) for i in range(300)]
+    rng.shuffle(events)
+    events.sort(key=lambda e: (e[1] // 60, rng.random()))  # out of order by an hour at most
+    path = str(tmp_path / "e")
+    schema = _event_files(spark, path, [events[k:k + 50] for k in range(0, 300, 50)])
+    for upto in (2, 3, 6):
+        stream = S.file_stream(spark, _grown(path, upto), schema, 1)
+        got = S.saved_set_from_stream(stream, ["link"], str(tmp_path / "o"), str(tmp_path / "c"), delay="2 hours")
+        saved = {}
+        for i, m, x, action in sorted(events[:50 * upto], key=lambda e: (e[1], e[0])):
+            saved = {k: v for k, v in saved.items() if k != x} if action == "remove" or x in saved else {**saved, x: m}
+        assert {r.link: r.m for r in got.withColumn("m", F.expr("unix_timestamp(saved_at) div 60")).collect()} == saved
+
+
+def test_late_toggles_are_dropped(spark, tmp_path):
+    batches = [[(1, 100, "a", "toggle"), (2, 1000, "b", "toggle")], [(3, 1001, "b", "remove")], [(4, 200, "a", "remove"), (5, 1100, "c", "toggle")]]
+    schema = _event_files(spark, str(tmp_path / "e"), batches)
+    stream = S.file_stream(spark, _grown(str(tmp_path / "e"), 3), schema, 1)
+    got = S.saved_set_from_stream(stream, ["link"], str(tmp_path / "o"), str(tmp_path / "c"), delay="10 minutes")
+    assert sorted(r.link for r in got.collect()) == ["a", "c"]
+
+
+def test_first_links_wait_for_the_watermark(spark, tmp_path):
+    batches = [[(1, 50, "a", "x"), (2, 40, "b", "x"), (3, 55, "a", "x")], [(4, 45, "a", "x"), (5, 70, "c", "x")],
+               [(6, 500, "d", "x"), (7, 44, "a", "x")], [(8, 30, "b", "x"), (9, 30, "e", "x"), (10, 501, "a", "x"), (11, 499, "d", "x")]]
+    path, out, check = (str(tmp_path / p) for p in "eoc")
+    schema = _event_files(spark, path, batches)
+    run = lambda k: sorted((r.link, r.event_id) for r in S.first_links(
+        S.file_stream(spark, _grown(path, k), schema, 1), out, check, ["ts", "event_id"], delay="30 minutes").collect())
+    assert run(1) == []  # nothing is certain before the watermark has passed a row
+    assert run(3) == [("a", 7), ("b", 2), ("c", 5)]  # 44 came out of order, but in time; d may still change
+    assert run(4) == [("a", 7), ("b", 2), ("c", 5)]
+    assert S.late_links(spark, out).first()[0] == 3  # 8, 9 and 10
