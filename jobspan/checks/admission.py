@@ -6,6 +6,8 @@ from jobspan.checks.registry import query
 from jobspan.operators import admission as A
 from jobspan.operators import keys as K
 from jobspan.plans.ingest import ingest
+from jobspan.session import scratch_folder
+from jobspan.sources.keyed import KeyedTable, ranged
 from jobspan.sources import feeds, writers
 
 P = "with " + B.POSTINGS_SQL
@@ -305,18 +307,36 @@ def inserted_if_absent(spark, d):
                               c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")), "key")
 
 
-@query("updated_postings", P + """ select id, case when o_orderkey is not null then cast(o_custkey % 21 as int)
+_UPDATED = P + """ select id, case when o_orderkey is not null then cast(o_custkey % 21 as int)
  else experience_years end as experience_years, coalesce(case when o_orderstatus = 'O' then o_orderpriority end, source)
- as source from postings left join (select * from orders where o_totalprice > 250000) on o_orderkey = id""")
-def updated_postings(spark, d):
+ as source from postings left join (select * from orders where o_totalprice > 250000) on o_orderkey = id"""
+
+
+def _updates(spark, d):
     o = B.table(spark, d, "orders").where("o_totalprice > 250000")
     years = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 21).cast("int").alias("experience_years"))
     found = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("source"))
-    base = B.postings(spark, d).select("id", "experience_years", "source")
+    return B.postings(spark, d).select("id", "experience_years", "source"), years, found
+
+
+@query("updated_postings", _UPDATED)
+def updated_postings(spark, d):
+    base, years, found = _updates(spark, d)
     once = K.apply_updates(base, years, "id", ["experience_years"])
     return K.apply_updates(once, found, "id", ["source"], only_found=True)
 
 
+@query("updated_parts", _UPDATED)
+def updated_parts(spark, d):
+    """The same updates in place: only ranges of ids that have one are rewritten."""
+    base, years, found = _updates(spark, d)
+    table = KeyedTable(spark, scratch_folder(spark, "postings"), "id", ranged(100)).write(base)
+    ours = base.select("id")
+    table.update(years.join(ours, "id", "left_semi"), ["experience_years"])
+    table.update(found.join(ours, "id", "left_semi"), ["source"], only_found=True)
+    return table.read()
+
+
 @query("conformed_schema", P + """ select id, title, cast(null as varchar) as currency, cast(experience_years as int)
  as experience_years, cast(null as int) as added_at from postings""")
 def conformed_schema(spark, d):

@@ -11,6 +11,7 @@ from jobspan.operators.keys import apply_updates
 from jobspan.plans import enrich as E
 from jobspan.session import scratch_folder
 from jobspan.sources import readers
+from jobspan.sources.keyed import KeyedTable, hashed
 from jobspan.streaming import jobs as S
 
 P = "with " + B.POSTINGS_SQL
@@ -202,15 +203,16 @@ def first_links_stream(spark, d):
 
 @query("enrich_stream", f"{_ENRICHED} select outcome, count(*) as cnt from outcomes group by 1")
 def enrich_stream(spark, d):
-    """The backlog lands as one table and is enriched batch by batch; twin of ``enrich_outcomes``."""
+    """The backlog lands as one table and is enriched batch by batch, each with the parts of the text store that it points to; twin of
+    ``enrich_outcomes``."""
     out = scratch_folder(spark, "enrich")
     rows, texts = _stored_texts(spark, d)
     rows.write.parquet(out + "/landed")
-    texts.write.parquet(out + "/texts")
-    stored = spark.read.parquet(out + "/texts")
+    store = KeyedTable(spark, out + "/texts", "uri", hashed(64)).write(texts)
 
     def work(batch):
-        return E.enrich(E.backlog(batch, "skills", stored, html=False), _responses(batch.sparkSession, d), NOW, **OPTIONS)
+        texts = store.of(batch.where(F.col("description").startswith("gs://")).select(F.col("description").alias("uri")))
+        return E.enrich(E.backlog(batch, "skills", texts, html=False), _responses(batch.sparkSession, d), NOW, **OPTIONS)
 
     S.update_stream(S.file_stream(spark, out + "/landed", rows.schema, 4), work, out + "/updates", out + "/checkpoint")
     return I.outcome_counts(spark.read.parquet(out + "/updates"))
