@@ -321,26 +321,40 @@ def cohort_names(spark, d):
 
 
 # ------------------------------------------------------------------ feeds: payloads made from the tables, then normalised
-def _landed(spark, d, job, wrap, *board):
-    """One JSON response per supplier with a posting per supplied part line (returned lines), as landed text."""
+RESPONSE_ORDERS = 2000  # a response holds a supplier's lines of so many order numbers, at most some thousands
+
+
+def _landed(spark, d, job, wrap):
+    """Responses of a supplier's board as landed text, each with several postings, one per line of an order; ``lines`` names them in
+    their order."""
     li = B.table(spark, d, "lineitem")
     p, s = B.table(spark, d, "part"), B.table(spark, d, "supplier")
     rows = li.join(p, p.p_partkey == li.l_partkey).join(s, s.s_suppkey == li.l_suppkey)
-    return rows.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("line"),
-                       F.col("s_name").alias("company_name"), F.lower("s_name").alias("slug"),
-                       F.to_json(wrap(job)).alias("payload"))
+    line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    board = rows.groupBy("s_name", F.floor(F.col("l_orderkey") / RESPONSE_ORDERS).alias("page"))
+    jobs = board.agg(F.collect_list(F.struct(line.alias("line"), job.alias("job"))).alias("jobs"))
+    return jobs.select(F.transform("jobs", lambda j: j["line"]).alias("lines"), F.col("s_name").alias("company_name"),
+                       F.lower("s_name").alias("slug"), F.to_json(wrap(F.transform("jobs", lambda j: j["job"]))).alias("payload"))
+
+
+def _jobs(spark, d, feed, job, wrap):
+    """The postings read back from the responses, each with its line by position."""
+    jobs = readers.feed_jobs(_landed(spark, d, job, wrap), feed, position="pos")
+    return jobs.withColumn("line", F.get("lines", F.col("pos"))).drop("lines", "pos")
 
 
 LINES = """l as (select l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber as line, * from lineitem
  join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey)"""
 
 
-@query("feed_lever", f"""with {LINES} select line, p_name as title, s_name as company_name, p_type || chr(10) || chr(10) || 'Needs' ||
+LEVER = f"""with {LINES} select line, p_name as title, s_name as company_name, p_type || chr(10) || chr(10) || 'Needs' ||
  chr(10) || chr(10) || 'p  ' || p_brand || case when l_returnflag = 'R' then chr(10) || chr(10) || 'More' else '' end as description,
  'https://lever.example/' || line as link, case when l_linestatus = 'O' then p_brand else p_type end as location,
  l_shipdate as posted_date, case when p_size > 25 then p_size * 1000.0::double end as pay_min,
- case when p_size > 25 then 'USD' end as currency, 'lever' as source from l""")
-def feed_lever(spark, d):
+ case when p_size > 25 then 'USD' end as currency, 'lever' as source from l"""
+
+
+def _lever(spark, d):
     job = F.struct(
         F.concat(F.lit(" "), "p_name").alias("text"),
         F.concat_ws("", F.lit("https://lever.example/"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).alias("hostedUrl"),
@@ -352,17 +366,22 @@ def feed_lever(spark, d):
         F.when(F.col("l_returnflag") == "R", "More").alias("additionalPlain"),
         F.struct(F.when(F.col("p_size") > 25, F.col("p_size") * 1000.0).alias("min")).alias("salaryRange"),
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("createdAt"))
-    jobs = readers.feed_jobs(_landed(spark, d, job, lambda j: F.array(j)), "lever")
-    out = feeds.lever(jobs, keep=["line"])
-    return out.select("line", "title", "company_name", "description", "link", "location", "posted_date",
+    return feeds.lever(_jobs(spark, d, "lever", job, lambda js: js), keep=["line"])
+
+
+@query("feed_lever", LEVER)
+def feed_lever(spark, d):
+    return _lever(spark, d).select("line", "title", "company_name", "description", "link", "location", "posted_date",
                       F.col("salary.min").alias("pay_min"), F.col("salary.currency").alias("currency"), "source")
 
 
-@query("feed_ashby", f"""with {LINES} select line, p_name as title, p_type || chr(10) || p_brand as description,
+ASHBY = f"""with {LINES} select line, p_name as title, p_type || chr(10) || p_brand as description,
  case when l_returnflag = 'R' then 'https://x.example/' || line else 'https://jobs.ashbyhq.com/' || lower(s_name) || '/' || line
  end as link, case when l_linestatus = 'O' then p_brand else p_type end as location, case when l_returnflag = 'A' then null else
- l_shipdate end as posted_date from l""")
-def feed_ashby(spark, d):
+ l_shipdate end as posted_date from l"""
+
+
+def _ashby(spark, d):
     line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     job = F.struct(
         line.alias("id"), F.col("p_name").alias("title"),
@@ -371,17 +390,23 @@ def feed_ashby(spark, d):
         F.lit("not a date").alias("publishedAt"),
         F.when(F.col("l_returnflag") != "A", F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("updatedAt"),
         F.concat(F.lit("<p>"), "p_type", F.lit("</p><ul><li> "), "p_brand", F.lit(" </li></ul>")).alias("descriptionHtml"))
-    wrap = lambda j: F.struct(F.struct(F.struct(F.array(j).alias("jobPostings")).alias("jobBoardWithTeams")).alias("data"))
-    out = feeds.ashby(readers.feed_jobs(_landed(spark, d, job, wrap), "ashby"), keep=["line"])
-    return out.select("line", "title", "description", "link", "location", "posted_date")
+    wrap = lambda js: F.struct(F.struct(F.struct(js.alias("jobPostings")).alias("jobBoardWithTeams")).alias("data"))
+    return feeds.ashby(_jobs(spark, d, "ashby", job, wrap), keep=["line"])
+
+
+@query("feed_ashby", ASHBY)
+def feed_ashby(spark, d):
+    return _ashby(spark, d).select("line", "title", "description", "link", "location", "posted_date")
 
 
-@query("feed_smartrecruiters", f"""with {LINES} select line, p_name as title, 'About' || chr(10) || chr(10) || p_type || ' x' || chr(10) ||
+SMARTRECRUITERS = f"""with {LINES} select line, p_name as title, 'About' || chr(10) || chr(10) || p_type || ' x' || chr(10) ||
  chr(10) || 'Skills' as description, 'https://jobs.smartrecruiters.com/' || lower(s_name) || '/' || line as link,
  case when p_size > 40 then 'Remote - US' when p_size > 30 then 'Remote - ' || p_type when p_size > 25 then 'Remote' when p_size > 20
  then p_brand || ', ' || p_type when p_size > 10 then p_brand || ', ' || 'FR' when p_size > 5 then p_brand when p_size > 2 then
- p_type end as location, l_shipdate as posted_date from l""")
-def feed_smartrecruiters(spark, d):
+ p_type end as location, l_shipdate as posted_date from l"""
+
+
+def _smartrecruiters(spark, d):
     line, size = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), F.col("p_size")
     place = F.struct(
         (size > 25).alias("remote"),
@@ -396,16 +421,22 @@ def feed_smartrecruiters(spark, d):
     job = F.struct(line.alias("id"), F.col("p_name").alias("name"), place.alias("location"),
                    F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("releasedDate"),
                    F.struct(sections.alias("sections")).alias("jobAd"))
-    jobs = readers.feed_jobs(_landed(spark, d, job, lambda j: F.struct(F.array(j).alias("content"))), "smartrecruiters")
-    out = feeds.smartrecruiters(jobs, company_id="slug", keep=["line"])
-    return out.select("line", "title", "description", "link", "location", "posted_date")
+    jobs = _jobs(spark, d, "smartrecruiters", job, lambda js: F.struct(js.alias("content")))
+    return feeds.smartrecruiters(jobs, company_id="slug", keep=["line"])
 
 
-@query("feed_greenhouse", f"""with {LINES} select line, p_name as title, case when length(p_type || chr(10) || repeat(p_brand, 6)) > 50
+@query("feed_smartrecruiters", SMARTRECRUITERS)
+def feed_smartrecruiters(spark, d):
+    return _smartrecruiters(spark, d).select("line", "title", "description", "link", "location", "posted_date")
+
+
+GREENHOUSE = f"""with {LINES} select line, p_name as title, case when length(p_type || chr(10) || repeat(p_brand, 6)) > 50
  then p_type || chr(10) || repeat(p_brand, 6) end as description, case when l_returnflag = 'R' then 'https://gh.example/' || line else
  'https://boards.greenhouse.io/' || lower(s_name) || '/jobs/' || l_orderkey end as link, p_brand as location,
- p_brand || '|' || p_type || '|' || l_linestatus as locations from l""")
-def feed_greenhouse(spark, d):
+ p_brand || '|' || p_type || '|' || l_linestatus as locations from l"""
+
+
+def _greenhouse(spark, d):
     line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     office = F.struct(F.col("p_type").alias("location"), F.col("l_linestatus").alias("name"))
     job = F.struct(
@@ -414,15 +445,20 @@ def feed_greenhouse(spark, d):
         F.struct(F.col("p_brand").alias("name")).alias("location"),
         F.array(office, F.struct(F.lit("").alias("location"), F.lit(None).cast("string").alias("name"))).alias("offices"),
         F.concat(F.lit("<h2>"), "p_type", F.lit("</h2><p>"), F.repeat("p_brand", F.lit(6)), F.lit("</p>")).alias("content"))
-    jobs = readers.feed_jobs(_landed(spark, d, job, lambda j: F.struct(F.array(j).alias("jobs"))), "greenhouse")
-    out = feeds.greenhouse(jobs, keep=["line"])
-    return out.select("line", "title", "description", "link", "location", F.array_join("locations", "|").alias("locations"))
+    return feeds.greenhouse(_jobs(spark, d, "greenhouse", job, lambda js: F.struct(js.alias("jobs"))), keep=["line"])
+
 
+@query("feed_greenhouse", GREENHOUSE)
+def feed_greenhouse(spark, d):
+    return _greenhouse(spark, d).select("line", "title", "description", "link", "location", F.array_join("locations", "|").alias("locations"))
 
-@query("feed_workday", f"""with {LINES} select line, p_name as title, p_type || chr(10) || p_brand as description, 'https://' || lower(s_name)
+
+WORKDAY = f"""with {LINES} select line, p_name as title, p_type || chr(10) || p_brand as description, 'https://' || lower(s_name)
  || '.wd' || 3 || '.myworkdayjobs.com/en-US/Careers/job/' || p_type || '/' || line as link, '/job/' || p_type || '/' || line as detail,
- p_brand || ', ' || p_type as location, p_brand || '|' || p_type as locations from l""")
-def feed_workday(spark, d):
+ p_brand || ', ' || p_type as location, p_brand || '|' || p_type as locations from l"""
+
+
+def _workday(spark, d):
     line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     html = F.concat(F.lit("<p>"), "p_type", F.lit("<br>"), "p_brand", F.lit("</p>"))
     job = F.struct(
@@ -430,9 +466,13 @@ def feed_workday(spark, d):
         F.concat("p_brand", F.lit(", "), "p_type").alias("locationsText"),
         F.when(F.col("l_returnflag") == "R", html).alias("jobDescription"),
         F.struct(F.when(F.col("l_returnflag") != "R", html).alias("jobDescription")).alias("jobPostingInfo"))
-    jobs = readers.feed_jobs(_landed(spark, d, job, lambda j: F.struct(F.array(j).alias("jobPostings"))), "workday")
-    out = feeds.workday(jobs.withColumn("n", F.lit(3)), tenant="slug", wd_num="n", keep=["line", "job"])
-    return out.select("line", "title", "description", "link",
+    jobs = _jobs(spark, d, "workday", job, lambda js: F.struct(js.alias("jobPostings")))
+    return feeds.workday(jobs.withColumn("n", F.lit(3)), tenant="slug", wd_num="n", keep=["line", "job"])
+
+
+@query("feed_workday", WORKDAY)
+def feed_workday(spark, d):
+    return _workday(spark, d).select("line", "title", "description", "link",
                       feeds.detail_path(F.col("job.externalPath"), F.lit("careers")).alias("detail"), "location",
                       F.array_join("locations", "|").alias("locations"))
 
@@ -457,16 +497,25 @@ def feed_aggregator(spark, d):
                       F.col("salary.currency").alias("currency"), "source")
 
 
-@query("united_feeds", """select source, count(*) as cnt, count(company_name) as named, count(followers) as followed from (
- select 'supplier' as source, s_name as company_name, s_suppkey as followers from supplier union all
- select 'customer', c_name, null from customer union all select 'part', null, null from part) group by 1""")
+_COMMON = "title, description, link, location"
+_UNITED = " union all ".join(f"select '{n}' as source, {_COMMON}, {at} as posted_date from ({sql})" for n, sql, at in (
+    ("lever", LEVER, "posted_date"), ("ashby", ASHBY, "posted_date"), ("smartrecruiters", SMARTRECRUITERS, "posted_date"),
+    ("greenhouse", GREENHOUSE, "null"), ("workday", WORKDAY, "null")))
+
+
+@query("united_feeds", f"select * from ({_UNITED})")
 def united_feeds(spark, d):
-    s, c, p = (B.table(spark, d, t) for t in ("supplier", "customer", "part"))
-    one = s.select(F.lit("supplier").alias("source"), F.col("s_name").alias("company_name"), F.col("s_suppkey").alias("followers"))
-    two = c.select(F.lit("customer").alias("source"), F.col("c_name").alias("company_name"))
-    all_ = feeds.union_feeds([one, two, p.select(F.lit("part").alias("source"), F.col("p_name").alias("title"))])
-    return all_.groupBy("source").agg(F.count("*").alias("cnt"), F.count("company_name").alias("named"),
-                                      F.count("followers").alias("followed"))
+    """The five feeds, normalised, in one schema."""
+    all_ = feeds.union_feeds([feed(spark, d) for feed in (_lever, _ashby, _smartrecruiters, _greenhouse, _workday)])
+    return all_.select("source", "title", "description", "link", "location", "posted_date")
+
+
+@query("united_feed_counts", f"""select source, count(*) as cnt, count(distinct link) as links, count(posted_date) as dated,
+ cast(sum(length(description)) as bigint) as chars from ({_UNITED}) group by 1""")
+def united_feed_counts(spark, d):
+    return united_feeds(spark, d).groupBy("source").agg(
+        F.count("*").alias("cnt"), F.count_distinct("link").alias("links"), F.count("posted_date").alias("dated"),
+        F.sum(F.length("description")).alias("chars"))
 
 
 @query("page_profiles", """select page_id, 'slug' || page_id as slug, 'Name ' || page_id as name from pages where length(html) <> 7

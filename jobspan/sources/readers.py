@@ -68,10 +68,11 @@ _FEEDS = {
 }
 
 
-def feed_jobs(landed: DataFrame, feed: str, payload: str = "payload") -> DataFrame:
+def feed_jobs(landed: DataFrame, feed: str, payload: str = "payload", position: str | None = None) -> DataFrame:
     """One row per posting (column ``job``) of landed board responses; the other columns stay.
 
-    ``payload`` holds a board's JSON response as text. A response that does not parse gives no rows.
+    ``payload`` holds a board's JSON response as text, with any number of postings. ``position`` names a column for the place of
+    each in its response, from 0. A response that does not parse gives no rows.
     """
     if feed not in _FEEDS:
         raise ValueError(f"unknown feed {feed!r}")
@@ -85,6 +86,8 @@ def feed_jobs(landed: DataFrame, feed: str, payload: str = "payload") -> DataFra
     else:
         jobs = doc[{"smartrecruiters": "content", "greenhouse": "jobs", "workday": "jobPostings"}[feed]]
     keep = [c for c in landed.columns if c != payload]
+    if position:
+        return landed.select(*keep, F.posexplode(jobs).alias(position, "job"))
     return landed.select(*keep, F.explode(jobs).alias("job"))
 
 
