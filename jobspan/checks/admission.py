@@ -8,7 +8,7 @@ from jobspan.operators import keys as K
 from jobspan.plans.ingest import ingest
 from jobspan.session import scratch_folder
 from jobspan.sources.keyed import KeyedTable, ranged
-from jobspan.sources import feeds, writers
+from jobspan.sources import feeds, readers, writers
 
 P = "with " + B.POSTINGS_SQL
 RAW = "with " + B.RAW_SQL
@@ -45,8 +45,8 @@ _COUNTS = "count(*) as scraped, " + ", ".join(f"count(*) filter (status = '{s}')
     "inserted", "duplicate", "blocked", "bad_title", "non_us", "no_company_ref", "error"))
 
 
-def _admitted(spark, d):
-    return A.admit(B.raw_postings(spark, d), B.stored_links(spark, d), RULES)
+def _statuses(spark, d, keep=(), rules=RULES):
+    return A.statuses(B.raw_postings(spark, d), B.stored_links(spark, d), rules, keep=list(keep))[0]
 
 
 @query("blocked_company", RAW + f" select id, {BLOCKED_SQL} as blocked from raw")
@@ -90,7 +90,24 @@ def established_company(spark, d):
 
 @query("admission_status", JUDGED_SQL + " select id, status from judged")
 def admission_status(spark, d):
-    return _admitted(spark, d).select("id", "status")
+    return _statuses(spark, d)
+
+
+@query("admitted_postings", JUDGED_SQL + " select id, title, md5(description) as text, status from judged")
+def admitted_postings(spark, d):
+    """Whole rows with their status."""
+    rows = A.admit(B.raw_postings(spark, d), B.stored_links(spark, d), RULES)
+    return rows.select("id", "title", F.md5(F.col("description").cast("binary")).alias("text"), "status")
+
+
+@query("admission_errors", f"""{RAW}, {B.STORED_SQL}, broken as (select * replace (case when id % 37 = 5 then null else link end as link)
+ from raw), tested as (select *, coalesce({FAIL_SQL}, case when link is null then 'error' end) as fail from broken)
+ select id, case when fail is not null then fail when link in (select link from stored) then 'duplicate'
+ when row_number() over (partition by link, fail order by id) > 1 then 'duplicate' else 'inserted' end as status from tested""")
+def admission_errors(spark, d):
+    """Rows without a link can't be stored."""
+    raw = B.raw_postings(spark, d).withColumn("link", F.when(F.col("id") % 37 != 5, F.col("link")))
+    return A.statuses(raw, B.stored_links(spark, d), RULES)[0]
 
 
 @query("admission_known_links_first", f"""{RAW}, {B.STORED_SQL}, tested as (select *, case when link in
@@ -100,19 +117,19 @@ def admission_status(spark, d):
  from tested""")
 def admission_known_links_first(spark, d):
     rules = A.AdmissionRules(**{**RULES.__dict__, "known_links_first": True})
-    return A.admit(B.raw_postings(spark, d), B.stored_links(spark, d), rules).select("id", "status")
+    return _statuses(spark, d, rules=rules)
 
 
 @query("admission_counts", f"{JUDGED_SQL} select keyword, {_COUNTS} from judged group by keyword")
 def admission_counts(spark, d):
-    return A.status_counts(_admitted(spark, d), ["keyword"])
+    return A.status_counts(_statuses(spark, d, ["keyword"]), ["keyword"])
 
 
 @query("scrape_log", f"""{JUDGED_SQL} select keyword, count(*) as cards_scraped,
  {', '.join(f"count(*) filter (status = '{s}') as {s}" for s in ('inserted', 'duplicate', 'blocked', 'bad_title', 'error'))},
  (select count(*) from stored) as total_in_db, timestamp '{NOW}' as completed_at from judged group by keyword""")
 def scrape_log(spark, d):
-    return A.scrape_log(_admitted(spark, d), B.stored_links(spark, d), NOW)
+    return A.scrape_log(_statuses(spark, d, ["keyword"]), B.stored_links(spark, d), NOW)
 
 
 @query("rows_to_store", f"""{JUDGED_SQL} select id, title, link, source, coalesce(posted_date, timestamp '{NOW}')
@@ -122,16 +139,34 @@ def rows_to_store(spark, d):
     return done.postings.select("id", "title", "link", "source", "posted_date")
 
 
-@query("ingest", f"{JUDGED_SQL} select source, {_COUNTS} from judged group by source")
-def ingest_counts(spark, d):
-    return ingest(B.raw_postings(spark, d), B.stored_links(spark, d), NOW, RULES).counts
-
-
 def _safe(expr):
     return (f"substring(regexp_replace(regexp_replace(trim({expr}), '[<>:\"/\\\\|?*]', '', 'g'), "
             "'\\s+', ' ', 'g'), 1, 100)")
 
 
+_DESCRIBED = f"""'descriptions/' || {_safe("coalesce(company_name, 'unknown')")} || '/' || {_safe('title')} || '_'
+ || substring(sha1(link), 1, 12) || '.txt'"""
+
+
+@query("stored_postings", f"""{JUDGED_SQL} select id, company_name, title, case when description <> '' then 'gs://texts/' || {_DESCRIBED}
+ else description end as description, description as text, link, location, coalesce(posted_date, timestamp '{NOW}') as posted_date,
+ cast(null as double) as pay_min, source, cast(null as varchar) as skills, cast(null as int) as experience_years,
+ cast(null as timestamp) as enriched_at, cast(null as int) as n_embedding, cast(round(epoch(timestamp '{NOW}') / 3600) as int) as added_at
+ from judged where status = 'inserted'""")
+def stored_postings(spark, d):
+    """Postings as they are stored, with their texts read back through the addresses."""
+    done = ingest(B.raw_postings(spark, d), B.stored_links(spark, d), NOW, RULES, text_root="gs://texts")
+    rows = readers.resolve_descriptions(done.postings, writers.text_uris(done.descriptions, "gs://texts"))
+    return rows.select("id", "company_name", "title", "description", "text", "link", "location", "posted_date",
+                       F.col("salary.min").alias("pay_min"), "source", F.array_join("skills", "|").alias("skills"), "experience_years",
+                       "enriched_at", F.cardinality("embedding").alias("n_embedding"), "added_at")
+
+
+@query("ingest", f"{JUDGED_SQL} select source, {_COUNTS} from judged group by source")
+def ingest_counts(spark, d):
+    return ingest(B.raw_postings(spark, d), B.stored_links(spark, d), NOW, RULES).counts
+
+
 @query("deduped_batch", f"""{RAW}, {B.STORED_SQL} select id, case when link in (select link from stored) or row_number() over
  (partition by link order by id) > 1 then 'duplicate' else 'inserted' end as status from raw""")
 def deduped_batch(spark, d):

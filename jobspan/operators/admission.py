@@ -8,9 +8,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobspan import vocab
-from jobspan.functions.text import any_word, contains_any, let, literal, trim_ws
+from jobspan import schemas, vocab
+from jobspan.functions.scores import epoch_hours
+from jobspan.functions.text import any_word, contains_any, description_path, let, literal, trim_ws
 from jobspan.operators.keys import first_ids, salted_lookup
+from jobspan.session import written
 
 
 def _sure(test: Column) -> Column:
@@ -55,7 +57,7 @@ def company_mentioned(name: Column, description: Column, suffix_pattern: str = v
     def named(core: Column, low: Column) -> Column:
         long_words = F.filter(F.split(core, r"\s+"), lambda w: F.length(w) >= min_word)
         parts = F.regexp_extract_all(core, F.lit(f"({vocab.CAMEL_PATTERN})"), F.lit(1))
-        pairs = F.zip_with(parts, F.slice(parts, 2, 1_000_000), lambda a, b: F.concat(a, b))
+        pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), lambda a, b: F.concat(a, b))
         pieces = F.filter(F.concat(parts, pairs), lambda p: F.length(p) >= min_camel)
         return (
             F.when(F.length(core) < min_core, True)
@@ -216,15 +218,30 @@ def with_status(judged: DataFrame, winners: DataFrame, row_id: str = "id") -> Da
     )
 
 
+def statuses(raw: DataFrame, stored: DataFrame, rules: AdmissionRules | None = None, row_id: str = "id", keep: list[str] = (),
+             order: list[str] = (), admission: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(row_id, the columns to ``keep``, status) of every raw posting, and the ids of those to store.
+
+    The texts are read once: the verdict of every row, without its text, and the ids of the winners are written to the shared folder,
+    and everything else comes from those two narrow tables. ``admission=False`` only removes duplicates.
+    """
+    if admission:
+        judged = verdicts(raw, stored, rules or AdmissionRules(), row_id)
+    else:
+        judged = raw.withColumn("fail", F.lit(None).cast("string"))
+    narrow = written(judged.select(*dict.fromkeys([row_id, "link", *keep, *order]), "fail"), "verdicts")
+    winners = written(first_new(narrow, stored, row_id, order), "winners")
+    return with_status(narrow, winners, row_id).select(row_id, *keep, "status"), winners
+
+
 def admit(raw: DataFrame, stored: DataFrame, rules: AdmissionRules | None = None, row_id: str = "id",
           order: list[str] = ()) -> DataFrame:
-    """Every raw posting with its ``status``: the first failed content test, else duplicate or inserted.
+    """Every raw posting, whole, with its ``status``: the first failed content test, else duplicate or inserted.
 
-    A posting is a duplicate when its link is stored or an earlier admitted row of this batch has it. The verdict returns
-    to the rows by row id, which spreads evenly. ``ingest`` is the form that reads the texts once.
+    A posting is a duplicate when its link is stored or an earlier admitted row of this batch has it. The status returns to the rows
+    by row id, which spreads evenly. Who needs only some narrow columns takes ``statuses``.
     """
-    judged = verdicts(raw, stored, rules or AdmissionRules(), row_id)
-    return with_status(judged, first_new(judged, stored, row_id, order), row_id)
+    return raw.join(statuses(raw, stored, rules, row_id, order=order)[0], row_id)
 
 
 def status_counts(admitted: DataFrame, keys: list[str], statuses: list[str] = vocab.STATUSES) -> DataFrame:
@@ -243,9 +260,21 @@ def scrape_log(admitted: DataFrame, stored: DataFrame, completed_at, keyword: st
     )
 
 
-def rows_to_store(rows: DataFrame, ingest_ts) -> DataFrame:
-    """Inserted rows as they are stored: the posting date defaults to the time of ingest."""
+def rows_to_store(rows: DataFrame, ingest_ts, row_id: str = "id", text_root: str | None = None, default_source: str = "linkedin"
+                  ) -> DataFrame:
+    """Inserted rows as they are stored, in the columns of ``schemas.POSTINGS``.
+
+    The posting date defaults to the time of ingest, which ``added_at`` has in hours. With ``text_root``, a description is stored as
+    the address of its text below that folder, where ``writers.description_table`` puts it; without, as it is.
+    """
     at = ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts).cast("timestamp")
     if "status" in rows.columns:
         rows = rows.where(F.col("status") == "inserted").drop("status")
-    return rows.withColumn("posted_date", F.coalesce(F.col("posted_date").cast("timestamp"), at))
+    rows = rows.withColumns({
+        "id": F.col(row_id), "source": F.coalesce("source", F.lit(default_source)),
+        "posted_date": F.coalesce(F.col("posted_date").cast("timestamp"), at), "added_at": epoch_hours(at)})
+    if text_root:
+        path = description_path(F.coalesce(F.nullif("company_name", F.lit("")), F.lit("unknown")), F.col("title"), F.col("link"))
+        rows = rows.withColumn("description", F.when(F.col("description") != "", F.concat(F.lit(text_root.rstrip("/") + "/"), path))
+                               .otherwise(F.col("description")))
+    return schemas.conform(rows, schemas.POSTINGS)

@@ -4,12 +4,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from jobspan.operators.admission import (
-    AdmissionRules, first_new, rows_to_store, status_counts, verdicts, with_status,
-)
-from jobspan.session import scratch_folder
+from jobspan.operators.admission import AdmissionRules, rows_to_store, status_counts, statuses
 from jobspan.sources.writers import description_table
 
 
@@ -22,22 +18,13 @@ class Ingested:
 
 
 def ingest(raw: DataFrame, stored: DataFrame, ingest_ts, rules: AdmissionRules | None = None, by: list[str] = ("source",),
-           admission: bool = True, row_id: str = "id") -> Ingested:
-    """One batch. ``admission=False`` (the aggregator feed) only removes duplicates.
+           admission: bool = True, row_id: str = "id", text_root: str | None = None) -> Ingested:
+    """One batch. ``admission=False`` (the aggregator feed) only removes duplicates. With ``text_root``, the stored descriptions are
+    addresses of the texts below that folder.
 
-    The texts are read once: the verdict of every row, without its text, and the ids of the winners are written to the
-    shared scratch folder. Statuses and counters come from those two narrow tables, and only the rows to store are
+    The texts are read once to judge every row; statuses and counters come from narrow tables, and only the rows to store are
     fetched again, by id.
     """
-    spark, path = raw.sparkSession, scratch_folder(raw.sparkSession, "ingest")
-    if admission:
-        judged = verdicts(raw, stored, rules or AdmissionRules(), row_id)
-    else:
-        judged = raw.withColumn("fail", F.lit(None).cast("string"))
-    judged.select(row_id, "link", *by, "fail").write.parquet(path + "/verdicts")
-    narrow = spark.read.parquet(path + "/verdicts")
-    first_new(narrow, stored, row_id).write.parquet(path + "/winners")
-    winners = spark.read.parquet(path + "/winners")
-    statuses = with_status(narrow, winners, row_id).drop("link")
-    new = rows_to_store(raw.join(winners, row_id, "left_semi"), ingest_ts)
-    return Ingested(statuses, new, description_table(new), status_counts(statuses, list(by)))
+    status, winners = statuses(raw, stored, rules, row_id, list(by), admission=admission)
+    new = raw.join(winners, row_id, "left_semi")
+    return Ingested(status, rows_to_store(new, ingest_ts, row_id, text_root), description_table(new), status_counts(status, list(by)))

@@ -21,6 +21,11 @@ def description_table(df: DataFrame, company: str = "company_name", title: str =
         description_path(name, F.col(title), F.col(key)).alias("path"), F.col("description").alias("text"))
 
 
+def text_uris(descriptions: DataFrame, text_root: str) -> DataFrame:
+    """The texts of an ingested batch as (uri, text), by the address that the stored postings have."""
+    return descriptions.select(F.concat(F.lit(text_root.rstrip("/") + "/"), "path").alias("uri"), "text")
+
+
 def chunk_table(df: DataFrame, chunks: str = "chunks", job_id: str = "id") -> DataFrame:
     """Given chunks of descriptions keyed by their path."""
     rows = df.select(job_id, "company_name", "title", F.posexplode(chunks).alias("chunk_index", "text"))
