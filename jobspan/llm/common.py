@@ -12,11 +12,36 @@ from pyspark.sql import functions as F
 from jobspan.session import scratch_folder
 
 
+_KEPT: dict[str, None] = {}  # scratch tables that lie there still, oldest first
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared scratch folder and read back: computed once, and the lineage ends there."""
     path = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _KEPT[path] = None
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes every scratch table of this driver that still lies there. What was computed from them must have been written."""
+    for path in list(_KEPT):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _KEPT:
+        del _KEPT[path]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -95,7 +120,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, now = now, stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(old)
         mark, last = _mark(now), mark
         if mark == last:
             break
