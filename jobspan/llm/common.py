@@ -31,9 +31,13 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.scratch)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Deletes every scratch table of this driver that still lies there. What was computed from them must have been written."""
-    for path in list(_KEPT):
+def kept_tables() -> list[str]:
+    """The paths of the scratch tables that lie there still."""
+    return list(_KEPT)
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         _delete(spark, path)
 
 
@@ -44,6 +48,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Each text's UTF-8 bytes; a null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
