@@ -2,12 +2,15 @@
 from pyspark.sql import functions as F
 
 from jobspan import bindings as B
+from jobspan import vocab
 from jobspan.checks.registry import query
 from jobspan.functions import answers as A
 from jobspan.functions import parse as V
 from jobspan.functions import skills as K
 from jobspan.functions import text as T
+from jobspan.operators import vocabulary as L
 from jobspan.operators.keys import carry_forward
+from jobspan.session import written
 
 P = "with " + B.POSTINGS_SQL
 NOW = B.NOW
@@ -151,6 +154,70 @@ def vocabulary_scan(spark, d):
     return low.select("doc_id", F.array_join(K.scan_vocabulary(F.col("low"), REGISTRY), "|").alias("skills"))
 
 
+@query("vocabulary_join", f"with {_SCAN} select doc_id, array_to_string(names, '|') as skills from named")
+def vocabulary_join(spark, d):
+    """The same keys through the join."""
+    keys = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(REGISTRY.items())], "key string, name string, pos long")
+    found = L.scan_large(B.table(spark, d, "documents"), L.vocabulary_table(keys), "doc_id")
+    return found.select("doc_id", F.array_join("skills", "|").alias("skills"))
+
+
+# The default keys, of which each text names two more than it may hold by chance.
+_KEYS = list(vocab.KNOWN_SKILLS.items())
+_VALUES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_KEYS))
+_MENTIONS = rf"""keys as (select * from (values {_VALUES}) t(pos, key, name)), texts as (select doc_id, lower(coalesce(text, '') || ' (' || a.key
+ || '), ' || b.key || '_') as low from documents join keys a on a.pos = doc_id % {len(_KEYS)} join keys b on b.pos = doc_id * 7 % {len(_KEYS)}),
+ toks as (select *, {_TOKENS.format('low')} as toks from texts),
+ hits as (select doc_id, name, min(pos) as pos from toks join keys on case when regexp_matches(key, '^\w+$') then list_contains(toks, key)
+ when contains(low, key) and regexp_matches(key, '\w$') then regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')
+ when contains(low, key) then regexp_matches(low, '(^|[^a-z0-9])' || regexp_escape(key) || '($|[^a-z0-9])') else false end group by all)
+ select doc_id, coalesce(string_agg(name, '|' order by pos) filter (name is not null), '') as skills from texts left join hits using (doc_id)
+ group by 1"""
+
+
+def _mentions(spark, d):
+    keys = F.array(*[F.lit(k) for k, _ in _KEYS])
+    named = lambda times: F.get(keys, (F.col("doc_id") * times % len(_KEYS)).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" ("), named(1), F.lit("), "), named(7), F.lit("_"))
+    return B.table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+@query("vocabulary_default", f"with {_MENTIONS}")
+def vocabulary_default(spark, d):
+    """The 220 default keys as expressions."""
+    low = _mentions(spark, d).select("doc_id", F.lower("text").alias("low"))
+    return low.select("doc_id", F.array_join(K.scan_vocabulary(F.col("low")), "|").alias("skills"))
+
+
+@query("vocabulary_default_join", f"with {_MENTIONS}")
+def vocabulary_default_join(spark, d):
+    """The 220 default keys through the join."""
+    keys = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(_KEYS)], "key string, name string, pos long")
+    return L.scan_large(_mentions(spark, d), L.vocabulary_table(keys), "doc_id").select("doc_id", F.array_join("skills", "|").alias("skills"))
+
+
+_PAIRS = r"""runs as (select doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as r,
+ regexp_split_to_array(lower(text), '[\p{L}\p{N}_]+') as s from documents),
+ places as (select doc_id, lang, r, s, unnest(range(1, len(r))) as i from runs),
+ pairs as (select distinct doc_id, lang, r[i] || ' ' || r[i + 1] as key from places where s[i + 1] = ' '),
+ vocabulary as (select distinct key from pairs where lang = 'en' and regexp_matches(key, '^[a-z]+ [a-z]+$'))"""
+
+
+@query("vocabulary_large", f"""with {_PAIRS}, hits as (select doc_id, key from pairs join vocabulary using (key))
+ select d.doc_id, count(key) as n, md5(coalesce(string_agg(key, '|' order by key), '')) as keys from documents d
+ left join hits h on h.doc_id = d.doc_id group by 1""")
+def vocabulary_large(spark, d):
+    """All pairs of words of the English texts as keys, 100,000 and more, sought in all texts."""
+    docs = B.table(spark, d, "documents")
+    low = F.lower("text")
+    between = docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all(low, F.lit(r"(?=(?<![\p{L}\p{N}_])([a-z]+ [a-z]+)(?![\p{L}\p{N}_]))"),
+                                                                             F.lit(1))).alias("key")).distinct()
+    found = L.scan_large(docs, L.vocabulary_table(written(between, "vocabulary").select("key", F.col("key").alias("name"), F.lit(0).alias("pos"))),
+                         "doc_id")
+    return found.select("doc_id", F.size("skills").cast("long").alias("n"),
+                        F.md5(F.array_join(F.array_sort("skills"), "|").cast("binary")).alias("keys"))
+
+
 _GUARD = dict(blocklist=["red", "old"], short=["x1"], canonical={"ring": "RING", "bolt": "Bolts", "gear": "Bolts"})
 # the offered skills: words of the part, one with blanks, one generic, one of the company, one short
 _OFFER = "[' ' || p_name || ' ', split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), upper(split_part(p_name, ' ', 2)), p_brand, 'zz', 'x1', 'Gear']"
