@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline
 from jobspan.llm import checks, decontaminate, line_dedup
-from tests.llm.test_operators import brute_counts, brute_fingerprint
+from tests.llm.test_operators import brute_counts
+from tests.llm.test_shingles import brute_groups
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -47,9 +48,11 @@ def test_quality_keeps_clean_documents(spark, stages):
 
 
 def test_lines(stages):
+    """Lines of every length: those that repeat an earlier one of their class go, but for lines without a word."""
     before, after = stages["line_dedup"]
-    at = [(i, k, x) for i, t in sorted(before.items()) for k, x in enumerate(t.split("\n")) if len(x) >= 30]
+    at = [(i, k, x) for i, t in sorted(before.items()) for k, x in enumerate((t or "").split("\n"))]
     distinct = sorted({x for _, _, x in at}, key=len)
+    words = {x: Counter(x.split()) for x in distinct}
     root = {x: x for x in distinct}
 
     def find(x):
@@ -57,35 +60,31 @@ def test_lines(stages):
             x = root[x]
         return x
 
+    def may(x, y):
+        """Bounds that every linked pair keeps: of lengths, or of shared words."""
+        if len(y) - len(x) <= line_dedup.EDITS:
+            return True
+        n, m = words[x].total(), words[y].total()
+        most = min(n, m) // line_dedup.SHARE
+        return abs(n - m) <= most and max(n, m) - (words[x] & words[y]).total() <= most
+
     for k, x in enumerate(distinct):
         for y in distinct[k + 1:]:
-            if len(y) - len(x) > 2:
-                break
-            if line_dedup.within(x, y, 2):
+            if find(x) != find(y) and may(x, y) and line_dedup.near_lines(x, y, None):
                 root[find(y)] = find(x)
     seen, gone = set(), defaultdict(set)
     for i, k, x in at:
-        if find(x) in seen:
+        if find(x) in seen and x.strip(" \t\n\r\x0b\x0c"):
             gone[i].add(k)
         seen.add(find(x))
     assert {r.doc_id: r.text for r in after.collect()} == {
-        i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in before.items()}
+        i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in before.items()}
 
 
 def test_near_duplicates(stages):
+    """Plain five-word similarity of 0.8 on, joined; the smallest id of a group stays."""
     before, after = stages["simhash_near_duplicates"]
-    ids = sorted(before)
-    prints = {i: brute_fingerprint(before[i]) for i in ids}
-    root = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids:
-            for b in ids:
-                if bin(prints[a] ^ prints[b]).count("1") <= 4 and root[a] != root[b]:
-                    root[a] = root[b] = min(root[a], root[b])
-                    changed = True
-    assert {r.doc_id for r in after.collect()} == set(root.values())
+    assert {r.doc_id for r in after.collect()} == set(brute_groups(before).values())
 
 
 def test_benchmark(spark, stages):
@@ -112,3 +111,23 @@ def test_run_equals_the_stages(spark, stages):
     want = stages["sentencepiece"][1]
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns with the operators' own names pass through every stage; so does no row."""
+    rows = [(i, r.text, "en", "s", 1, 2, "x", 3, 4) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").limit(12).collect())]
+    rows += [rows[3], rows[3], (None, "a text without an id " * 9, None, None, None, None, None, None, None), (90, None, "en", "s", 0, 2, "x", 3, 4),
+             (91, "", "en", "s", 0, 2, "x", 3, 4), (92, " \n\t", "en", "s", 0, 2, "x", 3, 4)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, h1 long, removed string, __removed int, node int"
+    whole = spark.createDataFrame(rows, kinds)
+    for k, docs in enumerate((whole, whole.limit(0))):
+        ids = {r.doc_id for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{k}-{name}")
+            out = stage(spark, docs, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+            assert {r.doc_id for r in docs.select("doc_id").collect()} <= ids
+        assert (docs.where("doc_id is null").count() == 1) == (k == 0)
