@@ -58,16 +58,17 @@ def average_years(spark, d):
     return I.average_years(B.postings(spark, d), "gear")
 
 
-@query("role_overview", P + """, s as (
+_OVERVIEW = P + """, s as (
  select skill as name, count(*) as cnt from (select title, unnest(skills) as skill from postings)
  where title ilike '%widget%' group by 1 order by cnt desc, 1 limit 15), c as (
  select company_name as name, count(*) as cnt from postings
  where title ilike '%widget%' and company_name is not null group by 1 order by cnt desc, 1 limit 10)
  select 'skill' as kind, name, cnt from s union all select 'company', name, cnt from c union all
  select 'years', cast(round(avg(experience_years), 1) as varchar), count(experience_years) from postings
- where title ilike '%widget%'""")
-def role_overview(spark, d):
-    one = I.role_overview(B.postings(spark, d), "widget")
+ where title ilike '%widget%'"""
+
+
+def _parts(one):
     parts = F.concat(
         F.transform("top_skills", lambda s: F.struct(F.lit("skill").alias("kind"), s["skill"].alias("name"),
                                                      s["count"].alias("cnt"))),
@@ -78,6 +79,11 @@ def role_overview(spark, d):
     return one.select(F.inline(parts))
 
 
+@query("role_overview", _OVERVIEW)
+def role_overview(spark, d):
+    return _parts(I.role_overview(B.postings(spark, d), "widget"))
+
+
 @query("roles_overview", P + ROLES_SQL + """, names as (
  select role, 'skill' as kind, unnest(skills) as name from matched
  union all select role, 'company', company_name from matched where company_name is not null), counts as (
@@ -175,3 +181,30 @@ query("question_skill_gap", P + """, top as (
  (select count(*) from postings) as n_jobs from top""")
 def answer_context(spark, d):
     return career.answer_context(B.postings(spark, d), career.Question("top_skills"))
+
+
+query("question_role_overview", _OVERVIEW)(
+    lambda spark, d: _parts(career.answer_data(B.postings(spark, d), career.Question("role_overview", "Widget Engineer"))))
+
+
+@query("answer_contexts", P + """, all_jobs as (select count(*) as n from postings), skills as (select title, unnest(skills) as skill from postings)
+ select 'top_companies' as category, count(*) > 0 as grounded, least(count(*), 25) as n_lines, (select n from all_jobs) as n_jobs from
+ (select distinct company_name from postings where company_name is not null and title ilike '%plate%')
+ union all select 'skills_for_role', count(*) > 0, least(count(*), 25), (select n from all_jobs) from
+ (select distinct skill from skills where title ilike '%blue gear%')
+ union all select 'skill_gap', count(*) > 0, least(count(*) filter (have), 10) + least(count(*) filter (not have), 10), (select n from all_jobs)
+ from (select lower(skill) in ('bolt', 'new') as have from skills where title ilike '%bolt%' group by skill order by count(*) desc, skill limit 20)
+ union all select 'role_overview', count(*) > 0, 1, (select n from all_jobs) from postings where title ilike '%widget%'
+ union all select 'skills_for_role', false, 0, n from all_jobs""")
+def answer_contexts(spark, d):
+    """Whether each kind of question has an answer to rest on, and how many lines it has; the last asks for a role that nobody offers."""
+    asked = [career.Question("top_companies", "plate job"), career.Question("skills_for_role", "Blue Gear Engineer"),
+             career.Question("skill_gap", "bolt role", ("Bolt", "new")), career.Question("role_overview", "widget"),
+             career.Question("skills_for_role", "no such role")]
+    out = None
+    for q in asked:
+        one = career.answer_context(B.postings(spark, d), q)
+        n = F.when(F.coalesce("data", F.lit("")) == "", 0).otherwise(F.size(F.split("data", "\n")))
+        one = one.select(F.lit(q.category).alias("category"), "grounded", n.cast("long").alias("n_lines"), "n_jobs")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -254,13 +254,10 @@ def result_pages(spark, d):
 
 
 @query("recent_results", P + f""", h as (select id, {_HOURS} as hours_since_posted from postings)
- select id, hours_since_posted, row_number() over (order by hours_since_posted asc nulls last, id) as place from h
- order by place limit 100""")
+ select id, hours_since_posted, row_number() over (order by hours_since_posted asc nulls last, id) as place from h""")
 def recent_results(spark, d):
-    rows = B.postings(spark, d).select("id", _h().alias("hours_since_posted"), F.col("id").alias("rank"))
-    top = R.sort_results(rows, "recent").limit(100).drop("rank")
-    w = R.Window.orderBy(F.asc_nulls_last("hours_since_posted"), "id")
-    return top.withColumn("place", F.row_number().over(w).cast("long"))
+    """All postings, most recent first, with their places."""
+    return all_recent_results(spark, d)
 
 
 @query("all_recent_results", P + f""", h as (select id, {_HOURS} as hours_since_posted from postings)
@@ -416,3 +413,63 @@ def merged_intent(spark, d):
         F.array().cast("array<string>").alias("x_title_aliases"))
     return Q.merge_intent(given).select("query_id", "query", "location", "min_years",
                                         F.array_join("skills", "|").alias("skills"))
+
+
+# ------------------------------------------------------------------ parameters of searches, as tables
+@query("request_guards", """select o_orderkey, case when trim(q) = '' then 'query' when n not between 1 and 100 then 'top_n'
+ when c not between 10 and 500 then 'candidates' when p not between 1 and 10 then 'page' end as fault,
+ o_custkey % 520 between 3 and 500 as question_ok, o_custkey % 33 between 1 and 30 as ids_ok
+ from (select *, case when o_custkey % 7 = 0 then '  ' else o_orderpriority end as q, o_custkey % 106 as n, o_custkey % 530 as c,
+ o_orderkey % 12 as p from orders)""")
+def request_guards(spark, d):
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    words = F.when(c % 7 == 0, "  ").otherwise(F.col("o_orderpriority"))
+    ids = F.slice(F.array(*[F.lit(i) for i in range(33)]), 1, (c % 33).cast("int"))
+    return B.table(spark, d, "orders").select(
+        "o_orderkey", Q.request_fault(words, c % 106, c % 530, k % 12).alias("fault"),
+        Q.question_ok(F.repeat(F.lit("x"), (c % 520).cast("int"))).alias("question_ok"), Q.ids_ok(ids).alias("ids_ok"))
+
+
+@query("form_filters", """select c_custkey, case when c_custkey % 3 <> 0 then cast(c_custkey % 30 as int) end as min_years,
+ case when c_custkey % 4 <> 0 then cast(c_custkey % 700 as int) end as max_hours_old,
+ case when c_custkey % 5 <> 0 then c_mktsegment end as location, case when c_acctbal > 0 then 'sql' else '' end as skills,
+ case c_custkey % 6 when 0 then '' when 1 then 'a' when 2 then 'a|b' when 3 then '' else 'b' end as sources from customer""")
+def form_filters(spark, d):
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("array<string>")
+    listed = lambda *x: F.array(*[F.lit(s) for s in x])
+    forms = B.table(spark, d, "customer").select(
+        "c_custkey", F.when(k % 3 == 0, "any").otherwise((k % 30).cast("string")).alias("experience"),
+        F.when(k % 4 == 0, "any").otherwise((k % 700).cast("string")).alias("recency"),
+        F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit(" "))).alias("location"),
+        (k % 2 == 0).alias("remote"), F.when(F.col("c_acctbal") > 0, listed("sql")).otherwise(none).alias("skills"),
+        F.when(k % 6 == 1, listed("a")).when(k % 6 == 2, listed("a", "b")).when(k % 6 == 3, listed("a", "b", "c"))
+        .when(k % 6 > 3, listed("b")).otherwise(none).alias("sources"))
+    out = Q.form_filters(forms, ["a", "b", "c"])
+    return out.select("c_custkey", "min_years", "max_hours_old", "location", F.array_join("skills", "|").alias("skills"),
+                      F.array_join("sources", "|").alias("sources"))
+
+
+# ------------------------------------------------------------------ a model's ranking
+@query("rerank_requests", MATCHES + """ select resume_id, '[' || string_agg('{"id":' || id || ',"title":"' || title || '",' ||
+ coalesce('"company":"' || company || '",', '') || coalesce('"experience_years":' || experience_years || ',', '') || '"skills":[' ||
+ coalesce('"' || nullif(array_to_string(list_slice(skills, 1, 15), '","'), '') || '"', '') || ']}', ',' order by rank) || ']' as jobs
+ from ranked where rank <= 20 group by 1""")
+def rerank_requests(spark, d):
+    rows = Q.match_resumes(B.postings(spark, d), _resumes(spark, d), NOW, k=50, max_hours_old=20000)
+    return Q.jobs_json(rows, 15)
+
+
+@query("simple_search_reranked", f"""{P}, {facts_sql()}, {CAND.format(k=30)}, {scored_sql('near', (0.50, 0.00, 0.00, 0.10, 0.15, 0.25))},
+ ranked as (select *, {RANK.format(per='')} as prior from scored), answer as (select id, min(pos) as pos from (select
+ unnest([id, id + 1, id, 0]) as id, prior * 4 + unnest([0, 1, 2, 3]) as pos from ranked where prior in (9, 4, 25)) group by 1),
+ placed as (select r.*, row_number() over (order by pos asc nulls last, prior) as rank from ranked r left join answer a using (id))
+ select rank, {OUT} from placed where rank <= 10""")
+def simple_search_reranked(spark, d):
+    """The answer lists some of the postings found, one twice, and others that were not found."""
+    vec = Q.query_vector(B.table(spark, d, "embeddings"), 7)
+    prior = Q.simple_search(B.postings(spark, d), vec, SEARCH.query, NOW, top_n=30)
+    some = prior.where(F.col("rank").isin(9, 4, 25)).select("rank", F.array(F.col("id"), F.col("id") + 1, F.col("id"), F.lit(0).cast("long")).alias("ids"))
+    answer = some.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ids"))), lambda x: x["ids"])).alias("ids"))
+    rows = flat(Q.simple_search(B.postings(spark, d), vec, SEARCH.query, NOW, ranking=answer))
+    return _longs(rows, "rank").withColumn("vec_score", F.round("vec_score", 4))

@@ -64,7 +64,7 @@ class Search:
     def __post_init__(self):
         if not self.query or not self.query.strip():
             raise ValueError("a query or resume text is needed")
-        for name, low, high in (("top_n", 1, 100), ("candidates", 10, 500), ("page", 1, 10)):
+        for name, (low, high) in LIMITS.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be {low} to {high}")
 
@@ -81,6 +81,37 @@ def check_question(question: str) -> str:
     return question
 
 
+LIMITS = {"top_n": (1, 100), "candidates": (10, 500), "page": (1, 10)}
+
+
+def request_fault(query: Column, top_n: Column, candidates: Column, page: Column) -> Column:
+    """The first parameter of a table of searches that ``Search`` would refuse, or null."""
+    out = F.when(F.coalesce(F.trim(query), F.lit("")) == "", "query")
+    for (name, (low, high)), value in zip(LIMITS.items(), (top_n, candidates, page), strict=True):
+        out = out.when(~F.coalesce(value.between(low, high), F.lit(False)), name)
+    return out
+
+
+def question_ok(question: Column) -> Column:
+    return F.coalesce(F.length(question).between(3, 500), F.lit(False))
+
+
+def ids_ok(ids: Column) -> Column:
+    return F.coalesce(F.size(ids).between(1, 30), F.lit(False))
+
+
+def form_filters(forms: DataFrame, all_sources: list[str] = vocab.SEARCH_SOURCES) -> DataFrame:
+    """Rows of form values as ``filters_from_form`` reads them: min_years, max_hours_old, location, skills and sources take the place
+    of experience, recency, location, remote, skills and sources."""
+    number = lambda c: F.when(F.col(c) != "any", F.col(c).cast("int"))
+    empty = F.array().cast(_STR)
+    given = F.coalesce("sources", empty)
+    return forms.withColumns({
+        "min_years": number("experience"), "max_hours_old": number("recency"), "location": F.nullif(F.trim("location"), F.lit("")),
+        "skills": F.coalesce("skills", empty), "sources": F.when(F.size(given) == len(all_sources), empty).otherwise(given),
+    }).drop("experience", "recency", "remote")
+
+
 def query_vector(vectors: DataFrame, vector_id: int, key: str = "vec_id", vec: str = "embedding") -> list[float]:
     """One stored vector as the query of a search."""
     row = vectors.where(F.col(key) == vector_id).select(vec).first()

@@ -56,3 +56,27 @@ def test_mixed_vectors_are_refused(spark):
         batch_top_k(items, queries.where("query_id = 2"), 1).collect()
     one = batch_top_k(items, queries.where("query_id = 1"), 1, max_kept=1).collect()
     assert [(r.query_id, r.id) for r in one] == [(1, 1)]
+
+
+def test_large_vocabulary_finds_what_the_expressions_find(spark):
+    import random
+
+    from jobspan.functions.skills import scan_vocabulary
+    from jobspan.operators.vocabulary import scan_large, vocabulary_table
+
+    rng = random.Random(4)
+    keys = ["c", "c#", "c++", ".net", "node.js", "ci/cd", "machine learning", "a b c", "été", "über cool", "x-1", "r&d", "go", "f_1", "(x)", "l'été"]
+    bits = [*keys, "_", "é", " ", ", ", "-", "1", "a", "b", "C++", "Machine", "learning", "\n", "__", "."]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 14))) for _ in range(500)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    names = {k: k.upper() if len(k) > 2 else "SHORT" for k in keys}
+    want = {r.id: r.s or [] for r in docs.select("id", scan_vocabulary(F.lower("text"), names).alias("s")).collect()}
+    table = vocabulary_table(spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(names.items())], "key string, name string, pos long"))
+    assert {r.id: r.skills for r in scan_large(docs, table).collect()} == want
+    assert sum(map(len, want.values())) > 800
+    many = vocabulary_table(spark.range(100_000).selectExpr("concat('word', id, if(id % 2 = 0, '', ' x')) as key", "cast(id as string) as name", "id as pos"))
+    hot = spark.range(300).selectExpr("id", "concat('Word44 word', id, ' x, word', id * 2) as text")
+    got = {r.id: set(r.skills) for r in scan_large(hot, many).collect()}
+    assert got == {i: {"44"} | ({str(i)}) | {str(2 * i)} for i in range(300)}
+    with pytest.raises(Exception, match="no word"):
+        vocabulary_table(spark.createDataFrame([("++", "x", 0)], "key string, name string, pos long")).collect()
