@@ -28,6 +28,8 @@ HIDDEN_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*
 TAG = r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>"
 CUT = "\x01"
 NAMED_ENTITIES = json.dumps({name: char for name, char in html.entities.html5.items() if name.endswith(";")})
+FREQUENT_ENTITIES = ["nbsp", "amp", "lt", "gt", "quot", "apos", "rsquo", "lsquo", "ldquo", "rdquo", "ndash", "mdash", "bull", "middot", "hellip",
+                     "copy", "reg", "trade", "eacute"]  # tried before the whole table, which is searched one by one
 _SMART = ("‘’‚‛“”„‟\xa0", "''''\"\"\"\" ")
 
 
@@ -89,7 +91,11 @@ def decode_entities(col: Column) -> Column:
         dec = F.regexp_extract(piece, r"^#(\d{1,6});", 1)
         hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,5});", 1)
         code = F.when(dec != "", F.hex(dec.try_cast("int"))).when(hexa != "", hexa)
-        char = F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), F.when(name != "", F.try_element_at(table, name)))
+        named = F.when(name == "", F.lit(None).cast("string"))
+        for word in FREQUENT_ENTITIES:
+            named = named.when(name == word + ";", html.entities.html5[word + ";"])
+        named = named.otherwise(F.try_element_at(table, name))
+        char = F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), named)
         rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;", "")
         return F.when(i == 0, piece).when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 
@@ -146,7 +152,7 @@ def header_class(
             out = out.when(covered / size >= ratio, F.lit(name))
         return out
 
-    return let(trim_ws(F.regexp_replace(trim_ws(line), ":+$", "")), judge)
+    return let(trim_ws(F.rtrim(trim_ws(line), F.lit(":"))), judge)
 
 
 def split_lines(col: Column) -> Column:
@@ -216,7 +222,7 @@ def extract_years(
 
     def first(every: Column) -> Column:
         main = let(values(sub_pattern), lambda sub: F.filter(every, lambda v: ~F.array_contains(sub, v)))
-        return F.coalesce(F.get(main, F.lit(0)), F.get(every, F.lit(0)))
+        return F.when(F.size(every) > 0, F.coalesce(F.get(main, F.lit(0)), F.get(every, F.lit(0))))
 
     return let(values(pattern), first)
 
