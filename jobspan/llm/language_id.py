@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from jobspan.llm.common import portions, stored
 
 UNKNOWN = "und"
+SALTS = 32
 _LETTERS: list[np.ndarray] = []
 
 
@@ -53,7 +54,7 @@ def grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass
 class Filters:
-    """Cells of language bits (up to 64 languages), with the filling of each language."""
+    """Cells of language bits, a number for each 64 languages, with the filling of each language."""
 
     languages: list[str]
     n: int
@@ -69,17 +70,19 @@ class Filters:
     def false_share(self) -> np.ndarray:
         """Chance that an n-gram which a language lacks is returned for it."""
         if self.wrong is None:
-            self.wrong = np.array([float(((self.cells >> np.uint64(k)) & np.uint64(1)).mean()) ** self.probes
+            grid = self.cells.reshape(len(self.cells), -1)
+            self.wrong = np.array([float(((grid[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** self.probes
                                    for k in range(len(self.languages))])
         return self.wrong
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: n-grams found per language, all n-grams, and whether it has a letter."""
         hashes, of, has = grams(texts, self.n)
-        found = np.full(len(hashes), ~np.uint64(0))
+        grid = self.cells.reshape(len(self.cells), -1)
+        found = np.full((len(hashes), grid.shape[1]), ~np.uint64(0))
         for at in self.places(hashes):
-            found &= self.cells[at]
-        hits = np.stack([np.bincount(of, weights=((found >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=len(texts))
+            found &= grid[at]
+        hits = np.stack([np.bincount(of, weights=((found[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(float), minlength=len(texts))
                          for k in range(len(self.languages))], 1)
         return hits, np.bincount(of, minlength=len(texts)).astype(float), has
 
@@ -129,15 +132,17 @@ def learn(labelled: DataFrame, n: int = 4, docs_per_language: int = 2000, least_
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # Ids are ranked first, so texts of the sample alone are moved. A language's limit is taken before the exchange.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_language)
+    # A language that most texts are in is ranked in SALTS parts before it is ranked whole.
+    h = F.xxhash64("doc_id")
+    chosen = rows.select("doc_id", "lang", F.pmod(h, F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(h, "doc_id"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= docs_per_language)
     chosen = stored(chosen.select("doc_id").distinct(), "language-sample")
     sample = stored(rows.join(F.broadcast(chosen), "doc_id"), "language-texts")  # at most docs_per_language ids of each language
     names = sorted(r.lang for r in sample.select("lang").distinct().collect())
     if not names:
-        return Filters([], n, np.zeros(1 << log_cells, np.uint64), probes)
-    if len(names) > 64:
-        raise ValueError(f"a cell holds 64 languages, not {len(names)}")
+        return Filters([], n, np.zeros((1 << log_cells, 1), np.uint64), probes)
 
     def count(batches):
         for batch in batches:
@@ -154,14 +159,14 @@ def learn(labelled: DataFrame, n: int = 4, docs_per_language: int = 2000, least_
     texts = sample.groupBy("lang").agg(F.count("*").alias("texts")).collect()
     least = {names.index(r.lang): max(1 if r.texts < 10 else 2, least_docs * r.texts) for r in texts}
     least = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in (kv[0], float(kv[1]))]), F.col("code"))
-    masks = counted.where(F.col("n") >= least).groupBy("gram").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("code"))).alias("mask"))
+    masks = counted.where(F.col("n") >= least).groupBy("gram", F.floor(F.col("code") / 64).cast("int").alias("row")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("code") % 64)).alias("mask"))
     table = masks.toArrow()  # n-grams frequent in a bounded sample
-    out = Filters(names, n, np.zeros(1 << log_cells, np.uint64), probes)
-    hashes = table["gram"].to_numpy().view(np.uint64)
+    out = Filters(names, n, np.zeros((1 << log_cells, -(-len(names) // 64)), np.uint64), probes)
+    hashes, row = table["gram"].to_numpy().view(np.uint64), table["row"].to_numpy()
     bits = table["mask"].to_numpy().view(np.uint64)
     for at in out.places(hashes):
-        np.bitwise_or.at(out.cells, at, bits)
+        np.bitwise_or.at(out.cells, (at.astype(np.int64), row), bits)
     return out
 
 
@@ -170,7 +175,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
 
     ``und`` and 0 where the text is null or has no letter, and everywhere if no language was learned. Equal counts: the first
     language in alphabetical order. Whole texts; rows repeat as they are; ids may be null; other columns are not read. The filter
-    (8 MB at 2**20 cells, whatever the corpus) is broadcast; nothing is shuffled.
+    (8 MB at 2**20 cells for each 64 languages, whatever the corpus) is broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
