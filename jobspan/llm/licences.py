@@ -148,27 +148,29 @@ class Scanner:
         """(label, first word, end, covered share of the template) of chains that cover enough of a template."""
         if self.known.isdisjoint(words):
             return []
-        chains: dict[int, list[list[int]]] = {}
+        chains: list[tuple[int, list[int]]] = []
+        going: dict[int, list[list[int]]] = {}  # the chains of each template that a run may still go on with
         for start, length, state, end in self.runs(words):
             for t, at in self.automaton.ends[state]:
                 if at < length:
                     continue
-                for c in reversed(chains.get(t, ())):  # [first, end, template end, covered]
+                near = going[t] = [c for c in going.get(t, ()) if start - c[1] <= self.gap]
+                for c in reversed(near):  # [first, end, template end, covered]
                     # A run goes on with a chain where it stands behind it in both, within the gap.
                     over = max(0, c[1] - start, c[2] - (at - length))
-                    if over < length and start - c[1] <= self.gap and at > c[2]:
+                    if over < length and at > c[2]:
                         c[1], c[2], c[3] = end, at, c[3] + length - over
                         break
                 else:
-                    chains.setdefault(t, []).append([start, end, at, length])
+                    near.append([start, end, at, length])
+                    chains.append((t, near[-1]))
         best: dict[tuple[str, int], tuple[str, int, int, float]] = {}
-        for t, found in chains.items():
-            for first, end, _, covered in found:
-                part = min(1.0, covered / self.lengths[t])
-                if part >= self.share:
-                    key = (self.labels[t], first)
-                    if key not in best or best[key][3] < part:
-                        best[key] = (self.labels[t], first, end, part)
+        for t, (first, end, _, covered) in chains:
+            part = min(1.0, covered / self.lengths[t])
+            if part >= self.share:
+                key = (self.labels[t], first)
+                if key not in best or best[key][3] < part:
+                    best[key] = (self.labels[t], first, end, part)
         return sorted(best.values(), key=lambda s: (s[1], s[0]))
 
     def places(self, words: list[bytes]) -> list[tuple[int, str]]:
