@@ -107,6 +107,9 @@ def op12_importance(spark, sf_dir):
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+ORACLES["op12_importance"] = importance.SQL
+
+
 @query
 def op13_token_files(spark, sf_dir):
     import public_tokenizers

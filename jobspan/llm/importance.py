@@ -138,3 +138,31 @@ def resample(docs: DataFrame, target: DataFrame, runs: int = 2, buckets: int = 1
     counted = partial(bucket_counts, runs=runs, buckets=buckets)
     table = gains(counted(docs, text_col), counted(target), buckets)
     return draw(weigh(docs, table, runs, id_col, text_col), percent, least_words, seed)
+
+
+# The same draw of 25 percent in SQL, CRC-32 bit by bit; ids are unique.
+SQL = r"""
+with texts as (
+ select 0 as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+ union all select 1, 0, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+runs as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from texts),
+counted as (select side, id, f, count(*) as n from runs group by all),
+bytes as (select f, list_transform(range(0, octet_length(encode(f))), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint)) as b
+ from (select distinct f, hex(encode(f)) as h from counted)),
+hashed as (select f, xor(list_reduce(list_concat([4294967295], b), lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)),
+ lambda d, k: case when d & 1 = 1 then xor(d >> 1, 3988292384) else d >> 1 end)), 4294967295) % 10000 as bucket from bytes),
+placed as (select side, id, bucket, sum(n) as n from counted join hashed using (f) group by all),
+totals as (select bucket, coalesce(sum(n) filter (side = 0), 0) as s, coalesce(sum(n) filter (side = 1), 0) as t from placed group by 1),
+sums as (select sum(s) as s, sum(t) as t from totals),
+gains as (select bucket, cast(floor(1000 * ln((cast(totals.t as double) + 1) * (cast(sums.s as double) + 10000)
+ / ((cast(totals.s as double) + 1) * (cast(sums.t as double) + 10000)))) as bigint) as gain from totals, sums),
+weights as (select id, cast(sum(n) as bigint) as n_features, cast(floor(sum(n * gain) / cast(sum(n) as double)) as bigint) as weight
+ from placed join gains using (bucket) where side = 0 group by 1),
+scored as (select d.doc_id, len(x.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+ coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || d.doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+ from documents d join texts x on x.side = 0 and x.id = d.doc_id left join weights on weights.id = d.doc_id),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20
+ qualify rank <= count(*) over () * 25 // 100)
+select doc_id, n_features, weight, score, rank from scored left join drawn using (doc_id)"""
