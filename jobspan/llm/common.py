@@ -139,8 +139,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.scratch = now.scratch  # for who stores the result
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
