@@ -210,12 +210,12 @@ def vocabulary_large(spark, d):
     """All pairs of words of the English texts as keys, 100,000 and more, sought in all texts."""
     docs = B.table(spark, d, "documents")
     low = F.lower("text")
-    between = docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all(low, F.lit(r"(?=(?<![\p{L}\p{N}_])([a-z]+ [a-z]+)(?![\p{L}\p{N}_]))"),
-                                                                             F.lit(1))).alias("key")).distinct()
-    found = L.scan_large(docs, L.vocabulary_table(written(between, "vocabulary").select("key", F.col("key").alias("name"), F.lit(0).alias("pos"))),
-                         "doc_id")
+    pair = r"(?<![\p{L}\p{N}_])(?=([a-z]++ [a-z]++)(?![\p{L}\p{N}_]))[a-z]++"  # a pair is looked at whole, its first word passed
+    between = docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all(low, F.lit(pair), F.lit(1))).alias("key")).distinct()
+    keys = L.vocabulary_table(between.select("key", F.col("key").alias("name"), F.lit(0).alias("pos")))
+    found = L.scan_large(docs, written(keys, "vocabulary"), "doc_id")
     return found.select("doc_id", F.size("skills").cast("long").alias("n"),
-                        F.md5(F.array_join(F.array_sort("skills"), "|").cast("binary")).alias("keys"))
+                        F.md5(F.array_join(F.sort_array("skills"), "|").cast("binary")).alias("keys"))
 
 
 _GUARD = dict(blocklist=["red", "old"], short=["x1"], canonical={"ring": "RING", "bolt": "Bolts", "gear": "Bolts"})

@@ -80,3 +80,22 @@ def test_large_vocabulary_finds_what_the_expressions_find(spark):
     assert got == {i: {"44"} | ({str(i)}) | {str(2 * i)} for i in range(300)}
     with pytest.raises(Exception, match="no word"):
         vocabulary_table(spark.createDataFrame([("++", "x", 0)], "key string, name string, pos long")).collect()
+
+
+def test_a_phrase_is_a_gram_of_its_own(spark):
+    """Keys of plain runs need no pattern: none is sought in a text again, and boundaries hold as the patterns have them."""
+    from jobspan.functions.skills import scan_vocabulary
+    from jobspan.operators.vocabulary import scan_large, vocabulary_table
+
+    names = {"ab cd": "ab cd", "cd ef": "cd ef", "ab cd ef": "ab cd ef", "c++ ab": "c++ ab", "ef": "ef", "1 2": "1 2"}
+    table = vocabulary_table(spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(names.items())], "key string, name string, pos long"))
+    asked = [e for r in table.collect() for e in r.entries if e.pattern]
+    assert [e.name for e in asked] == ["c++ ab"]
+    texts = ["ab cd ef", "ab  cd ef", "xab cd", "ab cdé ef", "_ab cd", "ab cd_", "ab cd́ ef", "éab cd", "x.ab cd.ef", "AB CD", "1 2 1 2", "c++ ab cd", "ab ab cd",
+             "ab-cd ef", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: r.s or [] for r in docs.select("id", scan_vocabulary(F.lower("text"), names).alias("s")).collect()}
+    assert {r.id: r.skills for r in scan_large(docs, table).collect()} == want
+    plain = {k: v for k, v in names.items() if "+" not in k}
+    want = {r.id: r.s or [] for r in docs.select("id", scan_vocabulary(F.lower("text"), plain).alias("s")).collect()}
+    assert {r.id: r.skills for r in scan_large(docs, table.where("gram not like 'r:%'")).collect()} == want
