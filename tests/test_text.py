@@ -172,3 +172,21 @@ def test_cohort_role_company(ev):
     assert ev(N.guess_company(C), c="Acme Robots is great") == "Acme Robots"
     assert ev(N.guess_company(C), c="Come work at Big Co, now") == "Big Co"
     assert ev(N.guess_company(C), c="no names here") is None
+
+
+def test_costly_values_are_computed_once(spark):
+    """A text that must be long enough, and a feed's location, are each read once a row."""
+    from jobspan.functions.text import at_least
+
+    plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(
+        at_least(F.regexp_replace("s", "once", ""), 3).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("once") == 1
+
+
+def test_html_guards_change_nothing(ev):
+    from jobspan.functions.text import html_to_text, smart_quotes
+
+    pages = {"a<SCRIPT>x</SCRIPT>b": "a\nb", "a<style>x</style>b": "a\nb", "a<!-- x -->b<p>c": "a\nb\nc", "a<span>b</span>": "a\nb",
+             "<p>café “x”</p>": "café \"x\"", "<p>a b</p>": "a b", "plain": "plain", "": ""}
+    assert {p: ev(html_to_text(F.col("p")), p=p) for p in pages} == pages
+    assert ev(smart_quotes(F.col("p")), p="‘a’") == "'a'"
