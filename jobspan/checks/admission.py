@@ -366,9 +366,9 @@ def updated_parts(spark, d):
     """The same updates in place: only ranges of ids that have one are rewritten."""
     base, years, found = _updates(spark, d)
     table = KeyedTable(spark, scratch_folder(spark, "postings"), "id", ranged(100)).write(base)
-    ours = base.select("id")
-    table.update(years.join(ours, "id", "left_semi"), ["experience_years"])
-    table.update(found.join(ours, "id", "left_semi"), ["source"], only_found=True)
+    ours = lambda rows: rows.join(table.read().select("id"), "id", "left_semi")  # noqa: E731 - the table as it is by then
+    table.update(ours(years), ["experience_years"])
+    table.update(ours(found), ["source"], only_found=True)
     return table.read()
 
 

@@ -38,3 +38,14 @@ def test_lookups_read_only_their_parts(spark, tmp_path):
     assert "PartitionFilters: [part" in near._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.text for r in near.join(asked.distinct(), "uri").collect()) == ["text 250", "text 3"]
     assert near.count() < 60 and table.of(asked.limit(0)).count() == 0
+
+
+def test_registered_updates_read_the_written_table(spark, monkeypatch):
+    """Which ids are ours is read from the table, not joined anew from all inputs at each update."""
+    from jobspan.checks import admission
+
+    read, update = [], admission.KeyedTable.update
+    monkeypatch.setattr(admission.KeyedTable, "update", lambda self, rows, *a, **k: (read.extend(rows.inputFiles()), update(self, rows, *a, **k))[1])
+    rows = admission.updated_parts(spark, "/root/testdata/sf0.001")
+    assert read and not any("documents.parquet" in f for f in read)
+    assert rows.count() == admission.updated_postings(spark, "/root/testdata/sf0.001").count()
