@@ -48,8 +48,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id: texts are linked from a similarity of 0.8
-    on, over shingles of five words."""
-    return shingles.keep_one(docs, least=0.8, words=5)
+    on, over shingles of five words. Those whose SimHash fingerprints differ in at most four of 64 bits are compared first; near copies
+    that fingerprints lose are found by the shingles themselves."""
+    return shingles.keep_one(docs, least=0.8, words=5, bits=4)
 
 
 @stage

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobspan.llm.common import components, portions, stored, utf8
+from jobspan.llm.common import components, discard, portions, stored, utf8
 
 SHORT = 8  # fingerprints of a list whose pairs are compared as rows
 TILE = 4096  # fingerprints compared with each other in one call: 4096 x 4096 bytes
@@ -80,7 +80,8 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     # Lists of the same fingerprints, as a group has them under many keys, are told by two hashes of their members and kept once.
     alike = shared.groupBy("place", "bytes", "n").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
     once = alike.groupBy("n", "x", "y").agg(F.min(F.struct("place", "bytes")).alias("list")).select("list.*")
-    shared = stored(shared.join(once, ["place", "bytes"], "left_semi"), "simhash-lists")
+    every, shared = shared, stored(shared.join(once, ["place", "bytes"], "left_semi"), "simhash-lists")
+    discard(every)
     # Longer lists are dealt to tiles, pairs of blocks of a list, so that no task holds a whole list.
     dealt = (shared.where(F.col("n") > SHORT).withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
@@ -94,7 +95,9 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     long = dealt.groupBy("place", "bytes", "low", "high").applyInArrow(join, "a long, b long")
-    return stored(_short_lists(shared.where(F.col("n") <= SHORT), bits, keep).unionByName(long).distinct(), "simhash-links")
+    links = stored(_short_lists(shared.where(F.col("n") <= SHORT), bits, keep).unionByName(long).distinct(), "simhash-links")
+    discard(shared)
+    return links
 
 
 def _short_lists(shared: DataFrame, bits: int, keep: int) -> DataFrame:

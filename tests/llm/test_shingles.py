@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from jobspan.llm import shingles
+from jobspan.llm import shingles, simhash
 from tests.llm.test_operators import WORD, prose
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,20 @@ def test_stage_on_the_given_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_groups({r.doc_id: r.text for r in docs.collect()})
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == set(want.values())
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The stage takes pairs from fingerprints: without prefixes it finds what four bits and a similarity of 0.8 join, with them the rest."""
+    texts = corpus(6)
+    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in texts.items()}
+    sets = {i: brute_set(t) for i, t in texts.items()}
+    near = {(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 4}
+    alike = {(a, b) for a, b in near if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    different = {b for a, b in alike if sets[a] != sets[b]}
+    assert different and near - alike
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_groups(texts)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == set(want.values())
+    monkeypatch.setattr(shingles, "_star", lambda batches, ratio: iter([]))
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert set(want.values()) < left < {min(i for i in sets if sets[i] == x) for x in sets.values()}
