@@ -55,11 +55,14 @@ def discover_boards(crawls: list[DataFrame], known: DataFrame, url: str = "url",
 def candidate_slugs(sources: list[DataFrame], name: str = "name", position: str = "pos") -> DataFrame:
     """Distinct slug variants of names from several lists, in order of list, position in it and variant.
 
-    ``rank_list``, ``rank_pos`` and ``rank_variant`` keep where a slug came up first.
+    ``rank_list``, ``rank_pos`` and ``rank_variant`` keep where a slug came up first. A name is taken apart once, at its first
+    place: each of its variants comes up first there. So the variants are made after a shuffle of names, not in the tasks that read them.
     """
     rows = reduce(DataFrame.unionByName, [
         s.select(F.lit(i).alias("rank_list"), F.col(position).cast("long").alias("rank_pos"), F.col(name).alias("n"))
         for i, s in enumerate(sources)])
+    rows = rows.groupBy("rank_list", "n").agg(  # a place that is not known comes before others
+        F.when(F.count("rank_pos") == F.count("*"), F.min("rank_pos")).alias("rank_pos"))
     rows = rows.select("rank_list", "rank_pos", F.posexplode(slug_variants(F.col("n"))).alias("rank_variant", "slug"))
     first = rows.groupBy("slug").agg(F.min(F.struct("rank_list", "rank_pos", "rank_variant")).alias("f"))
     return first.select("slug", "f.*")

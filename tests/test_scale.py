@@ -99,3 +99,18 @@ def test_a_phrase_is_a_gram_of_its_own(spark):
     plain = {k: v for k, v in names.items() if "+" not in k}
     want = {r.id: r.s or [] for r in docs.select("id", scan_vocabulary(F.lower("text"), plain).alias("s")).collect()}
     assert {r.id: r.skills for r in scan_large(docs, table.where("gram not like 'r:%'")).collect()} == want
+
+
+def test_slugs_are_made_once_a_name(spark):
+    """Variants of a name are made after names have met, not in the task that reads its rows; the first place of each slug stays."""
+    from jobspan.operators.boards import candidate_slugs
+
+    rows = spark.range(2000).selectExpr("1999 - id as pos", "concat('Brand ', id % 3, ' Inc') as name")
+    late = spark.createDataFrame([(None, "Brand 1 Inc"), (4, "Other Co"), (2, None)], "pos long, name string")
+    found = candidate_slugs([rows, late])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [rank_list" in plan[plan.index("Generate"):]
+    first = {r.slug: (r.rank_list, r.rank_pos) for r in found.collect()}
+    assert first["brand1"] == (0, 0) and first["brand0"] == (0, 1) and first["brand2"] == (0, 2)
+    assert first["other"] == (1, 4)
+    assert {r.slug: r.rank_pos for r in candidate_slugs([late]).collect()}["brand1"] is None
