@@ -287,14 +287,14 @@ def open_board_postings(spark, d):
 # ------------------------------------------------------------------ keys
 @query("unknown_links", f"{RAW}, {B.STORED_SQL} select id from raw where link not in (select link from stored)")
 def unknown_links(spark, d):
-    return K.unknown_only(B.raw_postings(spark, d), B.stored_links(spark, d), "link").select("id")
+    return K.unknown_only(B.raw_postings(spark, d), B.stored_links(spark, d), "link", "id").select("id")
 
 
 @query("unknown_links_of_source", f"""{RAW}, kept as (select link from raw where source = 'greenhouse')
  select id, source from raw where link not in (select link from kept)""")
 def unknown_links_of_source(spark, d):
     raw = B.raw_postings(spark, d)
-    return K.unknown_in_source(raw, raw.select("link", "source"), "greenhouse").select("id", "source")
+    return K.unknown_in_source(raw, raw.select("link", "source"), "greenhouse", row_id="id").select("id", "source")
 
 
 @query("first_per_link", P + """ select id, link, source from postings
@@ -313,7 +313,7 @@ def first_event_per_user(spark, d):
 @query("requested_postings", P + " select id, title from postings where id in (select vec_id * 3 from embeddings)")
 def requested_postings(spark, d):
     ids = B.table(spark, d, "embeddings").select((F.col("vec_id") * 3).alias("id"))
-    return K.known_only(B.postings(spark, d), ids, "id").select("id", "title")
+    return K.known_only(B.postings(spark, d), ids, "id", "id").select("id", "title")
 
 
 @query("details_by_key", P + """ select id, coalesce(label, -1) as label from postings

@@ -114,3 +114,11 @@ def test_slugs_are_made_once_a_name(spark):
     assert first["brand1"] == (0, 0) and first["brand0"] == (0, 1) and first["brand2"] == (0, 2)
     assert first["other"] == (1, 4)
     assert {r.slug: r.rank_pos for r in candidate_slugs([late]).collect()}["brand1"] is None
+
+
+@pytest.mark.parametrize("name", ["unknown_links", "unknown_links_of_source", "requested_postings"])
+def test_lookups_by_row_id_read_no_texts(spark, name):
+    from jobspan.checks import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "text:string" not in plan and "embedding:" not in plan
