@@ -4,6 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from jobspan.operators.admission import AdmissionRules, rows_to_store, status_counts, statuses
 from jobspan.sources.writers import description_table
@@ -26,5 +27,5 @@ def ingest(raw: DataFrame, stored: DataFrame, ingest_ts, rules: AdmissionRules |
     fetched again, by id.
     """
     status, winners = statuses(raw, stored, rules, row_id, list(by), admission=admission)
-    new = raw.join(winners, row_id, "left_semi")
+    new = raw.where(F.col(row_id).isin(winners))  # unlike a semi join, a filter that Spark moves below the joins that make ``raw``
     return Ingested(status, rows_to_store(new, ingest_ts, row_id, text_root), description_table(new), status_counts(status, list(by)))
