@@ -122,3 +122,13 @@ def test_lookups_by_row_id_read_no_texts(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "text:string" not in plan and "embedding:" not in plan
+
+
+def test_feeds_collect_after_one_shuffle_and_read_texts_once(spark):
+    """Lines of a board are dealt out once and its supplier comes to the whole response; the text of a list is made once."""
+    from jobspan.checks import QUERIES
+
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    plan = QUERIES["feed_lever"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_name" not in plan[plan.index("Aggregate"):].split("\n")[0] and "RepartitionByExpression [l_suppkey" in plan
+    assert plan[:plan.index("Generate")].count("regexp_replace") == 1
