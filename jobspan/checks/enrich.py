@@ -9,7 +9,7 @@ from jobspan.functions.text import split_lines
 from jobspan.operators import insights as I
 from jobspan.operators.keys import apply_updates
 from jobspan.plans import enrich as E
-from jobspan.session import scratch_folder
+from jobspan.session import scratch_folder, written
 from jobspan.sources import readers
 from jobspan.sources.keyed import KeyedTable, hashed
 from jobspan.streaming import jobs as S
@@ -211,8 +211,10 @@ def enrich_stream(spark, d):
     store = KeyedTable(spark, out + "/texts", "uri", hashed(64)).write(texts)
 
     def work(batch):
-        texts = store.of(batch.where(F.col("description").startswith("gs://")).select(F.col("description").alias("uri")))
-        return E.enrich(E.backlog(batch, "skills", texts, html=False), _responses(batch.sparkSession, d), NOW, **OPTIONS)
+        texts = store.at(batch.where(F.col("description").startswith("gs://")).select(F.col("description").alias("uri")))
+        ids = written(batch.select("id"), "batch-ids")
+        answers = _responses(batch.sparkSession, d).where(F.col("id").isin(ids))  # the batch's own: the others would move with every batch
+        return E.enrich(E.backlog(batch, "skills", texts, html=False), answers, NOW, **OPTIONS)
 
     S.update_stream(S.file_stream(spark, out + "/landed", rows.schema, 4), work, out + "/updates", out + "/checkpoint")
     return I.outcome_counts(spark.read.parquet(out + "/updates"))

@@ -49,6 +49,12 @@ class KeyedTable:
         """The rows of all parts that the keys fall into: a filter on folders, which a join on the key follows."""
         return self.spark.read.parquet(self.path).where(F.col(PART).isin(self._touched(keys))).drop(PART)
 
+    def at(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys alone. Keys are written first, so that Spark knows how few they are and filters where it reads: what a
+        lookup moves grows with its keys, not with the table, however many parts they fall into."""
+        asked = written(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct(), "keys")
+        return self.of(asked).join(asked, self.key, "left_semi")
+
     def update(self, updates: DataFrame, columns: list[str], only_found: bool = False) -> None:
         """Changes columns by key, as ``apply_updates``. The parts with an update are written anew to the shared folder first, then in
         place of the old ones; other parts are neither read nor written. A failed update may be repeated."""

@@ -49,3 +49,12 @@ def test_registered_updates_read_the_written_table(spark, monkeypatch):
     rows = admission.updated_parts(spark, "/root/testdata/sf0.001")
     assert read and not any("documents.parquet" in f for f in read)
     assert rows.count() == admission.updated_postings(spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_batch_moves_its_own_rows_alone(spark, tmp_path):
+    """Keys that fall into every part still fetch no other rows."""
+    rows = spark.range(3000).selectExpr("concat('u', id) as uri", "concat('text ', id) as text")
+    table = KeyedTable(spark, str(tmp_path / "t"), "uri", hashed(4)).write(rows)
+    asked = spark.createDataFrame([(f"u{i}",) for i in range(0, 3000, 100)] * 2 + [("none",), (None,)], "uri string")
+    assert sorted(r.text for r in table.at(asked).collect()) == sorted(f"text {i}" for i in range(0, 3000, 100))
+    assert table.at(asked.limit(0)).count() == 0
