@@ -9,9 +9,11 @@ import sys
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,77 +29,125 @@ def micros(ts: str):
 
 
 # ------------------------------------------------------------------ saved postings
-class SavedKeys(StatefulProcessor):
-    """Odd toggles since the last remove. A value state holds the last remove and the toggles that no event can precede any more, as
-    a number and a time; a list state holds the toggles that are newer than the watermark."""
+BUCKETS = 1 << 14  # of keys, each with one value in the state; a checkpoint must go on with the number that it began with
+PORTION = 1 << 20  # events that a task reduces at once
+_PARTS = "bucket long, names array<string>, ct array<long>, cid array<long>, sizes array<long>, times array<long>, ids array<long>"
+
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+class SavedKeys(StatefulProcessor):
+    """Odd toggles since the last remove, of a bucket of keys at a time: a row or a call to the state costs more than a key's own work.
+    A key has its last remove, the toggles that no event can precede any more, as a number and a time, and those newer than the
+    watermark, ``sizes`` of them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.settled = handle.getValueState("settled", "ct long, cid long, n long, last long")
-        self.open = handle.getListState("open", "t long, id long")
+        self.held = handle.getValueState("held", "names array<string>, ct array<long>, cid array<long>, n array<long>, last array<long>, "
+                                                 "sizes array<long>, times array<long>, ids array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        ct, cid, n, last = self.settled.get() if self.settled.exists() else (None, None, 0, None)
-        cleared = None if ct is None else (ct, cid)
-        toggles = {(x[0], x[1]) for x in self.open.get()} if self.open.exists() else set()
+        held, changed = {}, {}
+        for name, ct, cid, n, last, toggles in _unpacked(*(self.held.get() or [()] * 8)):
+            held[name] = [None if ct is None else (ct, cid), n, last, toggles]
         for row in rows:
-            if row.ct is not None and row.ct >= mark and (cleared is None or (row.ct, row.cid) > cleared):
-                cleared, n, last = (row.ct, row.cid), 0, None
-            toggles |= {x for x in zip(row.times, row.ids) if x[0] >= mark}
-        toggles = {x for x in toggles if cleared is None or x > cleared}
-        count, times = n + len(toggles), [x[0] for x in toggles] + ([] if last is None else [last])
-        settled = {x for x in toggles if x[0] < mark}
-        if settled:
-            n, last = n + len(settled), max([x[0] for x in settled] + ([] if last is None else [last]))
-        self.settled.update((*(cleared or (None, None)), n, last))
-        rest = sorted(toggles - settled)
-        if rest:
-            self.open.put(rest)
-        elif self.open.exists():
-            self.open.clear()
-        saved = count % 2 == 1
-        yield Row(**dict(zip(self.keys, key)), saved=saved, saved_us=max(times) if saved else None)
+            for name, ct, cid, toggles in _unpacked(row.names, row.ct, row.cid, row.sizes, row.times, row.ids):
+                now = changed.get(name)
+                if now is None:
+                    now = changed[name] = held.setdefault(name, [None, 0, None, ()])
+                    now[3] = set(now[3])
+                if ct is not None and ct >= mark and (now[0] is None or (ct, cid) > now[0]):
+                    now[:3] = (ct, cid), 0, None
+                now[3].update(x for x in toggles if x[0] >= mark)
+        saved = []
+        for now in changed.values():
+            cleared, n, last, toggles = now
+            toggles = {x for x in toggles if cleared is None or x > cleared}
+            count, times = n + len(toggles), [x[0] for x in toggles] + ([] if last is None else [last])
+            settled = {x for x in toggles if x[0] < mark}
+            if settled:
+                n, last = n + len(settled), max([x[0] for x in settled] + ([] if last is None else [last]))
+            now[1:] = n, last, sorted(toggles - settled)
+            saved.append(max(times) if count % 2 else None)
+        at = [x[0] or (None, None) for x in held.values()]
+        open_ = [y for x in held.values() for y in x[3]]
+        self.held.update(([*held], [x[0] for x in at], [x[1] for x in at], *([x[k] for x in held.values()] for k in (1, 2)),
+                          [len(x[3]) for x in held.values()], [x[0] for x in open_], [x[1] for x in open_]))
+        yield Row(names=[*changed], saved_us=saved)
 
     def close(self) -> None:
         pass
 
 
-def _toggled_batches(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
-    """Per key of an Arrow batch: its last remove and the toggles after it."""
+def _unpacked(*columns) -> Iterator[tuple]:
+    """Of lists of a value a key, and at the end the number of its toggles, all times and all ids: its values and its toggles."""
+    *values, sizes, times, ids = columns
+    at = 0
+    for *own, size in zip(*values, sizes):
+        yield *own, [*zip(times[at:at + size], ids[at:at + size])]
+        at += size
+
+
+def _toggled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per bucket of a portion of events: of each key its last remove and the toggles after it."""
+    held, n = [], 0
     for batch in batches:
-        found: dict[tuple, list] = {}
-        columns = [c.to_pylist() for c in batch.columns]
-        for *key, t, i, action in zip(*columns):
-            held = found.setdefault(tuple(key), [None, []])
-            if action == "remove":
-                held[0] = max(held[0] or (t, i), (t, i))
-            else:
-                held[1].append((t, i))
-        rows = []
-        for key, (c, toggles) in found.items():
-            live = [x for x in toggles if c is None or x > c]
-            rows.append((*key, *(c or (None, None)), [x[0] for x in live], [x[1] for x in live]))
-        longs, lists = pa.int64(), pa.list_(pa.int64())
-        kinds = [*(f.type for f in batch.schema)][:n_keys] + [longs, longs, lists, lists]
-        columns = zip(*rows) if rows else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                         names=[*batch.schema.names[:n_keys], "ct", "cid", "times", "ids"])
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PORTION:
+            yield _toggled(held)
+            held, n = [], 0
+    if n:
+        yield _toggled(held)
+
+
+def _toggled(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    columns = [c.combine_chunks() for c in pa.Table.from_batches(batches).columns]
+    names = columns[0].dictionary_encode()
+    bucket, key, t, i = (c.to_numpy() for c in (columns[1], names.indices, *columns[2:4]))
+    removes = pc.equal(columns[4], "remove").to_numpy(zero_copy_only=False)
+    order = np.lexsort((removes, i, t, key, bucket))  # a toggle at the time and id of a remove is before it
+    bucket, key, t, i, removes = (c[order] for c in (bucket, key, t, i, removes))
+    starts = np.flatnonzero(np.diff(key, prepend=-1) | np.diff(bucket, prepend=-1))
+    of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(key)))
+    last = np.maximum.reduceat(np.where(removes, np.arange(len(key)), -1), starts)  # place of each key's last remove
+    live = ~removes & (np.arange(len(key)) > last[of])
+    sizes = np.bincount(of[live], minlength=len(starts))
+    firsts = np.flatnonzero(np.diff(bucket[starts], prepend=-1))  # of the keys of a bucket
+    by_key = pa.array(np.append(firsts, len(starts)), pa.int32())
+    by_toggle = pa.array(np.concatenate([[0], np.cumsum(sizes)])[by_key.to_numpy()], pa.int32())
+    lists = [(by_key, names.dictionary.take(pa.array(key[starts]))), *((by_key, pa.array(c[last], mask=last < 0)) for c in (t, i)),
+             (by_key, pa.array(sizes)), *((by_toggle, pa.array(c[live])) for c in (t, i))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts[firsts]]), *(pa.ListArray.from_arrays(*x) for x in lists)],
+                                      names=["bucket", "names", "ct", "cid", "sizes", "times", "ids"])
+
+
+def _name(df: DataFrame, keys: list[str]) -> Column:
+    """A key as one text, in any session's time zone."""
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType
+        return (F.hex(c) if isinstance(kind, T.BinaryType) else F.unix_micros(c) if isinstance(kind, T.TimestampType) else F.col(c)).cast("string")
+    return F.to_json(F.array(*[text(c) for c in keys]))
+
+
+def _values(df: DataFrame, keys: list[str], name: Column) -> list[Column]:
+    """The columns of a key from its name."""
+    def value(c: str, x: Column) -> Column:
+        kind = df.schema[c].dataType
+        return F.unhex(x) if isinstance(kind, T.BinaryType) else F.timestamp_micros(x.cast("long")) if isinstance(kind, T.TimestampType) else x.cast(kind)
+    return [value(c, F.from_json(name, "array<string>")[k]).alias(c) for k, c in enumerate(keys)]
 
 
 def saved_keys(events: DataFrame, keys: list[str], ts: str, action: str, row_id: str, delay: str) -> DataFrame:
     """(keys, saved, saved_at) of every key that a micro-batch has changed, as a stream in update mode. An event later than the
     watermark is dropped; the order in which others arrive does not matter."""
-    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
     events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    rows = events.where(F.col(action).isin("toggle", "remove")).select(*keys, micros(ts).alias("t"), F.col(row_id).cast("long").alias("id"), action)
-    parts = rows.mapInArrow(partial(_toggled_batches, n_keys=len(keys)), 
-                           f"{kinds}, ct long, cid long, times array<long>, ids array<long>")
-    out = T.StructType([events.schema[k] for k in keys] + [T.StructField("saved", T.BooleanType()), T.StructField("saved_us", T.LongType())])
-    state = parts.groupBy(*keys).transformWithState(SavedKeys(keys), out, "Update", "EventTime")
-    return state.select(*keys, "saved", F.timestamp_micros("saved_us").alias("saved_at"))
+    rows = events.where(F.col(action).isin("toggle", "remove")).select(
+        _name(events, keys).alias("name"), micros(ts).alias("t"), F.col(row_id).cast("long").alias("id"), F.col(action).alias("action"))
+    rows = rows.select("name", F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).alias("bucket"), "t", "id", "action")
+    state = rows.mapInArrow(_toggled_batches, _PARTS).groupBy("bucket").transformWithState(
+        SavedKeys(), "names array<string>, saved_us array<long>", "Update", "EventTime")
+    each = state.select(F.explode(F.arrays_zip("names", "saved_us")).alias("x"))
+    return each.select(*_values(events, keys, F.col("x.names")), F.col("x.saved_us").isNotNull().alias("saved"),
+                       F.timestamp_micros("x.saved_us").alias("saved_at"))
 
 
 # ------------------------------------------------------------------ first rows

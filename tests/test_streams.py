@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from jobspan.operators.admission import admit, status_counts
 from jobspan.streaming import jobs as S
+from jobspan.streaming import state
 
 
 @pytest.fixture(scope="module")
@@ -237,3 +239,30 @@ def test_first_links_wait_for_the_watermark(spark, tmp_path):
     assert run(3) == [("a", 7), ("b", 2), ("c", 5)]  # 44 came out of order, but in time; d may still change
     assert run(4) == [("a", 7), ("b", 2), ("c", 5)]
     assert S.late_links(spark, out).first()[0] == 3  # 8, 9 and 10
+
+
+def test_saved_keys_of_a_bucket_share_one_value(spark, tmp_path, monkeypatch):
+    """A task sends a row a bucket, and keys of any kind come back as they were."""
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    rng = random.Random(8)
+    links = [None, "", 'a"b', "a,b", "c\\d", *(f"k{i}" for i in range(20))]
+    events = [(i, i, rng.choice(links), rng.choice([None, 0, 86399]), rng.choice(["toggle", "toggle", "remove"])) for i in range(400)]
+    path = str(tmp_path / "e")
+    for k in range(0, 400, 100):
+        df = spark.createDataFrame(events[k:k + 100], "event_id long, m long, link string, s long, action string").select(
+            "event_id", F.timestamp_seconds(F.col("m") * 60).alias("ts"), "link", F.timestamp_seconds("s").alias("at"),
+            F.encode("link", "UTF-8").alias("raw"), "action")
+        df.coalesce(1).write.mode("append").parquet(path)
+    got = S.saved_set_from_stream(S.file_stream(spark, path, df.schema, 1), ["link", "at", "raw"], str(tmp_path / "o"), str(tmp_path / "c"), delay="1 day")
+    assert {(r.link, r.s, None if r.raw is None else bytes(r.raw)): r.m for r in got.withColumns(
+        {"m": F.expr("unix_timestamp(saved_at) div 60"), "s": F.unix_timestamp("at")}).collect()} == {
+            (x, s, None if x is None else x.encode()): m for (x, s), m in plain_saved([(i, m, x, s, a) for i, m, x, s, a in events]).items()}
+    rows = [(f"k{i % 7}", i % 7 % 3, i, i, "remove" if i % 5 == 0 else "toggle") for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["name", "bucket", "t", "id", "action"])
+    out = [x for b in state._toggled_batches(iter([batch.slice(0, 20), batch.slice(20)])) for x in b.to_pylist()]
+    assert [x["bucket"] for x in out] == [0, 1, 2]
+    for x in out:
+        for name, ct, cid, toggles in state._unpacked(*(x[c] for c in ("names", "ct", "cid", "sizes", "times", "ids"))):
+            own = [r for r in rows if r[0] == name]
+            last = max(r[2] for r in own if r[4] == "remove")
+            assert (ct, cid, toggles) == (last, last, [(r[2], r[3]) for r in own if r[2] > last])
