@@ -74,13 +74,14 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     # Each fingerprint becomes as many rows as there are sets, so the narrow table is dealt to all tasks first.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = fps.repartition(tasks, "fp").select("fp", F.inline(keys))
-    # Lists are counted first: a list of one fingerprint can't link, and nearly all lists are such.
+    # Lists are counted first: a list of one fingerprint can't link, and nearly all lists are such. Spark sizes all these rows as if they
+    # were the fingerprints, so joins with them are told to sort; else they would all pass through the driver.
     sizes = listed.groupBy("place", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(listed.join(sizes, ["place", "bytes"]), "simhash-lists")
+    shared = stored(listed.join(sizes.hint("merge"), ["place", "bytes"]), "simhash-lists")
     # Lists of the same fingerprints, as a group has them under many keys, are told by two hashes of their members and kept once.
     alike = shared.groupBy("place", "bytes", "n").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
     once = alike.groupBy("n", "x", "y").agg(F.min(F.struct("place", "bytes")).alias("list")).select("list.*")
-    every, shared = shared, stored(shared.join(once, ["place", "bytes"], "left_semi"), "simhash-lists")
+    every, shared = shared, stored(shared.join(once.hint("merge"), ["place", "bytes"], "left_semi"), "simhash-lists")
     discard(every)
     # Longer lists are dealt to tiles, pairs of blocks of a list, so that no task holds a whole list.
     dealt = (shared.where(F.col("n") > SHORT).withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
