@@ -38,7 +38,7 @@ def test_equals_sql(spark, few, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in res.description], res.fetchall())
 
 
-@pytest.mark.parametrize("name", ["united_feeds"])
+@pytest.mark.parametrize("name", ["united_feeds", "united_feed_counts"])
 def test_lines_are_dealt_once(spark, few, name):
     df = entry.queries()[name](spark, few[0])
     df.collect()
